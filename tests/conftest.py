@@ -24,3 +24,10 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session")
+def portal(spark):
+    from portal_data import Portal
+
+    return Portal(spark)

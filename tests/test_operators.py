@@ -1,0 +1,510 @@
+"""Operators on the small portal, with results worked out by hand."""
+
+from __future__ import annotations
+
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from portal_data import CLAIMS, VIN
+from wrenchwork import operators as op, schemas
+from wrenchwork.functions.cover import cover_end, label_months, warranty_class
+from wrenchwork.functions.status import status_class
+from wrenchwork.functions.text import escape_html
+
+TODAY = date(2026, 8, 17)
+
+
+def column(frame, name):
+    return [row[name] for row in frame.collect()]
+
+
+def table(frame, *names):
+    return {tuple(row[n] for n in names) for row in frame.collect()}
+
+
+# Searches and filters
+
+
+@pytest.mark.parametrize(
+    "query, ids", [("ir-9", {1025}), ("lgx", {1024, 1025}), ("", {1024, 1025, 2033}), (" ", set())]
+)
+def test_search_vehicles(portal, query, ids):
+    assert set(column(op.search_vehicles(portal.vehicles, query), "id")) == ids
+
+
+@pytest.mark.parametrize(
+    "query, brand, found",
+    [
+        ("battery", "", {"BYD-BAT-8842", "BYD-BAT-8850"}),
+        ("", "LEAP", {"LEAP-BRK-1011"}),
+        ("", "leap", set()),
+        ("%", "", set()),
+        ("_", "", set()),
+        ("SET", "BYD", {"BYD-WPR-1180"}),
+        ("brk-10", "", {"LEAP-BRK-1011"}),
+    ],
+)
+def test_search_parts(portal, query, brand, found):
+    assert set(column(op.search_parts(portal.parts, query, brand), "oe")) == found
+
+
+def test_search_of_null_text_counts_as_empty(spark, portal):
+    rows = spark.createDataFrame([("v1", None), (None, "P-1")], "vin string, plate string")
+    assert table(op.search_vehicles(rows, "p-"), "vin", "plate") == {(None, "P-1")}
+    assert op.search_vehicles(rows, "").count() == 2
+
+
+def test_search_claims_and_inventory(portal):
+    assert column(op.search_claims(portal.claims, "-0005"), "no") == ["CLM-2026-0005"]
+    assert column(op.search_claims(portal.claims, "lfv3"), "no") == ["CLM-2026-0005"]
+    assert column(op.search_inventory(portal.inventory, "3004"), "sku") == ["SKU-3004"]
+    assert column(op.search_inventory(portal.inventory, "lmp"), "sku") == ["SKU-3002"]
+
+
+def test_filters(portal):
+    assert column(op.filter_claims(portal.claims, "Approved"), "no") == ["CLM-2026-0006"]
+    assert op.filter_claims(portal.claims, "").count() == 4
+    assert column(op.pending_review(portal.claims), "no") == ["CLM-2026-0007"]
+    assert column(op.low_stock(portal.inventory), "sku") == ["SKU-3003"]
+    assert set(column(op.dealer_scope(portal.vehicles, "KTL"), "id")) == {1024, 1025}
+
+
+def test_low_stock_takes_the_limit_itself(spark):
+    rows = spark.createDataFrame([("a", 3, 3), ("b", 4, 3)], "sku string, qty int, safety int")
+    assert column(op.low_stock(rows), "sku") == ["a"]
+
+
+# Lists
+
+
+def test_lists(portal):
+    first = op.vehicle_list(portal.vehicles).first()
+    assert (first["plate"], first["mileage"]) == ("IR-88421", "18,400 km")
+    profile = op.vehicle_profile(op.vehicle_by_id(portal.vehicles, 2033)).first()
+    assert (profile["sale_date"], profile["mileage"]) == (date(2025, 11, 20), "31,000 km")
+    assert op.vehicle_picker(portal.vehicles).first()["label"] == (
+        "LGXCE4CC0N0123456 · Sealion 6 (海狮06)"
+    )
+    assert op.claim_list(portal.claims).columns == [
+        "no", "model", "vehicle", "fault", "date", "status"
+    ]
+    assert op.shipment_list(portal.shipments).first()["tracking"] == "DHL-8842100"
+    levels = table(op.stock_level(portal.inventory), "sku", "level")
+    assert levels == {
+        ("SKU-3001", "OK"), ("SKU-3002", "OK"), ("SKU-3003", "Low"), ("SKU-3004", "OK")
+    }
+
+
+def test_part_cards(portal):
+    cards = {row["oe"]: row for row in op.part_cards(portal.parts).collect()}
+    assert cards["BYD-BMS-7710"]["meta"] == "Powertrain / Battery · EV Core (96mo)"
+    assert cards["BYD-BMS-7710"]["models"] == "Sealion 6, Sealion 7"
+    assert cards["BYD-WPR-1180"]["meta"] == "Wear Items · ⚠️ Wear Item"
+
+
+def test_short_lists(portal):
+    assert column(op.recent_claims(portal.claims), "no") == [row[0] for row in CLAIMS]
+    assert column(op.part_picker(portal.parts), "oe") == [
+        "BYD-BAT-8842", "BYD-BAT-8850", "BYD-BMS-7710", "BYD-LMP-2207", "BYD-MTR-5501"
+    ]
+    assert column(op.maintenance_timeline(portal.maintenance), "when") == [
+        "2026-08-02 · 18,200 km", "2026-06-10 · 11,500 km", "2026-03-15 · 0 km"
+    ]
+
+
+def test_status_class(spark, portal):
+    rows = spark.createDataFrame([("In Warranty",), ("Partial",), (None,)], "status string")
+    assert column(rows.select(status_class("status").alias("c")), "c") == [
+        "b-gray", "b-teal", "b-gray"
+    ]
+    assert table(op.status_badges(portal.shipments), "no", "badge") == {
+        ("SHP-2026-0102", "b-blue")
+    }
+    known = spark.createDataFrame(
+        [(s,) for s in schemas.CLAIM_STATUSES + schemas.SHIPMENT_STATUSES], "status string"
+    )
+    grey = known.filter(status_class("status") == "b-gray")
+    assert set(column(grey, "status")) == {"Draft", "Closed"}
+
+
+def test_escape(spark):
+    rows = spark.createDataFrame([("""<a href="x">'&amp;'</a>""", 1), (None, 2)], "t string, n int")
+    assert column(rows.select(escape_html("t").alias("t")), "t") == [
+        "&lt;a href=&quot;x&quot;&gt;&#39;&amp;amp;&#39;&lt;/a&gt;", ""
+    ]
+    assert op.escaped_rows(rows).dtypes == rows.dtypes
+
+
+# Joins
+
+
+def test_related_claims(spark, portal):
+    got = table(op.related_claims(portal.vehicles, portal.claims), "vin", "claim")
+    assert got == {(row[1], row[0]) for row in CLAIMS}
+    only = op.filter_claims(portal.claims, "Rejected")
+    got = table(op.related_claims(portal.vehicles, only), "vin", "claim", "fault")
+    assert got == {
+        (VIN[1024], "No claims", None),
+        (VIN[1025], "No claims", None),
+        (VIN[2033], "CLM-2026-0005", "Brake pad wear (normal)"),
+    }
+
+
+def test_vehicles_by_id(spark, portal):
+    ids = spark.createDataFrame([(2033,), (2033,), (5,), (None,)], "id long")
+    assert column(op.vehicles_by_id(portal.vehicles, ids), "id") == [2033]
+
+
+def test_review_queue_names_the_holder(portal):
+    moved = portal.claims.withColumn("status", F.lit("Under Review"))
+    got = table(op.review_queue_dealer(moved, portal.vehicles), "no", "dealer")
+    assert ("CLM-2026-0005", "AvaMotor") in got and len(got) == 4
+
+
+def test_claimed_parts_keep_empty_claims(spark, portal):
+    empty = spark.createDataFrame(
+        [("E-1", VIN[1024], "m", "f", "Draft", TODAY, [], None, "KTL"),
+         ("E-2", VIN[1024], "m", "f", "Draft", TODAY, None, None, "KTL"),
+         ("E-3", VIN[1024], "m", "f", "Draft", TODAY, [("ODD", 2)], None, "KTL")],
+        schemas.CLAIMS,
+    )
+    lines = op.claim_lines(portal.claims.unionByName(empty))
+    got = table(op.claimed_parts(lines, portal.parts), "no", "oe", "qty", "warranty")
+    assert got == {
+        ("CLM-2026-0007", "BYD-BAT-8842", 1, "EV Core (96mo)"),
+        ("CLM-2026-0006", "BYD-LMP-2207", 1, "General (72mo)"),
+        ("CLM-2026-0005", "LEAP-BRK-1011", 4, "Wear Item"),
+        ("CLM-2026-0004", "BYD-SCR-3320", 1, "General (72mo)"),
+        ("E-1", None, None, None),
+        ("E-2", None, None, None),
+        ("E-3", "ODD", 2, None),
+    }
+
+
+def test_shipments_with_claim(portal):
+    row = op.shipments_with_claim(portal.shipments, portal.claims).first()
+    assert (row["claim"], row["vehicle"], row["claim_status"]) == (
+        "CLM-2026-0004", VIN[1024], "Shipped"
+    )
+
+
+# Warranty
+
+
+def test_labels(spark):
+    rows = spark.createDataFrame(
+        [("EV Core (96mo)",), ("Wear Item",), ("Special",), (None,)], "label string"
+    )
+    got = rows.select(warranty_class("label").alias("c"), label_months("label").alias("m"))
+    assert [tuple(r) for r in got.collect()] == [
+        ("EV Core", 96), ("Wear Item", None), (None, None), (None, None)
+    ]
+
+
+def test_cover_ends(portal):
+    ends = portal.vehicles.select(
+        "id", cover_end("warranty_start", "ev_months").alias("ev"),
+        cover_end("warranty_start", "whole_months").alias("whole"),
+    )
+    assert table(ends, "id", "ev", "whole") == {
+        (1024, date(2034, 3, 15), date(2032, 3, 15)),
+        (1025, date(2034, 5, 2), date(2032, 5, 2)),
+        (2033, date(2033, 11, 20), date(2030, 11, 20)),
+    }
+
+
+def test_cover_limits_are_inclusive(portal):
+    def states(as_of, mileage):
+        car = op.vehicle_by_id(portal.vehicles, 2033).withColumn("mileage", F.lit(mileage))
+        return [row["state"] == "In Warranty" for row in op.warranty_cover(car, as_of).collect()]
+
+    assert states(date(2025, 11, 19), 1) == [False, False]
+    assert states(date(2025, 11, 20), 1) == [True, True]
+    assert states(date(2030, 11, 20), 120000) == [True, True]
+    assert states(date(2030, 11, 21), 120000) == [False, True]
+    assert states(date(2030, 11, 20), 120001) == [False, True]
+    assert states(date(2033, 11, 20), 200000) == [False, True]
+    assert states(date(2033, 11, 20), 200001) == [False, False]
+
+
+def test_cover_rows(portal):
+    cover = op.warranty_cover(op.vehicle_by_id(portal.vehicles, 1024), TODAY)
+    assert table(cover, "cover", "terms", "state") == {
+        ("Whole Vehicle", "72 months / 150,000 km", "In Warranty"),
+        ("EV Components (Battery / Motor / ECU)", "96 months / 240,000 km", "In Warranty"),
+    }
+
+
+def check(portal, claims=None, accidents=None):
+    return op.warranty_check(
+        portal.claims if claims is None else claims,
+        portal.vehicles, portal.parts, portal.maintenance, accidents,
+    )
+
+
+def recommend(portal, claims=None, accidents=None):
+    frame = op.warranty_recommendation(
+        portal.claims if claims is None else claims,
+        portal.vehicles, portal.parts, portal.maintenance, accidents,
+    )
+    return {row["no"]: row["recommendation"] for row in frame.collect()}
+
+
+def test_check_of_the_review_card(portal):
+    marks = ("identity", "term", "wear", "accident", "service")
+    rows = {row["no"]: tuple(row[m] for m in marks) for row in check(portal).collect()}
+    assert rows == {
+        "CLM-2026-0007": ("ok", "ok", "ok", "ok", "ok"),
+        "CLM-2026-0006": ("ok", "ok", "ok", "ok", "warn"),
+        "CLM-2026-0005": ("ok", "ok", "bad", "ok", "warn"),
+        "CLM-2026-0004": ("ok", "ok", "ok", "ok", "ok"),
+    }
+
+
+def test_recommendation(portal):
+    assert recommend(portal) == {
+        "CLM-2026-0007": "Approve",
+        "CLM-2026-0006": "Manual",
+        "CLM-2026-0005": "Reject",
+        "CLM-2026-0004": "Approve",
+    }
+
+
+def test_check_cases(spark, portal):
+    def claim(no, vehicle, dealer, parts, on=TODAY):
+        return (no, vehicle, "m", "f", "Submitted", on, parts, None, dealer)
+
+    battery, wiper, odd = ("BYD-BAT-8842", 1), ("BYD-WPR-1180", 1), ("ODD", 1)
+    claims = spark.createDataFrame(
+        [
+            claim("other dealer", VIN[1024], "AvaMotor", [battery]),
+            claim("no dealer", VIN[1024], None, [battery]),
+            claim("unknown vehicle", "VIN-X", "KTL", [battery]),
+            claim("no parts", VIN[1024], "KTL", []),
+            claim("no parts, other dealer", VIN[1024], "AvaMotor", None),
+            claim("some pass", VIN[1024], "KTL", [battery, wiper]),
+            claim("unknown part", VIN[1024], "KTL", [odd]),
+            claim("before the start", VIN[1024], "KTL", [battery], date(2026, 3, 14)),
+            claim("on the first service", VIN[1024], "KTL", [battery], date(2026, 8, 2)),
+            claim("before the service", VIN[1024], "KTL", [battery], date(2026, 8, 1)),
+            claim("same part twice", VIN[1024], "KTL", [battery, battery]),
+        ],
+        schemas.CLAIMS,
+    )
+    assert recommend(portal, claims) == {
+        "other dealer": "Reject",
+        "no dealer": "Reject",
+        "unknown vehicle": "Reject",
+        "no parts": "Manual",
+        "no parts, other dealer": "Reject",
+        "some pass": "Partial",
+        "unknown part": "Reject",
+        "before the start": "Reject",
+        "on the first service": "Approve",
+        "before the service": "Manual",
+        "same part twice": "Approve",
+    }
+    rows = check(portal, claims)
+    assert rows.count() == 13
+    assert table(rows.filter("no = 'unknown part'"), "class", "term", "wear") == {
+        (None, "bad", "bad")
+    }
+    assert table(rows.filter("no = 'no parts'"), "oe", "term", "wear", "service") == {
+        (None, None, None, "ok")
+    }
+
+
+def test_accidents(spark, portal):
+    on_day = spark.createDataFrame(
+        [(VIN[1024], TODAY), (VIN[1024], date(2027, 1, 1))], schemas.ACCIDENTS
+    )
+    got = recommend(portal, accidents=on_day)
+    assert (got["CLM-2026-0007"], got["CLM-2026-0004"]) == ("Manual", "Approve")
+    assert table(check(portal, accidents=on_day).filter("accident = 'warn'"), "no") == {
+        ("CLM-2026-0007",)
+    }
+
+
+# Figures
+
+
+def test_figures(portal):
+    assert table(op.claims_per_status(portal.claims), "status", "claims") == {
+        ("Under Review", 1), ("Approved", 1), ("Rejected", 1), ("Shipped", 1)
+    }
+    assert table(op.active_vehicles(portal.vehicles, TODAY), "dealer", "active_vehicles") == {
+        ("KTL", 2), ("AvaMotor", 1)
+    }
+    assert op.low_stock_count(portal.inventory).first()[0] == 1
+
+
+@pytest.mark.parametrize(
+    "as_of, week, claims",
+    [
+        (None, date(2026, 8, 17), 1),
+        (TODAY, date(2026, 8, 17), 1),
+        (date(2026, 8, 16), date(2026, 8, 10), 2),
+        (date(2026, 8, 10), date(2026, 8, 10), 2),
+        (date(2026, 1, 1), date(2025, 12, 29), 0),
+    ],
+)
+def test_claims_this_week(portal, as_of, week, claims):
+    assert tuple(op.claims_this_week(portal.claims, as_of).first()) == (week, claims)
+
+
+def test_dashboards(portal):
+    expected = (1, 1, 1, 1)
+    for as_of in (None, TODAY):
+        row = op.admin_kpis(portal.claims, portal.shipments, portal.inventory, as_of).first()
+        assert tuple(row) == expected
+    got = table(
+        op.dealer_kpis(portal.claims, portal.vehicles, TODAY),
+        "dealer", "under_review", "approved", "shipped", "active_vehicles",
+    )
+    assert got == {("KTL", 1, 1, 1, 2), ("AvaMotor", 0, 0, 0, 1)}
+
+
+def test_figures_of_nothing(portal):
+    none = portal.claims.filter("no is null")
+    row = op.admin_kpis(none, portal.shipments, portal.inventory).first()
+    assert tuple(row) == (0, 0, 1, 0)
+    assert tuple(op.claims_this_week(none).first()) == (None, 0)
+
+
+# Intake
+
+
+def test_intake(portal):
+    accepted, rejected = op.intake_claims(portal.new_claims, portal.vehicles, TODAY)
+    rows = {row["no"]: row for row in accepted.collect()}
+    assert set(rows) == {"N-1", "N-2"}
+    first = rows["N-1"]
+    assert (first["vehicle"], first["model"], first["dealer"]) == (
+        VIN[1025], "Sealion 7 (海狮07)", "KTL"
+    )
+    assert (first["status"], first["date"], first["diagnosis"]) == ("Submitted", TODAY, "rattles")
+    assert [tuple(p) for p in first["parts"]] == [("BYD-MTR-5501", 1), ("BYD-WPR-1180", 1)]
+    assert table(rejected, "id", "reason") == {
+        ("N-3", "no vehicle"), ("N-4", "no fault"), ("N-5", "no fault"),
+        ("N-6", "unknown vehicle"),
+    }
+
+
+def test_claim_items(spark):
+    rows = spark.createDataFrame(
+        [("c", "b", 1), ("c", "a", 2), ("d", "a", 3)], "claim string, oe_no string, qty int"
+    )
+    got = {row["claim"]: [tuple(i) for i in row["items"]] for row in op.claim_items(rows).collect()}
+    assert got == {"c": [("a", 2), ("b", 1)], "d": [("a", 3)]}
+
+
+def test_a_long_claim_is_spread_and_whole(spark):
+    hot = spark.range(1000).selectExpr("'hot' claim", "concat('p', id) oe_no", "1 qty")
+    other = spark.range(100).selectExpr("concat('c', id % 50) claim", "concat('p', id) oe_no",
+                                        "1 qty")
+    rows = op.claim_items(hot.unionByName(other), items_per_row=100).collect()
+    chunks = [row for row in rows if row["claim"] == "hot"]
+    assert {row["chunk"] for row in chunks} == set(range(10))
+    assert max(len(row["items"]) for row in chunks) < 200
+    assert sorted(i["oe_no"] for row in chunks for i in row["items"]) == sorted(
+        f"p{n}" for n in range(1000)
+    )
+    assert all(row["chunk"] == 0 and len(row["items"]) == 2
+               for row in rows if row["claim"] != "hot")
+
+
+def test_payload_goes_and_comes_back(portal):
+    payloads = op.claim_payload(portal.new_claims)
+    texts = {row["id"]: row["payload"] for row in payloads.collect()}
+    assert texts["N-2"] == (
+        '{"vehicle_id":"2033","fault_desc":" ","diagnosis":null,"items":[]}'
+    )
+    back = op.parse_payload(payloads)
+    assert back.select(*portal.new_claims.columns).collect() == portal.new_claims.collect()
+
+
+def test_payload_without_a_vehicle(spark):
+    rows = spark.createDataFrame(
+        [("a", '{"vehicle_id":"","fault_desc":"f"}'), ("b", '{"vehicle_id":7}')],
+        "id string, payload string",
+    )
+    assert table(op.parse_payload(rows), "id", "vehicle_id") == {("a", None), ("b", 7)}
+
+
+# Review, write-off, stock
+
+
+def test_decisions(portal):
+    after, log, rejects = op.apply_decisions(portal.claims, portal.decisions)
+    assert table(after, "no", "status") == {
+        ("CLM-2026-0007", "Approved"), ("CLM-2026-0006", "Approved"),
+        ("CLM-2026-0005", "Rejected"), ("CLM-2026-0004", "Shipped"),
+    }
+    assert after.schema.fieldNames() == portal.claims.schema.fieldNames()
+    assert table(log, "claim", "decision") == {
+        ("CLM-2026-0007", "Partial"), ("CLM-2026-0007", "Approved"), ("CLM-2026-0005", "Approved")
+    }
+    assert table(rejects, "claim", "decision", "reason") == {
+        ("CLM-2026-0007", "Rejected", "no note"), ("CLM-2026-9999", "Approved", "unknown claim")
+    }
+
+
+def test_decisions_at_one_time(portal):
+    same = portal.decisions.withColumn("decided_at", F.lit("2026-08-18").cast("timestamp"))
+    newest = op.newest_decisions(same.filter("note <> ''"))
+    assert ("CLM-2026-0007", "Partial") in table(newest, "claim", "decision")
+
+
+def test_write_off(portal):
+    queue = op.awaiting_writeoff(portal.claims, portal.shipments)
+    assert column(queue, "no") == ["CLM-2026-0006"]
+    orders, requests = op.write_off(queue, check(portal, queue), portal.parts)
+    assert table(orders, "claim", "model", "settlement", "parts", "qty") == {
+        ("CLM-2026-0006", "Sealion 7", "Replace part", 1, 1)
+    }
+    assert table(requests, "claim", "oe", "part", "qty", "status") == {
+        ("CLM-2026-0006", "BYD-LMP-2207", "Rear Tail Light (LED)", 1, "Pending")
+    }
+    stock = op.writeoff_stock(requests, portal.inventory)
+    assert table(stock, "oe", "qty_on_hand", "in_stock") == {("BYD-LMP-2207", 12, True)}
+
+
+def test_write_off_of_a_partial_claim(spark, portal):
+    parts = [("BYD-BAT-8842", 5), ("BYD-WPR-1180", 1)]
+    claims = spark.createDataFrame(
+        [
+            ("P", VIN[1024], "m", "f", "Partial", TODAY, parts, None, "KTL"),
+            ("A", VIN[1024], "m", "f", "Approved", TODAY, parts, None, "KTL"),
+            ("Z", VIN[1024], "m", "f", "Approved", TODAY, [], None, "KTL"),
+            ("R", VIN[1024], "m", "f", "Rejected", TODAY, parts, None, "KTL"),
+        ],
+        schemas.CLAIMS,
+    )
+    queue = op.awaiting_writeoff(claims, portal.shipments)
+    orders, requests = op.write_off(queue, check(portal, queue), portal.parts)
+    assert table(orders, "claim", "parts", "qty") == {("P", 1, 5), ("A", 2, 6), ("Z", 0, 0)}
+    assert table(requests, "claim", "oe") == {
+        ("P", "BYD-BAT-8842"), ("A", "BYD-BAT-8842"), ("A", "BYD-WPR-1180")
+    }
+    stock = op.writeoff_stock(requests, portal.inventory)
+    assert table(stock, "claim", "oe", "qty_on_hand", "in_stock") == {
+        ("P", "BYD-BAT-8842", 3, False), ("A", "BYD-BAT-8842", 3, False),
+        ("A", "BYD-WPR-1180", None, False),
+    }
+
+
+def test_outbound(portal):
+    left = op.stock_after_outbound(portal.inventory, portal.outbound)
+    assert table(left, "sku", "taken_out", "on_hand", "short") == {
+        ("SKU-3001", 2, 1, False), ("SKU-3002", 0, 12, False),
+        ("SKU-3003", 2, -1, True), ("SKU-3004", 0, 40, False),
+    }
+    after, orders, rejects = op.apply_outbound(portal.inventory, portal.outbound)
+    assert after.dtypes == portal.inventory.dtypes
+    assert table(after, "sku", "qty") == {
+        ("SKU-3001", 1), ("SKU-3002", 12), ("SKU-3003", -1), ("SKU-3004", 40)
+    }
+    assert set(column(orders, "order_id")) == {"O-1", "O-2", "O-3"}
+    assert table(rejects, "order_id", "reason") == {("O-4", "unknown part")}

@@ -10,14 +10,20 @@ SETTLEMENT = "Replace part"
 REQUESTED = "Pending"
 
 
-def awaiting_writeoff(claims: DataFrame, shipments: DataFrame) -> DataFrame:
+def awaiting_writeoff(
+    claims: DataFrame, shipments: DataFrame, orders: DataFrame | None = None
+) -> DataFrame:
     """Approved and partly approved claims for which nothing was shipped.
 
-    The shipments are cut down to their claim numbers before the anti-join,
-    which combines a claim of very many shipments before the shuffle.
+    ``orders`` may give the write-off orders so far; their claims are done too.
+    Both are cut down to their claim numbers before the anti-join, which
+    combines a claim of very many shipments before the shuffle.
     """
-    shipped = shipments.select(F.col("claim").alias("no")).distinct()
-    return claims.filter(F.col("status").isin(*WRITE_OFF)).join(shipped, "no", "left_anti")
+    done = shipments.select(F.col("claim").alias("no"))
+    if orders is not None:
+        done = done.unionByName(orders.select(F.col("claim").alias("no")))
+    to_settle = claims.filter(F.col("status").isin(*WRITE_OFF))
+    return to_settle.join(done.distinct(), "no", "left_anti")
 
 
 def approved_lines(checks: DataFrame) -> DataFrame:
