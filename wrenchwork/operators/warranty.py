@@ -187,13 +187,13 @@ def warranty_recommendation(
 
 def _catalogue(parts: DataFrame) -> DataFrame:
     """Per OE number the class, the terms that cover the class, and the wear flag."""
-    label = warranty_class("warranty")
     terms = F.lit(None).cast("string")
     for name, covered_by in CLASS_TERMS.items():
-        terms = F.when(label == name, covered_by).otherwise(terms)
-    return parts.select(
-        "oe", label.alias("class"), terms.alias("terms"), F.col("wear").alias("wear_part")
+        terms = F.when(F.col("class") == name, covered_by).otherwise(terms)
+    labelled = parts.select(
+        "oe", warranty_class("warranty").alias("class"), F.col("wear").alias("wear_part")
     )
+    return labelled.withColumn("terms", terms)
 
 
 def _in_term() -> Column:
