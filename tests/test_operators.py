@@ -460,7 +460,7 @@ def test_decisions_at_one_time(portal):
 def test_write_off(portal):
     queue = op.awaiting_writeoff(portal.claims, portal.shipments)
     assert column(queue, "no") == ["CLM-2026-0006"]
-    orders, requests = op.write_off(queue, check(portal, queue), portal.parts)
+    orders, requests = op.write_off(queue, op.part_checks(queue, portal.vehicles, portal.parts))
     assert table(orders, "claim", "model", "settlement", "parts", "qty") == {
         ("CLM-2026-0006", "Sealion 7", "Replace part", 1, 1)
     }
@@ -483,7 +483,7 @@ def test_write_off_of_a_partial_claim(spark, portal):
         schemas.CLAIMS,
     )
     queue = op.awaiting_writeoff(claims, portal.shipments)
-    orders, requests = op.write_off(queue, check(portal, queue), portal.parts)
+    orders, requests = op.write_off(queue, op.part_checks(queue, portal.vehicles, portal.parts))
     assert table(orders, "claim", "parts", "qty") == {("P", 1, 5), ("A", 2, 6), ("Z", 0, 0)}
     assert table(requests, "claim", "oe") == {
         ("P", "BYD-BAT-8842"), ("A", "BYD-BAT-8842"), ("A", "BYD-WPR-1180")

@@ -54,11 +54,19 @@ from .search import (
 from .stock import apply_outbound, check_outbound, stock_after_outbound
 from .warranty import (
     claim_checks,
+    part_checks,
     vehicle_record,
     warranty_check,
     warranty_cover,
     warranty_recommendation,
 )
-from .writeoff import approved_lines, awaiting_writeoff, write_off, writeoff_stock
+from .writeoff import (
+    approved_lines,
+    awaiting_writeoff,
+    shipment_requests,
+    write_off,
+    writeoff_orders,
+    writeoff_stock,
+)
 
 __all__ = [name for name in dir() if not name.startswith("_")]

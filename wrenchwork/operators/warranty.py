@@ -80,10 +80,7 @@ def vehicle_record(
     history = history.groupBy("vin").agg(
         F.min("serviced").alias("first_service"), F.min("crashed").alias("first_accident")
     )
-    held = vehicles.select(
-        "vin", F.col("dealer").alias("holder"), "warranty_start", "mileage", *TERMS
-    )
-    return held.join(history, "vin", "full")
+    return _terms(vehicles).join(history, "vin", "full")
 
 
 def claim_checks(
@@ -100,19 +97,25 @@ def claim_checks(
     join through plain exchanges, so a VIN with very many claims can be cut.
     """
     record = vehicle_record(vehicles, maintenance, accidents, first_service)
-    on_claim = claims.select("no", "vehicle", "dealer", "date", "status").join(
-        record.withColumnRenamed("vin", "vehicle"), "vehicle", "left"
-    )
-    return on_claim.select(
+    return _with_vehicle(claims, record).select(
         "no", "vehicle", "status",
         _mark(F.col("holder") == F.col("dealer"), BAD).alias("identity"),
-        in_cover("date", "ev").alias("ev_in_term"),
-        in_cover("date", "whole").alias("whole_in_term"),
+        *_covers_in_force(),
         F.when(F.col("first_accident") <= F.col("date"), WARN).otherwise(OK).alias("accident"),
         _mark(F.col("first_service") <= F.col("date"), WARN).alias("service"),
     )
 
 
+def part_checks(
+    claims: DataFrame, vehicles: DataFrame, parts: DataFrame, lines: DataFrame | None = None
+) -> DataFrame:
+    """The marks term and wear alone, which ask for no history, per claimed part."""
+    checks = _with_vehicle(claims, _terms(vehicles)).select("no", "status", *_covers_in_force())
+    return _per_part(claims, checks, parts, lines).select(
+        "no", "status", "oe", "name", "qty", "class", "term", "wear"
+    )
+
+
 def warranty_check(
     claims: DataFrame,
     vehicles: DataFrame,
@@ -129,15 +132,8 @@ def warranty_check(
     result of ``claim_lines``, where they are not nested in the claims.
     """
     checks = claim_checks(claims, vehicles, maintenance, accidents, first_service)
-    if lines is None:
-        lines = claim_lines(claims)
-    per_part = lines.join(checks, "no").join(_catalogue(parts), "oe", "left")
-    claimed = F.col("oe").isNotNull()
-    return per_part.select(
-        "no", "status", "oe", "qty", "class", "identity",
-        F.when(claimed, _mark(_in_term(), BAD)).alias("term"),
-        F.when(claimed, _mark(~F.col("wear_part"), BAD)).alias("wear"),
-        "accident", "service",
+    return _per_part(claims, checks, parts, lines).select(
+        "no", "status", "oe", "qty", "class", "identity", "term", "wear", "accident", "service"
     )
 
 
@@ -185,23 +181,54 @@ def warranty_recommendation(
     return counted.select("no", "parts", "passing", recommendation.alias("recommendation"))
 
 
+def _terms(vehicles: DataFrame) -> DataFrame:
+    return vehicles.select(
+        "vin", F.col("dealer").alias("holder"), "warranty_start", "mileage", *TERMS
+    )
+
+
+def _with_vehicle(claims: DataFrame, record: DataFrame) -> DataFrame:
+    needed = claims.select("no", "vehicle", "dealer", "date", "status")
+    return needed.join(record.withColumnRenamed("vin", "vehicle"), "vehicle", "left")
+
+
+def _covers_in_force() -> list[Column]:
+    return [
+        in_cover("date", "ev").alias("ev_in_term"),
+        in_cover("date", "whole").alias("whole_in_term"),
+    ]
+
+
+def _per_part(
+    claims: DataFrame, checks: DataFrame, parts: DataFrame, lines: DataFrame | None
+) -> DataFrame:
+    """Marks per claim and the claimed parts, with the marks of the part added."""
+    if lines is None:
+        lines = claim_lines(claims)
+    claimed = F.col("oe").isNotNull()
+    in_term = ((F.col("terms") == "ev") & F.col("ev_in_term")) | (
+        (F.col("terms") == "whole") & F.col("whole_in_term")
+    )
+    rows = lines.join(checks, "no").join(_catalogue(parts), "oe", "left")
+    return rows.withColumns(
+        {
+            "term": F.when(claimed, _mark(in_term, BAD)),
+            "wear": F.when(claimed, _mark(~F.col("wear_part"), BAD)),
+        }
+    )
+
+
 def _catalogue(parts: DataFrame) -> DataFrame:
-    """Per OE number the class, the terms that cover the class, and the wear flag."""
+    """Per OE number the name, the class, the terms that cover it, and the wear flag."""
     terms = F.lit(None).cast("string")
     for name, covered_by in CLASS_TERMS.items():
         terms = F.when(F.col("class") == name, covered_by).otherwise(terms)
     labelled = parts.select(
-        "oe", warranty_class("warranty").alias("class"), F.col("wear").alias("wear_part")
+        "oe", "name", warranty_class("warranty").alias("class"), F.col("wear").alias("wear_part")
     )
     return labelled.withColumn("terms", terms)
 
 
-def _in_term() -> Column:
-    return ((F.col("terms") == "ev") & F.col("ev_in_term")) | (
-        (F.col("terms") == "whole") & F.col("whole_in_term")
-    )
-
-
 def _mark(passed: Column, otherwise: str) -> Column:
     """Ok where the test holds; a test that meets a null does not hold."""
     return F.when(passed, OK).otherwise(otherwise)

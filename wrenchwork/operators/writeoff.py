@@ -29,39 +29,37 @@ def awaiting_writeoff(
 def approved_lines(checks: DataFrame) -> DataFrame:
     """Claimed parts to be replaced: all of an approved claim, the passing ones of a partial.
 
-    ``checks`` is the result of ``warranty_check`` for the claims in the queue.
+    ``checks`` is the result of ``part_checks`` for the claims in the queue.
     """
     passes = (F.col("term") == OK) & (F.col("wear") == OK)
     approved = (F.col("status") == "Approved") | ((F.col("status") == "Partial") & passes)
-    return checks.filter(F.col("oe").isNotNull() & approved).select("no", "oe", "qty")
+    return checks.filter(F.col("oe").isNotNull() & approved).select("no", "oe", "name", "qty")
 
 
-def write_off(
-    queue: DataFrame, checks: DataFrame, parts: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """``(write-off orders, shipment requests)`` for the claims in ``queue``.
+def shipment_requests(checks: DataFrame) -> DataFrame:
+    """One request per claim and part to be replaced; the name is the catalogue's."""
+    return approved_lines(checks).select(
+        F.col("no").alias("claim"), "oe", F.col("name").alias("part"), "qty",
+        F.lit(REQUESTED).alias("status"),
+    )
 
-    One order per claim, also for a claim with no part to be replaced; one
-    request per claim and part.
-    """
-    lines = approved_lines(checks)
-    totals = lines.groupBy("no").agg(
+
+def writeoff_orders(queue: DataFrame, checks: DataFrame) -> DataFrame:
+    """One order per claim in the queue, also for a claim with no part to be replaced."""
+    totals = approved_lines(checks).groupBy("no").agg(
         F.count("*").alias("parts"), F.sum("qty").alias("qty")
     )
-    orders = queue.select("no", "vehicle", "model").join(totals, "no", "left").select(
+    return queue.select("no", "vehicle", "model").join(totals, "no", "left").select(
         F.col("no").alias("claim"), "vehicle", "model",
         F.lit(SETTLEMENT).alias("settlement"),
         F.coalesce("parts", F.lit(0)).alias("parts"),
         F.coalesce("qty", F.lit(0).cast("long")).alias("qty"),
     )
-    return orders, _requests(lines, parts)
 
 
-def _requests(lines: DataFrame, parts: DataFrame) -> DataFrame:
-    names = parts.select("oe", F.col("name").alias("part"))
-    return lines.join(names, "oe", "left").select(
-        F.col("no").alias("claim"), "oe", "part", "qty", F.lit(REQUESTED).alias("status")
-    )
+def write_off(queue: DataFrame, checks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(write-off orders, shipment requests)`` for the claims in ``queue``."""
+    return writeoff_orders(queue, checks), shipment_requests(checks)
 
 
 def writeoff_stock(requests: DataFrame, inventory: DataFrame) -> DataFrame:

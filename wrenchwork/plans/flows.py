@@ -46,7 +46,6 @@ def write_off_claims(
     reviewed: str,
     target: str,
     orders: DataFrame | None = None,
-    accidents: DataFrame | None = None,
 ) -> None:
     """Settle the claims approved in ``reviewed``: ``writeoff_orders``, ``shipment_requests``.
 
@@ -55,16 +54,15 @@ def write_off_claims(
     claims = src.read_claims(spark, f"{reviewed}/claims")
     vehicles = src.read_vehicles(spark, f"{source}/vehicles")
     parts = src.read_parts(spark, f"{source}/parts")
-    maintenance = src.read_maintenance(spark, f"{source}/maintenance")
     shipments = src.read_shipments(spark, f"{source}/shipments")
 
     queue = op.awaiting_writeoff(claims, shipments, orders)
     src.write_snapshot(queue, f"{target}/writeoff_queue")
     queue = src.read_claims(spark, f"{target}/writeoff_queue")
-    checks = op.warranty_check(queue, vehicles, parts, maintenance, accidents)
+    checks = op.part_checks(queue, vehicles, parts)
     src.write_snapshot(checks, f"{target}/writeoff_checks")
     checks = spark.read.schema(checks.schema).parquet(f"{target}/writeoff_checks")
-    new_orders, requests = op.write_off(queue, checks, parts)
+    new_orders, requests = op.write_off(queue, checks)
     src.append_rows(new_orders, f"{target}/writeoff_orders")
     src.append_rows(requests, f"{target}/shipment_requests")
 

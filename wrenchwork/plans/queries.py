@@ -349,30 +349,26 @@ def awaiting_writeoff(t: Tables) -> DataFrame:
     )
 
 
-def _write_off(t: Tables) -> tuple[DataFrame, DataFrame]:
+def _settled(t: Tables) -> tuple[DataFrame, DataFrame]:
     queue = op.awaiting_writeoff(t.claims(), t.shipments())
-    checks = op.warranty_check(
-        queue, t.vehicles(), t.parts(), t.maintenance(), t.accidents(), t.claim_parts()
-    )
-    return op.write_off(queue, checks, t.parts())
+    return queue, op.part_checks(queue, t.vehicles(), t.parts(), t.claim_parts())
 
 
 @_query
 def writeoff_orders(t: Tables) -> DataFrame:
-    orders, _ = _write_off(t)
-    return orders
+    return op.writeoff_orders(*_settled(t))
 
 
 @_query
 def shipment_requests(t: Tables) -> DataFrame:
-    _, requests = _write_off(t)
-    return requests
+    _, checks = _settled(t)
+    return op.shipment_requests(checks)
 
 
 @_query
 def writeoff_stock(t: Tables) -> DataFrame:
-    _, requests = _write_off(t)
-    return op.writeoff_stock(requests, t.inventory())
+    _, checks = _settled(t)
+    return op.writeoff_stock(op.shipment_requests(checks), t.inventory())
 
 
 @_query
