@@ -1,0 +1,111 @@
+"""What the plans may and must not contain."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+
+import __spark_entry__ as driver
+
+FOLDER = "/root/testdata/sf0.01"
+QUERIES = driver.queries()
+
+# Python workers, products of two tables, and windows, which order one key in one task.
+UNWANTED = re.compile(
+    r"Python|InPandas|InArrow|CartesianProduct|BroadcastNestedLoopJoin|Window \["
+)
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def plan(spark, name):
+    return plan_of(QUERIES[name](spark, FOLDER))
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_nothing_unwanted(spark, name):
+    assert not UNWANTED.search(plan(spark, name))
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_nothing_unwanted_without_broadcasts(spark, no_broadcast, name):
+    text = plan(spark, name)
+    assert not UNWANTED.search(text)
+    # The one hint: the claims whose list of items is too long for a row.
+    hinted = name in ("claim_items", "claim_payload_json")
+    assert text.count("BroadcastHashJoin") == hinted
+
+
+def scans(text):
+    """Columns read, per scan."""
+    return [set(re.findall(r"(\w+)#\d+L?", s)) for s in re.findall(r"FileScan parquet \[(.*?)\]", text)]
+
+
+def pushed(text):
+    return " ".join(re.findall(r"PushedFilters: \[(.*?)\], ReadSchema", text))
+
+
+def test_columns_are_pruned(spark):
+    assert scans(plan(spark, "claims_per_status")) == [{"o_orderstatus", "o_orderpriority"}]
+    assert scans(plan(spark, "low_stock_count")) == [{"p_partkey", "p_size"}]
+    read = {frozenset(s) for s in scans(plan(spark, "warranty_recommendation"))}
+    assert frozenset({"l_orderkey", "l_partkey"}) in read
+    assert not any("props" in s or "o_totalprice" in s for s in read)
+
+
+def test_filters_reach_the_scan(spark):
+    assert "EqualTo(l_linestatus,F)" in pushed(plan(spark, "scan_shipments"))
+    assert "EqualTo(event_type,error)" in pushed(plan(spark, "vehicle_record"))
+    assert "EqualTo(p_brand,Brand#2)" in pushed(plan(spark, "part_search"))
+
+
+def test_lookups_are_dropped_where_only_claim_numbers_count(spark):
+    """Whether a claim was shipped needs no part names and no carriers."""
+    text = plan(spark, "awaiting_writeoff")
+    assert "supplier.parquet" not in text and "part.parquet" not in text
+    assert "LeftAnti" in text
+
+
+def test_short_lists_take_the_top_of_each_partition(spark):
+    for name in ("recent_claims", "part_picker"):
+        text = plan(spark, name)
+        assert "TakeOrderedAndProject" in text and "Exchange rangepartitioning" not in text
+
+
+def test_empty_searches_leave_no_predicate(spark):
+    assert "Contains" not in plan(spark, "part_search_all")
+
+
+def test_histories_are_reduced_before_they_are_joined(spark, no_broadcast):
+    """One shuffle of both histories together, after a first aggregation."""
+    text = plan(spark, "vehicle_record")
+    join = text.index("FullOuter")
+    assert text.count("partial_min") == 2
+    assert text.index("partial_min") > join and text.index("Union") > text.index("partial_min")
+
+
+def test_recommendation_joins_counts_not_lines(spark, no_broadcast):
+    text = plan(spark, "warranty_recommendation")
+    first_join = next(line for line in text.splitlines() if "Join" in line)
+    assert "LeftOuter" in first_join and "[no#" in first_join
+    assert "partial_count(oe" in text
+
+
+def test_building_a_query_runs_no_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "building")
+    for query in QUERIES.values():
+        query(spark, FOLDER)
+    assert list(tracker.getJobIdsForGroup("building")) == []
+    spark.sparkContext.setJobGroup("tests", "tests")

@@ -287,13 +287,13 @@ SQL = {
     "dealer_kpis": f"""
         with dealers as (select dealer from claims union select dealer from vehicles)
         select d.dealer,
-          (select count(*) from claims c where c.dealer = d.dealer
+          (select count(*) from claims c where c.dealer is not distinct from d.dealer
             and c.status = 'Under Review') as under_review,
-          (select count(*) from claims c where c.dealer = d.dealer
+          (select count(*) from claims c where c.dealer is not distinct from d.dealer
             and c.status = 'Approved') as approved,
-          (select count(*) from claims c where c.dealer = d.dealer
+          (select count(*) from claims c where c.dealer is not distinct from d.dealer
             and c.status = 'Shipped') as shipped,
-          (select count(*) from vehicles v where v.dealer = d.dealer
+          (select count(*) from vehicles v where v.dealer is not distinct from d.dealer
             and {AS_OF} >= warranty_start and (
             ({AS_OF} <= cast(warranty_start + to_months(whole_months) as date)
               and mileage <= whole_km)
