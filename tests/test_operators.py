@@ -263,6 +263,36 @@ def test_check_of_the_review_card(portal):
     }
 
 
+def test_review_card(spark, portal):
+    queue = op.pending_review(portal.claims)
+    card = op.review_card(queue, portal.vehicles, portal.parts, portal.maintenance)
+    assert [tuple(r) for r in card.orderBy("step").select("check", "mark", "detail").collect()] == [
+        ("Vehicle Identity", "ok", "VIN matches dealer inventory · KTL"),
+        ("Warranty Term / Mileage", "ok", "18,400 km · within EV 96mo / 240,000 km"),
+        ("Wear / Exclusion", "ok",
+         "Battery Pack Assembly (LFP, 71.8kWh) is EV Core — not a wear item"),
+        ("Human / Accident", "ok", "No accident record; pending manual confirm"),
+        ("Maintenance Compliance", "ok", "First service on record (2026-08-02)"),
+    ]
+
+
+def test_review_card_of_what_is_unknown(spark, portal):
+    claims = spark.createDataFrame(
+        [("x", "VIN-X", "m", "f", "Submitted", TODAY, [("ODD", 1)], None, "KTL"),
+         ("y", VIN[1024], "m", "f", "Submitted", TODAY, [], None, "AvaMotor")],
+        schemas.CLAIMS,
+    )
+    card = op.review_card(claims, portal.vehicles, portal.parts, portal.maintenance)
+    assert table(card.filter("step < 4"), "no", "step", "mark", "detail") == {
+        ("x", 1, "bad", "VIN not in any dealer inventory"),
+        ("x", 2, "bad", "No cover known"),
+        ("x", 3, "bad", "Part not in the catalogue"),
+        ("y", 1, "bad", "VIN held by another dealer · KTL"),
+        ("y", 2, None, None),
+        ("y", 3, None, None),
+    }
+
+
 def test_recommendation(portal):
     assert recommend(portal) == {
         "CLM-2026-0007": "Approve",

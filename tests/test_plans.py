@@ -7,6 +7,7 @@ import re
 import pytest
 
 import __spark_entry__ as driver
+from wrenchwork import session
 
 FOLDER = "/root/testdata/sf0.01"
 QUERIES = driver.queries()
@@ -109,3 +110,15 @@ def test_building_a_query_runs_no_job(spark):
         query(spark, FOLDER)
     assert list(tracker.getJobIdsForGroup("building")) == []
     spark.sparkContext.setJobGroup("tests", "tests")
+
+
+def test_shuffles_grow_with_the_tables(spark):
+    small = session.stored_bytes(spark, FOLDER)
+    assert 1_000_000 < small < 100_000_000
+    assert session.partitions_for(small) == 1
+    assert session.partitions_for(10 << 40) == 10_240
+    assert session.partitions_for(1 << 60) == session.MOST_PARTITIONS
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    session.prepare(spark, FOLDER)
+    assert spark.conf.get(session.INITIAL_PARTITIONS, None) is None
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before

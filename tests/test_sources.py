@@ -159,3 +159,9 @@ def test_decision_loop(spark, store, tmp_path):
     assert ("SKU-3001", 1) in table(left, "sku", "qty")
     assert spark.read.parquet(f"{target}/outbound_orders").count() == 3
     assert spark.read.parquet(f"{target}/outbound_rejects").count() == 1
+
+
+def test_filters_on_stored_claims_reach_the_scan(spark, store):
+    queue = op.pending_review(src.read_claims(spark, f"{store}/claims"))
+    plan = queue._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(status,Under Review)" in plan

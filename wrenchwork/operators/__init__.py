@@ -1,5 +1,6 @@
 """Operators on the entity tables, each a function from DataFrames to DataFrames."""
 
+from .checked import split_checked
 from .intake import (
     accepted_claims,
     check_intake,
@@ -21,7 +22,9 @@ from .lists import (
     claim_list,
     escaped_rows,
     maintenance_timeline,
+    newest_claims,
     part_cards,
+    part_labels,
     part_picker,
     recent_claims,
     shipment_list,
@@ -51,10 +54,11 @@ from .search import (
     search_parts,
     search_vehicles,
 )
-from .stock import apply_outbound, check_outbound, stock_after_outbound
+from .stock import apply_outbound, check_outbound, moved_stock, stock_after_outbound
 from .warranty import (
     claim_checks,
     part_checks,
+    review_card,
     vehicle_record,
     warranty_check,
     warranty_cover,

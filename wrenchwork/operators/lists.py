@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.cover import label_months, warranty_class
 from ..functions.status import status_class
 from ..functions.text import escape_html, thousands
 
@@ -65,10 +66,21 @@ def status_badges(rows: DataFrame) -> DataFrame:
     return rows.withColumn("badge", status_class("status"))
 
 
-def recent_claims(claims: DataFrame, size: int = RECENT) -> DataFrame:
+def newest_claims(claims: DataFrame, size: int = RECENT) -> DataFrame:
     """Newest claims first; claims of one day by number, highest first."""
-    newest_first = claims.orderBy(F.desc("date"), F.desc("no")).limit(size)
-    return newest_first.select("no", "model", "status", "date")
+    return claims.orderBy(F.desc("date"), F.desc("no")).limit(size)
+
+
+def recent_claims(claims: DataFrame, size: int = RECENT) -> DataFrame:
+    return newest_claims(claims, size).select("no", "model", "status", "date")
+
+
+def part_labels(parts: DataFrame) -> DataFrame:
+    """Class and months that the warranty label of a part states."""
+    return parts.select(
+        "oe", "warranty",
+        warranty_class("warranty").alias("class"), label_months("warranty").alias("months"),
+    )
 
 
 def maintenance_timeline(maintenance: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..schemas import REVIEWABLE
+from .checked import split_checked
 
 
 def newest_decisions(decisions: DataFrame) -> DataFrame:
@@ -51,7 +52,5 @@ def apply_decisions(
     The audit log keeps every decision that counts, also those that a newer one
     replaced; log and rejects together are all decisions given.
     """
-    checked = check_decisions(claims, decisions)
-    log = checked.filter(F.col("reason").isNull()).drop("reason")
-    rejects = checked.filter(F.col("reason").isNotNull())
+    log, rejects = split_checked(check_decisions(claims, decisions))
     return reviewed_claims(claims, decisions), log, rejects

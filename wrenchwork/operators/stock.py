@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .checked import split_checked
+
 
 def stock_after_outbound(inventory: DataFrame, outbound: DataFrame) -> DataFrame:
     """Every article with the quantity taken out and the quantity left.
@@ -31,17 +33,16 @@ def check_outbound(inventory: DataFrame, outbound: DataFrame) -> DataFrame:
     )
 
 
+def moved_stock(inventory: DataFrame, outbound: DataFrame) -> DataFrame:
+    """The inventory with its own columns, ``qty`` less what was taken out."""
+    kind = inventory.schema["qty"].dataType
+    left = stock_after_outbound(inventory, outbound)
+    return left.withColumn("qty", F.col("on_hand").cast(kind)).select(*inventory.columns)
+
+
 def apply_outbound(
     inventory: DataFrame, outbound: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(inventory afterwards, outbound orders, rejects)``.
-
-    The inventory has its input columns, with ``qty`` less what was taken out.
-    """
-    left = stock_after_outbound(inventory, outbound)
-    kind = inventory.schema["qty"].dataType
-    after = left.withColumn("qty", F.col("on_hand").cast(kind)).select(*inventory.columns)
-    checked = check_outbound(inventory, outbound)
-    orders = checked.filter(F.col("reason").isNull()).drop("reason")
-    rejects = checked.filter(F.col("reason").isNotNull())
-    return after, orders, rejects
+    """``(inventory afterwards, outbound orders, rejects)``."""
+    orders, rejects = split_checked(check_outbound(inventory, outbound))
+    return moved_stock(inventory, outbound), orders, rejects

@@ -93,12 +93,12 @@ def claim_checks(
     """One row per claim: the marks that do not depend on the part.
 
     ``ev_in_term`` and ``whole_in_term`` say which of the vehicle's covers is
-    in force. After the full join in ``vehicle_record`` both sides reach this
+    in force; what the marks rest on comes along. After the full join in ``vehicle_record`` both sides reach this
     join through plain exchanges, so a VIN with very many claims can be cut.
     """
     record = vehicle_record(vehicles, maintenance, accidents, first_service)
     return _with_vehicle(claims, record).select(
-        "no", "vehicle", "status",
+        "no", "vehicle", "status", "holder", "mileage", *TERMS, "first_service", "first_accident",
         _mark(F.col("holder") == F.col("dealer"), BAD).alias("identity"),
         *_covers_in_force(),
         F.when(F.col("first_accident") <= F.col("date"), WARN).otherwise(OK).alias("accident"),
@@ -137,6 +137,66 @@ def warranty_check(
     )
 
 
+def review_card(
+    claims: DataFrame,
+    vehicles: DataFrame,
+    parts: DataFrame,
+    maintenance: DataFrame,
+    accidents: DataFrame | None = None,
+    lines: DataFrame | None = None,
+    first_service: str = FIRST_SERVICE,
+) -> DataFrame:
+    """The check as the reviewer reads it: five rows per claimed part, in words.
+
+    Rows two and three of a claim without parts have no mark.
+    """
+    checks = claim_checks(claims, vehicles, maintenance, accidents, first_service)
+    rows = _per_part(claims, checks, parts, lines)
+    named = {"ev": "EV", "whole": "Whole Vehicle"}
+    limit = F.lit(None).cast("string")
+    for terms, name in named.items():
+        stated = F.concat(
+            F.lit(f"{name} "), F.col(f"{terms}_months").cast("string"), F.lit("mo / "),
+            thousands(f"{terms}_km"), F.lit(" km"),
+        )
+        limit = F.when(F.col("terms") == terms, stated).otherwise(limit)
+    reading = F.concat(
+        thousands("mileage"),
+        F.when(F.col("term") == OK, " km · within ").otherwise(" km · outside "), limit,
+    )
+    details = (
+        ("Vehicle Identity", "identity",
+         F.when(F.col("holder").isNull(), "VIN not in any dealer inventory")
+         .when(F.col("identity") == OK,
+               F.concat(F.lit("VIN matches dealer inventory · "), "holder"))
+         .otherwise(F.concat(F.lit("VIN held by another dealer · "), "holder"))),
+        ("Warranty Term / Mileage", "term", F.coalesce(reading, F.lit("No cover known"))),
+        ("Wear / Exclusion", "wear",
+         F.when(F.col("wear") == OK,
+                F.concat("name", F.lit(" is "), F.coalesce("class", F.lit("of no class")),
+                         F.lit(" — not a wear item")))
+         .when(F.col("wear_part"), F.concat("name", F.lit(" is a wear item")))
+         .otherwise("Part not in the catalogue")),
+        ("Human / Accident", "accident",
+         F.when(F.col("accident") == OK, "No accident record; pending manual confirm")
+         .otherwise(_dated("Accident on record", "first_accident"))),
+        ("Maintenance Compliance", "service",
+         F.when(F.col("service") == OK, _dated("First service on record", "first_service"))
+         .otherwise("No first service on record")),
+    )
+    card = F.array(
+        *[
+            F.struct(
+                F.lit(step).alias("step"), F.lit(title).alias("check"),
+                F.col(mark).alias("mark"),
+                F.when(F.col(mark).isNotNull(), text).alias("detail"),
+            )
+            for step, (title, mark, text) in enumerate(details, 1)
+        ]
+    )
+    return rows.select("no", "oe", F.inline(card))
+
+
 def warranty_recommendation(
     claims: DataFrame,
     vehicles: DataFrame,
@@ -229,6 +289,10 @@ def _catalogue(parts: DataFrame) -> DataFrame:
     return labelled.withColumn("terms", terms)
 
 
+def _dated(text: str, day: str) -> Column:
+    return F.concat(F.lit(f"{text} ("), F.col(day).cast("string"), F.lit(")"))
+
+
 def _mark(passed: Column, otherwise: str) -> Column:
     """Ok where the test holds; a test that meets a null does not hold."""
     return F.when(passed, OK).otherwise(otherwise)

@@ -25,17 +25,18 @@ def take_in_claims(spark: SparkSession, source: str, target: str, submitted_on:
     """Accepted new claims to ``claims``, the others to ``claim_rejects``."""
     vehicles = src.read_vehicles(spark, f"{source}/vehicles")
     forms = src.read_new_claims(spark, f"{source}/new_claims")
-    accepted, rejected = op.intake_claims(forms, vehicles, submitted_on)
-    src.append_claims(accepted, f"{target}/claims")
-    src.append_rows(rejected, f"{target}/claim_rejects")
+    checked = _stored(op.check_intake(forms, vehicles), f"{target}/intake_checked")
+    src.append_claims(op.accepted_claims(checked, submitted_on), f"{target}/claims")
+    src.append_rows(op.rejected_claims(checked), f"{target}/claim_rejects")
 
 
 def review_claims(spark: SparkSession, source: str, target: str) -> None:
     """Apply ``decisions``: new ``claims``, ``decision_log`` and ``decision_rejects``."""
     claims = src.read_claims(spark, f"{source}/claims")
     decisions = src.read_decisions(spark, f"{source}/decisions")
-    reviewed, log, rejects = op.apply_decisions(claims, decisions)
-    src.write_claims(reviewed, f"{target}/claims")
+    checked = _stored(op.check_decisions(claims, decisions), f"{target}/decisions_checked")
+    log, rejects = op.split_checked(checked)
+    src.write_claims(op.reviewed_claims(claims, log), f"{target}/claims")
     src.append_rows(log, f"{target}/decision_log")
     src.append_rows(rejects, f"{target}/decision_rejects")
 
@@ -57,11 +58,8 @@ def write_off_claims(
     shipments = src.read_shipments(spark, f"{source}/shipments")
 
     queue = op.awaiting_writeoff(claims, shipments, orders)
-    src.write_snapshot(queue, f"{target}/writeoff_queue")
-    queue = src.read_claims(spark, f"{target}/writeoff_queue")
-    checks = op.part_checks(queue, vehicles, parts)
-    src.write_snapshot(checks, f"{target}/writeoff_checks")
-    checks = spark.read.schema(checks.schema).parquet(f"{target}/writeoff_checks")
+    queue = _stored(queue, f"{target}/writeoff_queue")
+    checks = _stored(op.part_checks(queue, vehicles, parts), f"{target}/writeoff_checks")
     new_orders, requests = op.write_off(queue, checks)
     src.append_rows(new_orders, f"{target}/writeoff_orders")
     src.append_rows(requests, f"{target}/shipment_requests")
@@ -71,7 +69,14 @@ def move_stock(spark: SparkSession, source: str, target: str) -> None:
     """Apply ``outbound``: new ``inventory``, ``outbound_orders`` and ``outbound_rejects``."""
     inventory = src.require_unique(src.read_inventory(spark, f"{source}/inventory"), "oe")
     outbound = src.read_outbound(spark, f"{source}/outbound")
-    after, orders, rejects = op.apply_outbound(inventory, outbound)
-    src.write_snapshot(after, f"{target}/inventory")
+    checked = _stored(op.check_outbound(inventory, outbound), f"{target}/outbound_checked")
+    orders, rejects = op.split_checked(checked)
+    src.write_snapshot(op.moved_stock(inventory, orders), f"{target}/inventory")
     src.append_rows(orders, f"{target}/outbound_orders")
     src.append_rows(rejects, f"{target}/outbound_rejects")
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    """Write an intermediate table and go on from what was written."""
+    src.write_snapshot(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

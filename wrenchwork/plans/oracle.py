@@ -171,6 +171,11 @@ SQL = {
     "vehicle_picker": "select id, vin || ' · ' || model as label from vehicles",
     "claim_list": "select no, model, vehicle, fault, date, status from claims",
     "part_cards": PART_CARD,
+    "part_labels": """select oe, warranty,
+        case when wear then 'Wear Item' when cat in ('PROMO', 'ECONOMY') then 'EV Core'
+          else 'General' end as class,
+        case when wear then null when cat in ('PROMO', 'ECONOMY') then 96 else 72 end as months
+        from parts""",
     "part_picker": "select name, oe from parts order by oe limit 5",
     "stock_level": """select sku, oe, name, qty, location,
         case when qty > safety then 'OK' else 'Low' end as level from inventory""",
@@ -248,6 +253,40 @@ SQL = {
           (select min(date) from accidents a where a.vin = v.vin) as first_accident
         from vehicles v""",
     "warranty_check": "select * from check_rows",
+    "review_card": """
+        with facts as (
+          select r.*, v.vin, v.dealer as holder, p.name, p.wear as wear_part,
+            format('{:,}', v.mileage) as km,
+            case when r.class = 'EV Core'
+              then 'EV ' || v.ev_months || 'mo / ' || format('{:,}', v.ev_km)
+              else 'Whole Vehicle ' || v.whole_months || 'mo / ' || format('{:,}', v.whole_km)
+              end as terms,
+            (select min(date) from accidents a where a.vin = m.vehicle) as crashed,
+            (select min(date) from maintenance s
+              where s.vin = m.vehicle and s.title like '%first service%') as served
+          from check_rows r join marks m on m.no = r.no
+          left join vehicles v on v.vin = m.vehicle left join parts p on p.oe = r.oe)
+        select no, oe, 1 as step, 'Vehicle Identity' as "check", identity as mark,
+          case when holder is null then 'VIN not in any dealer inventory'
+               when identity = 'ok' then 'VIN matches dealer inventory · ' || holder
+               else 'VIN held by another dealer · ' || holder end as detail from facts
+        union all
+        select no, oe, 2, 'Warranty Term / Mileage', term,
+          case when oe is not null then coalesce(km || ' km · '
+            || case when term = 'ok' then 'within ' else 'outside ' end || terms || ' km',
+            'No cover known') end from facts
+        union all
+        select no, oe, 3, 'Wear / Exclusion', wear,
+          case when oe is not null then name || case when wear_part then ' is a wear item'
+            else ' is ' || class || ' — not a wear item' end end from facts
+        union all
+        select no, oe, 4, 'Human / Accident', accident,
+          case when accident = 'ok' then 'No accident record; pending manual confirm'
+               else 'Accident on record (' || crashed || ')' end from facts
+        union all
+        select no, oe, 5, 'Maintenance Compliance', service,
+          case when service = 'ok' then 'First service on record (' || served || ')'
+               else 'No first service on record' end from facts""",
     "warranty_recommendation": """
         with per_claim as (
           select no, count(oe) as parts,

@@ -86,6 +86,11 @@ def part_cards(t: Tables) -> DataFrame:
     return op.part_cards(t.parts())
 
 
+@_query
+def part_labels(t: Tables) -> DataFrame:
+    return op.part_labels(t.parts())
+
+
 @_query
 def part_picker(t: Tables) -> DataFrame:
     return op.part_picker(t.parts())
@@ -110,7 +115,8 @@ def status_class(t: Tables) -> DataFrame:
 
 @_query
 def recent_claims(t: Tables) -> DataFrame:
-    return op.recent_claims(t.claims())
+    newest = op.newest_claims(t.claim_heads())
+    return op.recent_claims(t.claims(newest))
 
 
 @_query
@@ -242,6 +248,13 @@ def warranty_check(t: Tables) -> DataFrame:
     )
 
 
+@_query
+def review_card(t: Tables) -> DataFrame:
+    return op.review_card(
+        t.claims(), t.vehicles(), t.parts(), t.maintenance(), t.accidents(), t.claim_lines()
+    )
+
+
 @_query
 def warranty_recommendation(t: Tables) -> DataFrame:
     return op.warranty_recommendation(

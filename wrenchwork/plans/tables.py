@@ -102,8 +102,8 @@ class Tables:
             F.col("o_orderstatus").alias("stage"),
         )
 
-    def claims(self) -> DataFrame:
-        """One claim in ten names another dealer than its vehicle's."""
+    def claims(self, heads: DataFrame | None = None) -> DataFrame:
+        """Claims, or those of some heads; one in ten names not its vehicle's dealer."""
         owner = self.raw("customer").select(
             F.col("c_custkey").alias("vehicle_id"), F.col("c_name").alias("vehicle"),
             _model(F.col("c_custkey")).alias("model"), "c_nationkey",
@@ -111,7 +111,7 @@ class Tables:
         dealers = self.raw("nation").select("n_nationkey", F.col("n_name").alias("dealer"))
         moved = F.when(F.col("claim_id") % 10 == 0, 1).otherwise(0)
         return (
-            self.claim_heads()
+            (self.claim_heads() if heads is None else heads)
             .join(owner, "vehicle_id", "left")
             .join(dealers, F.col("n_nationkey") == (F.col("c_nationkey") + moved) % 25, "left")
             .select("no", "claim_id", "vehicle", "model", "fault", "dealer", "date", "status")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import SparkSession
 
 # A key that holds a large share of a table is cut at run time into several
@@ -14,8 +16,34 @@ SKEW_SETTINGS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
 }
 
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+BYTES_PER_PARTITION = 1 << 30
+MOST_PARTITIONS = 100_000
+
 
-def prepare(spark: SparkSession) -> SparkSession:
+def prepare(spark: SparkSession, folder: str | None = None) -> SparkSession:
+    """Set the session up, and its shuffles for the size of the tables in ``folder``."""
     for name, value in SKEW_SETTINGS.items():
         spark.conf.set(name, value)
+    if folder is not None:
+        wanted = partitions_for(stored_bytes(spark, folder))
+        present = spark.conf.get(INITIAL_PARTITIONS, None)
+        if wanted > int(present or spark.conf.get("spark.sql.shuffle.partitions")):
+            spark.conf.set(INITIAL_PARTITIONS, str(wanted))
     return spark
+
+
+def partitions_for(stored: int) -> int:
+    """Shuffle partitions to begin with for tables of that many bytes.
+
+    A query shuffles some of the columns, so a partition gets a part of a
+    ``BYTES_PER_PARTITION``; adaptive execution joins those that turn out small.
+    """
+    return min(max(1, math.ceil(stored / BYTES_PER_PARTITION)), MOST_PARTITIONS)
+
+
+def stored_bytes(spark: SparkSession, folder: str) -> int:
+    """Bytes of the files below a folder, as its file system has them on record."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.getContentSummary(path).getLength()
