@@ -6,14 +6,17 @@ import math
 
 from pyspark.sql import SparkSession
 
-# A key that holds a large share of a table is cut at run time into several
-# tasks. Forced, so that a join is also cut where a later step then needs one
-# more shuffle of its result: cheap beside one task with a third of the rows.
-SKEW_SETTINGS = {
+SETTINGS = {
+    # A key that holds a large share of a table is cut at run time into several
+    # tasks. Forced, so that a join is also cut where a later step then needs one
+    # more shuffle of its result: cheap beside one task with a third of the rows.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # A join side whose partitions all turn out this small is hashed per
+    # partition, which spares sorting the other side.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "16m",
 }
 
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
@@ -23,7 +26,7 @@ MOST_PARTITIONS = 100_000
 
 def prepare(spark: SparkSession, folder: str | None = None) -> SparkSession:
     """Set the session up, and its shuffles for the size of the tables in ``folder``."""
-    for name, value in SKEW_SETTINGS.items():
+    for name, value in SETTINGS.items():
         spark.conf.set(name, value)
     if folder is not None:
         wanted = partitions_for(stored_bytes(spark, folder))
