@@ -229,6 +229,12 @@ def test_cover_limits_are_inclusive(portal):
     assert states(date(2033, 11, 20), 200001) == [False, False]
 
 
+def test_status_of_a_vehicle(portal):
+    for day, state in ((TODAY, "In Warranty"), (date(2034, 5, 3), "Out of Warranty")):
+        cars = op.with_status(portal.vehicles.drop("status"), day)
+        assert set(column(cars, "status")) == {state}
+
+
 def test_cover_rows(portal):
     cover = op.warranty_cover(op.vehicle_by_id(portal.vehicles, 1024), TODAY)
     assert table(cover, "cover", "terms", "state") == {

@@ -63,6 +63,7 @@ from .warranty import (
     warranty_check,
     warranty_cover,
     warranty_recommendation,
+    with_status,
 )
 from .writeoff import (
     approved_lines,

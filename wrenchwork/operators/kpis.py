@@ -10,8 +10,8 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.cover import in_cover
 from .search import low_stock
+from .warranty import active
 from .writeoff import awaiting_writeoff
 
 PENDING = "Under Review"
@@ -21,11 +21,6 @@ def claims_per_status(claims: DataFrame) -> DataFrame:
     return claims.groupBy("status").agg(F.count("*").alias("claims"))
 
 
-def active(as_of: date) -> Column:
-    """Is any cover of the vehicle in force on the day?"""
-    return in_cover(as_of, "whole") | in_cover(as_of, "ev")
-
-
 def active_vehicles(vehicles: DataFrame, as_of: date) -> DataFrame:
     """Vehicles with a cover in force on a day, per dealer; dealers without one show 0."""
     return vehicles.groupBy("dealer").agg(F.count_if(active(as_of)).alias("active_vehicles"))

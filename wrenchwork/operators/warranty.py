@@ -30,6 +30,7 @@ from ..schemas import BAD, OK, WARN
 from .related import claim_lines
 
 FIRST_SERVICE = "first service"
+IN_WARRANTY, OUT_OF_WARRANTY = "In Warranty", "Out of Warranty"
 TERMS = ("whole_months", "whole_km", "ev_months", "ev_km")
 COVER_NAMES = (("Whole Vehicle", "whole"), ("EV Components (Battery / Motor / ECU)", "ev"))
 
@@ -42,8 +43,8 @@ def warranty_cover(vehicles: DataFrame, as_of: date) -> DataFrame:
                 F.lit(name).alias("cover"),
                 F.col(f"{terms}_months").alias("months"),
                 F.col(f"{terms}_km").alias("km"),
-                F.when(in_cover(as_of, terms), "In Warranty")
-                .otherwise("Out of Warranty")
+                F.when(in_cover(as_of, terms), IN_WARRANTY)
+                .otherwise(OUT_OF_WARRANTY)
                 .alias("state"),
             )
             for name, terms in COVER_NAMES
@@ -57,6 +58,17 @@ def warranty_cover(vehicles: DataFrame, as_of: date) -> DataFrame:
     )
 
 
+def active(as_of: date) -> Column:
+    """Is any cover of the vehicle in force on the day?"""
+    return in_cover(as_of, "whole") | in_cover(as_of, "ev")
+
+
+def with_status(vehicles: DataFrame, as_of: date) -> DataFrame:
+    """The vehicles with the ``status`` their covers give them on a day."""
+    status = F.when(active(as_of), IN_WARRANTY).otherwise(OUT_OF_WARRANTY)
+    return vehicles.withColumn("status", status)
+
+
 def vehicle_record(
     vehicles: DataFrame,
     maintenance: DataFrame,

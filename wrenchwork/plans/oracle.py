@@ -164,8 +164,15 @@ SQL = {
     "scan_inventory": "select * from inventory",
     "scan_shipments": "select * from shipments",
     "scan_maintenance": "select * from maintenance",
-    "vehicle_list": """select vin, brand, model, plate, format('{:,}', mileage) || ' km' as mileage,
-        'In Warranty' as status from vehicles""",
+    "vehicle_list": f"""select vin, brand, model, plate, format('{{:,}}', mileage) || ' km' as mileage,
+        case when {AS_OF} < warranty_start then 'Out of Warranty'
+             when mileage <= whole_km
+               and {AS_OF} <= cast(warranty_start + to_months(whole_months) as date)
+             then 'In Warranty'
+             when mileage <= ev_km
+               and {AS_OF} <= cast(warranty_start + to_months(ev_months) as date)
+             then 'In Warranty' else 'Out of Warranty' end as status
+        from vehicles""",
     "vehicle_profile": """select brand, model, vin, plate, warranty_start as sale_date,
         format('{:,}', mileage) || ' km' as mileage from vehicles""",
     "vehicle_picker": "select id, vin || ' · ' || model as label from vehicles",

@@ -62,7 +62,7 @@ def scan_maintenance(t: Tables) -> DataFrame:
 
 @_query
 def vehicle_list(t: Tables) -> DataFrame:
-    return op.vehicle_list(t.vehicles().withColumn("status", F.lit("In Warranty")))
+    return op.vehicle_list(op.with_status(t.vehicles(), AS_OF))
 
 
 @_query

@@ -12,9 +12,11 @@ the lookups.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
+from functools import wraps
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Day on which the queries look at covers: the last day of the claims.
 AS_OF = date(2001, 8, 1)
@@ -38,6 +40,21 @@ GIVEN = {
     "pages": "page_id bigint, url string, html string",
 }
 
+# OE number of a part, in the columns of the table of parts.
+OE = "concat(p_brand, '-', lpad(p_partkey, 12, '0'))"
+
+
+def _once(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    """Build a frame at its first use; several uses in a query share it."""
+
+    @wraps(build)
+    def frame(self: Tables) -> DataFrame:
+        if build.__name__ not in self._frames:
+            self._frames[build.__name__] = build(self)
+        return self._frames[build.__name__]
+
+    return frame
+
 
 class Tables:
     """Entity frames over one folder of parquet tables; reading is lazy."""
@@ -45,232 +62,193 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.folder = folder
+        self._frames: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.schema(GIVEN[name]).parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._frames:
+            path = f"{self.folder}/{name}.parquet"
+            self._frames[name] = self.spark.read.schema(GIVEN[name]).parquet(path)
+        return self._frames[name]
 
+    @_once
     def vehicles(self) -> DataFrame:
-        machinery = F.col("c_mktsegment") == "MACHINERY"
-        dealers = self.raw("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-        start_day = (F.col("c_custkey") * 37 % 2000).cast("int")
-        return self.raw("customer").join(dealers, "c_nationkey", "left").select(
-            F.col("c_custkey").alias("id"),
-            F.col("c_name").alias("vin"),
-            F.col("c_mktsegment").alias("brand"),
-            _model(F.col("c_custkey")).alias("model"),
-            F.concat(F.lit("N"), _text("c_nationkey"), F.lit("-"), _text("c_custkey"))
-            .alias("plate"),
-            F.col("n_name").alias("dealer"),
-            F.date_add(F.lit(date(1993, 1, 1)), start_day).alias("warranty_start"),
-            F.when(machinery, 60).otherwise(72).alias("whole_months"),
-            F.when(machinery, 120000).otherwise(150000).alias("whole_km"),
-            F.lit(96).alias("ev_months"),
-            F.when(machinery, 200000).otherwise(240000).alias("ev_km"),
-            F.floor(F.abs("c_acctbal") * 25).cast("int").alias("mileage"),
-        )
-
+        dealers = self.raw("nation").selectExpr("n_nationkey as c_nationkey", "n_name")
+        return self.raw("customer").join(dealers, "c_nationkey", "left").selectExpr(
+            "c_custkey as id",
+            "c_name as vin",
+            "c_mktsegment as brand",
+            "concat('M', c_custkey % 5) as model",
+            "concat('N', c_nationkey, '-', c_custkey) as plate",
+            "n_name as dealer",
+            "date_add(date'1993-01-01', cast(c_custkey * 37 % 2000 as int)) as warranty_start",
+            "if(c_mktsegment = 'MACHINERY', 60, 72) as whole_months",
+            "if(c_mktsegment = 'MACHINERY', 120000, 150000) as whole_km",
+            "96 as ev_months",
+            "if(c_mktsegment = 'MACHINERY', 200000, 240000) as ev_km",
+            "cast(floor(abs(c_acctbal) * 25) as int) as mileage",
+        )
+
+    @_once
     def claim_heads(self) -> DataFrame:
         """Claims without what their vehicle tells: from the orders alone."""
-        urgency = F.substring("o_orderpriority", 1, 1)
-        finished = (
-            F.when(urgency.isin("1", "2"), "Approved")
-            .when(urgency == "3", "Partial")
-            .when(urgency == "4", "Shipped")
-            .otherwise("Closed")
-        )
-        is_open = (
-            F.when(urgency == "1", "Submitted")
-            .when(urgency == "5", "Draft")
-            .otherwise("Under Review")
-        )
-        status = (
-            F.when(F.col("o_orderstatus") == "F", finished)
-            .when(F.col("o_orderstatus") == "O", is_open)
-            .when(urgency.isin("1", "2", "3"), "Rejected")
-            .otherwise("Under Review")
-        )
-        return self.raw("orders").select(
-            F.concat(
-                F.lit("CLM-"), F.year("o_orderdate").cast("string"), F.lit("-"),
-                F.lpad(_text("o_orderkey"), 15, "0"),
-            ).alias("no"),
-            F.col("o_orderkey").alias("claim_id"),
-            F.col("o_custkey").alias("vehicle_id"),
-            F.col("o_orderpriority").alias("fault"),
-            F.to_date("o_orderdate").alias("date"),
-            status.alias("status"),
-            F.col("o_orderstatus").alias("stage"),
+        finished = """decode(left(o_orderpriority, 1),
+            '1', 'Approved', '2', 'Approved', '3', 'Partial', '4', 'Shipped', 'Closed')"""
+        is_open = """decode(left(o_orderpriority, 1),
+            '1', 'Submitted', '5', 'Draft', 'Under Review')"""
+        return self.raw("orders").selectExpr(
+            "concat('CLM-', year(o_orderdate), '-', lpad(o_orderkey, 15, '0')) as no",
+            "o_orderkey as claim_id",
+            "o_custkey as vehicle_id",
+            "o_orderpriority as fault",
+            "to_date(o_orderdate) as date",
+            f"""case when o_orderstatus = 'F' then {finished}
+                when o_orderstatus = 'O' then {is_open}
+                when left(o_orderpriority, 1) in ('1', '2', '3') then 'Rejected'
+                else 'Under Review' end as status""",
+            "o_orderstatus as stage",
         )
 
     def claims(self, heads: DataFrame | None = None) -> DataFrame:
         """Claims, or those of some heads; one in ten names not its vehicle's dealer."""
-        owner = self.raw("customer").select(
-            F.col("c_custkey").alias("vehicle_id"), F.col("c_name").alias("vehicle"),
-            _model(F.col("c_custkey")).alias("model"), "c_nationkey",
+        owner = self.raw("customer").selectExpr(
+            "c_custkey as vehicle_id", "c_name as vehicle", "concat('M', c_custkey % 5) as model",
+            "c_nationkey",
         )
-        dealers = self.raw("nation").select("n_nationkey", F.col("n_name").alias("dealer"))
-        moved = F.when(F.col("claim_id") % 10 == 0, 1).otherwise(0)
+        dealers = self.raw("nation").selectExpr("n_nationkey", "n_name as dealer")
+        moved = F.expr("n_nationkey = (c_nationkey + if(claim_id % 10 = 0, 1, 0)) % 25")
         return (
             (self.claim_heads() if heads is None else heads)
             .join(owner, "vehicle_id", "left")
-            .join(dealers, F.col("n_nationkey") == (F.col("c_nationkey") + moved) % 25, "left")
+            .join(dealers, moved, "left")
             .select("no", "claim_id", "vehicle", "model", "fault", "dealer", "date", "status")
         )
 
+    @_once
     def parts(self) -> DataFrame:
-        wear = F.col("p_size") <= 5
-        label = (
-            F.when(wear, "Wear Item")
-            .when(F.col("p_type").isin("PROMO", "ECONOMY"), "EV Core (96mo)")
-            .otherwise("General (72mo)")
-        )
-        return self.raw("part").select(
-            F.col("p_partkey").alias("part_id"),
-            _oe().alias("oe"),
-            F.col("p_name").alias("name"),
-            F.col("p_type").alias("cat"),
-            F.col("p_brand").alias("brand"),
-            wear.alias("wear"),
-            label.alias("warranty"),
-            F.array(_model(F.col("p_partkey")), _model(F.col("p_partkey") + 1)).alias("models"),
-        )
-
+        return self.raw("part").selectExpr(
+            "p_partkey as part_id",
+            f"{OE} as oe",
+            "p_name as name",
+            "p_type as cat",
+            "p_brand as brand",
+            "p_size <= 5 as wear",
+            """case when p_size <= 5 then 'Wear Item'
+                when p_type in ('PROMO', 'ECONOMY') then 'EV Core (96mo)'
+                else 'General (72mo)' end as warranty""",
+            "array(concat('M', p_partkey % 5), concat('M', (p_partkey + 1) % 5)) as models",
+        )
+
+    @_once
     def claim_parts(self) -> DataFrame:
         """Claimed parts as a table of their own, one row per claim and part.
 
         Summed on the numeric keys, before the joins that bring the names.
         """
-        heads = self.claim_heads().select(F.col("claim_id").alias("l_orderkey"), "no")
-        parts = self.parts().select(F.col("part_id").alias("l_partkey"), "oe")
+        heads = self.claim_heads().selectExpr("claim_id as l_orderkey", "no")
+        parts = self.parts().selectExpr("part_id as l_partkey", "oe")
         summed = self.raw("lineitem").groupBy("l_orderkey", "l_partkey").agg(
-            F.sum("l_quantity").cast("long").alias("qty")
+            F.expr("cast(sum(l_quantity) as bigint) as qty")
         )
         return summed.join(heads, "l_orderkey").join(parts, "l_partkey").select("no", "oe", "qty")
 
+    @_once
     def claim_lines(self) -> DataFrame:
         """Claimed parts, and a row with null part for a claim without any."""
-        known = self.parts().select(F.col("part_id").alias("l_partkey"))
-        keys = self.raw("lineitem").join(known, "l_partkey", "left_semi").select(
-            F.col("l_orderkey").alias("claim_id")
-        ).distinct()
-        empty = self.claim_heads().join(keys, "claim_id", "left_anti").select(
-            "no", F.lit(None).cast("string").alias("oe"), F.lit(None).cast("long").alias("qty")
+        known = self.parts().selectExpr("part_id as l_partkey")
+        keys = self.raw("lineitem").join(known, "l_partkey", "left_semi").selectExpr(
+            "l_orderkey as claim_id"
+        )
+        empty = self.claim_heads().join(keys.distinct(), "claim_id", "left_anti").selectExpr(
+            "no", "cast(null as string) as oe", "cast(null as bigint) as qty"
         )
         return self.claim_parts().unionByName(empty)
 
+    @_once
     def inventory(self) -> DataFrame:
-        key = F.col("p_partkey")
-        return self.raw("part").select(
-            F.concat(F.lit("SKU-"), _text("p_partkey")).alias("sku"),
-            _oe().alias("oe"),
-            F.col("p_name").alias("name"),
-            (key * 13 % 60).cast("int").alias("qty"),
-            F.concat(F.lit("WH-"), (key % 7).cast("string")).alias("location"),
-            F.col("p_size").alias("safety"),
+        return self.raw("part").selectExpr(
+            "concat('SKU-', p_partkey) as sku",
+            f"{OE} as oe",
+            "p_name as name",
+            "cast(p_partkey * 13 % 60 as int) as qty",
+            "concat('WH-', p_partkey % 7) as location",
+            "p_size as safety",
         )
 
+    @_once
     def shipments(self) -> DataFrame:
         """Line items that left the house; their numbers repeat and are no key."""
-        heads = self.claim_heads().select("claim_id", F.col("no").alias("claim"))
-        names = self.raw("part").select("p_partkey", F.col("p_name").alias("part"))
-        carriers = self.raw("supplier").select("s_suppkey", F.col("s_name").alias("carrier"))
-        status = (
-            F.when(F.col("l_returnflag") == "R", "In Transit")
-            .when(F.col("l_returnflag") == "A", "Delivered")
-            .otherwise("Pending")
-        )
+        heads = self.claim_heads().selectExpr("claim_id as l_orderkey", "no as claim")
+        names = self.raw("part").selectExpr("p_partkey as l_partkey", "p_name as part")
+        carriers = self.raw("supplier").selectExpr("s_suppkey as l_suppkey", "s_name as carrier")
         return (
             self.raw("lineitem")
-            .filter(F.col("l_linestatus") == "F")
-            .join(heads, F.col("l_orderkey") == F.col("claim_id"))
-            .join(names, F.col("l_partkey") == F.col("p_partkey"), "left")
-            .join(carriers, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-            .select(
-                F.concat(F.lit("SHP-"), _text("l_orderkey"), F.lit("-"), _text("l_linenumber"))
-                .alias("no"),
-                "claim", "part",
-                F.col("l_quantity").cast("int").alias("qty"),
-                "carrier",
-                F.lit(None).cast("string").alias("tracking"),
-                status.alias("status"),
-                F.to_date("l_shipdate").alias("eta"),
+            .filter("l_linestatus = 'F'")
+            .join(heads, "l_orderkey")
+            .join(names, "l_partkey", "left")
+            .join(carriers, "l_suppkey", "left")
+            .selectExpr(
+                "concat('SHP-', l_orderkey, '-', l_linenumber) as no",
+                "claim", "part", "cast(l_quantity as int) as qty", "carrier",
+                "cast(null as string) as tracking",
+                "decode(l_returnflag, 'R', 'In Transit', 'A', 'Delivered', 'Pending') as status",
+                "to_date(l_shipdate) as eta",
             )
         )
 
+    @_once
     def maintenance(self) -> DataFrame:
-        title = (
-            F.when(F.col("event_type") == "signup", "Delivery / PDI completed")
-            .when(F.col("event_type") == "view", "Routine maintenance (first service)")
-            .otherwise("Software update & inspection")
-        )
-        return self._events(F.col("event_type") != "error").select(
-            "vin", "date", F.floor(F.col("value") * 40).cast("int").alias("km"),
-            title.alias("title"),
+        return self._events("event_type <> 'error'").selectExpr(
+            "vin", "date", "cast(floor(value * 40) as int) as km",
+            """case event_type when 'signup' then 'Delivery / PDI completed'
+                when 'view' then 'Routine maintenance (first service)'
+                else 'Software update & inspection' end as title""",
         )
 
+    @_once
     def accidents(self) -> DataFrame:
-        severe = (F.col("event_type") == "error") & (F.col("event_id") % 40 == 0)
+        severe = "event_type = 'error' and event_id % 40 = 0"
         return self._events(severe).select("vin", "date")
 
-    def _events(self, condition: Column) -> DataFrame:
+    def _events(self, condition: str) -> DataFrame:
         """Events of known vehicles, moved back into the years of the claims."""
-        owner = self.raw("customer").select(
-            F.col("c_custkey").alias("user_id"), F.col("c_name").alias("vin")
-        )
-        moved = F.col("ts") - F.expr("interval '27' year")
-        return (
-            self.raw("events").filter(condition).join(owner, "user_id")
-            .withColumn("date", F.to_date(moved))
+        owner = self.raw("customer").selectExpr("c_custkey as user_id", "c_name as vin")
+        return self.raw("events").filter(condition).join(owner, "user_id").selectExpr(
+            "*", "to_date(ts - interval '27' year) as date"
         )
 
+    @_once
     def decisions(self) -> DataFrame:
         """Two decisions for every second open claim, the later one another."""
-        from_first = F.col("claim_id") % 3
         given = self.claim_heads().filter(
-            F.col("status").isin("Submitted", "Under Review") & (F.col("claim_id") % 2 == 0)
+            "status in ('Submitted', 'Under Review') and claim_id % 2 = 0"
         )
-        later = F.explode(F.array(F.lit(0), F.lit(1))).alias("later")
-        choice = (from_first + F.col("later")) % 3
-        return given.select("no", "claim_id", "date", later).select(
-            F.col("no").alias("claim"),
-            F.when(choice == 0, "Approved").when(choice == 1, "Partial").otherwise("Rejected")
-            .alias("decision"),
-            F.when((F.col("claim_id") + F.col("later")) % 11 == 0, "").otherwise("note")
-            .alias("note"),
-            F.date_add("date", F.col("later")).cast("timestamp").alias("decided_at"),
+        return given.selectExpr(
+            "no", "claim_id", "date", "explode(array(0, 1)) as later"
+        ).selectExpr(
+            "no as claim",
+            """case (claim_id + later) % 3 when 0 then 'Approved' when 1 then 'Partial'
+                else 'Rejected' end as decision""",
+            "if((claim_id + later) % 11 = 0, '', 'note') as note",
+            "cast(date_add(date, later) as timestamp) as decided_at",
         )
 
+    @_once
     def outbound(self) -> DataFrame:
-        parts = self.parts().select("part_id", "oe")
-        leaving = (F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "N")
-        return self.raw("lineitem").filter(leaving).join(
-            parts, F.col("l_partkey") == F.col("part_id")
-        ).select(
-            F.concat(F.lit("OUT-"), _text("l_orderkey"), F.lit("-"), _text("l_linenumber"))
-            .alias("order_id"),
-            "oe", F.lit(1).alias("qty"), F.col("l_shipdate").alias("at"),
+        parts = self.parts().selectExpr("part_id as l_partkey", "oe")
+        leaving = self.raw("lineitem").filter("l_linestatus = 'O' and l_returnflag = 'N'")
+        return leaving.join(parts, "l_partkey").selectExpr(
+            "concat('OUT-', l_orderkey, '-', l_linenumber) as order_id",
+            "oe", "1 as qty", "l_shipdate as at",
         )
 
+    @_once
     def new_claims(self) -> DataFrame:
         """Forms with missing and unknown vehicles, and empty and blank faults."""
-        key = F.col("claim_id")
-        return self.claim_heads().filter(F.col("stage") == "O").select(
-            F.col("no").alias("id"),
-            F.when(key % 13 == 0, None).when(key % 17 == 0, -1).otherwise(F.col("vehicle_id"))
-            .cast("long").alias("vehicle_id"),
-            F.when(key % 19 == 0, "").when(key % 23 == 0, " ").otherwise(F.col("fault"))
-            .alias("fault_desc"),
-            F.lit(None).cast("string").alias("diagnosis"),
+        return self.claim_heads().filter("stage = 'O'").selectExpr(
+            "no as id",
+            """case when claim_id % 13 = 0 then null when claim_id % 17 = 0 then -1
+                else vehicle_id end as vehicle_id""",
+            """case when claim_id % 19 = 0 then '' when claim_id % 23 = 0 then ' '
+                else fault end as fault_desc""",
+            "cast(null as string) as diagnosis",
         )
-
-
-def _text(name: str) -> Column:
-    return F.col(name).cast("string")
-
-
-def _model(key: Column) -> Column:
-    return F.concat(F.lit("M"), (key % 5).cast("string"))
-
-
-def _oe() -> Column:
-    return F.concat("p_brand", F.lit("-"), F.lpad(_text("p_partkey"), 12, "0"))
