@@ -37,7 +37,7 @@ def approved_lines(checks: DataFrame) -> DataFrame:
 
 
 def shipment_requests(checks: DataFrame) -> DataFrame:
-    """One request per claim and part to be replaced; the name is the catalogue's."""
+    """One request per claimed part to be replaced; the name is the catalogue's."""
     return approved_lines(checks).select(
         F.col("no").alias("claim"), "oe", F.col("name").alias("part"), "qty",
         F.lit(REQUESTED).alias("status"),
