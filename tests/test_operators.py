@@ -352,6 +352,17 @@ def test_check_cases(spark, portal):
     }
 
 
+def test_other_rules(portal):
+    strict = op.Rules(class_terms={"General": "whole"}, first_service="pdi")
+    got = op.warranty_recommendation(
+        portal.claims, portal.vehicles, portal.parts, portal.maintenance, rules=strict
+    )
+    assert table(got, "no", "recommendation") == {
+        ("CLM-2026-0007", "Reject"), ("CLM-2026-0006", "Manual"),
+        ("CLM-2026-0005", "Reject"), ("CLM-2026-0004", "Approve"),
+    }
+
+
 def test_accidents(spark, portal):
     on_day = spark.createDataFrame(
         [(VIN[1024], TODAY), (VIN[1024], date(2027, 1, 1))], schemas.ACCIDENTS

@@ -9,9 +9,6 @@ from pyspark.sql import Column, functions as F
 from ..schemas import WARRANTY_CLASSES
 from .base import as_column
 
-# Which terms of the vehicle cover a class of part: the ev_* or the whole_* columns.
-CLASS_TERMS = {"EV Core": "ev", "General": "whole", "Wear Item": "whole"}
-
 
 def warranty_class(label: Column | str) -> Column:
     """``EV Core (96mo)`` gives ``EV Core``; a label of no known class gives null."""

@@ -56,6 +56,8 @@ from .search import (
 )
 from .stock import apply_outbound, check_outbound, moved_stock, stock_after_outbound
 from .warranty import (
+    RULES,
+    Rules,
     claim_checks,
     part_checks,
     review_card,

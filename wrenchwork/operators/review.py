@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..schemas import REVIEWABLE
@@ -31,15 +33,18 @@ def check_decisions(claims: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
-def reviewed_claims(claims: DataFrame, decisions: DataFrame) -> DataFrame:
+def reviewed_claims(
+    claims: DataFrame, decisions: DataFrame, reviewable: Sequence[str] = REVIEWABLE
+) -> DataFrame:
     """All claims, with the newest valid decision as the status of those it may change.
 
-    A decision changes claims that are Submitted or Under Review, no others.
+    A decision changes claims of a ``reviewable`` status, Submitted or Under
+    Review unless told otherwise, and no others.
     """
     noted = decisions.filter(F.length("note") > 0)
     newest = newest_decisions(noted).select(F.col("claim").alias("no"), "decision")
     status = F.when(
-        F.col("status").isin(*REVIEWABLE), F.coalesce("decision", "status")
+        F.col("status").isin(*reviewable), F.coalesce("decision", "status")
     ).otherwise(F.col("status"))
     return claims.join(newest, "no", "left").withColumn("status", status).select(*claims.columns)
 

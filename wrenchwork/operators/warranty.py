@@ -20,21 +20,41 @@ Manual if no parts are claimed or a mark is warn; else Approve.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.cover import CLASS_TERMS, in_cover, warranty_class
+from ..functions.cover import in_cover, warranty_class
 from ..functions.text import contains_text, thousands
 from ..schemas import BAD, OK, WARN
 from .related import claim_lines
 
-FIRST_SERVICE = "first service"
 IN_WARRANTY, OUT_OF_WARRANTY = "In Warranty", "Out of Warranty"
 TERMS = ("whole_months", "whole_km", "ev_months", "ev_km")
 COVER_NAMES = (("Whole Vehicle", "whole"), ("EV Components (Battery / Motor / ECU)", "ev"))
 
 
+@dataclass(frozen=True)
+class Rules:
+    """What a user of the check may want to set otherwise.
+
+    ``class_terms`` names the terms of the vehicle, ``ev`` or ``whole``, that
+    cover a class of parts; ``first_service`` is the text by which a service
+    counts as the first one.
+    """
+
+    class_terms: Mapping[str, str]
+    first_service: str
+
+
+RULES = Rules(
+    class_terms={"EV Core": "ev", "General": "whole", "Wear Item": "whole"},
+    first_service="first service",
+)
+
+
 def warranty_cover(vehicles: DataFrame, as_of: date) -> DataFrame:
     """One row per vehicle and cover, with its terms and its state on a day."""
     covers = F.array(
@@ -73,7 +93,7 @@ def vehicle_record(
     vehicles: DataFrame,
     maintenance: DataFrame,
     accidents: DataFrame | None = None,
-    first_service: str = FIRST_SERVICE,
+    rules: Rules = RULES,
 ) -> DataFrame:
     """One row per VIN: holder, terms, day of the first service and first accident.
 
@@ -82,7 +102,7 @@ def vehicle_record(
     then is a comparison of dates, and no range join is needed.
     """
     no_date = F.lit(None).cast("date")
-    history = maintenance.filter(contains_text("title", first_service)).select(
+    history = maintenance.filter(contains_text("title", rules.first_service)).select(
         "vin", F.col("date").alias("serviced"), no_date.alias("crashed")
     )
     if accidents is not None:
@@ -100,7 +120,7 @@ def claim_checks(
     vehicles: DataFrame,
     maintenance: DataFrame,
     accidents: DataFrame | None = None,
-    first_service: str = FIRST_SERVICE,
+    rules: Rules = RULES,
 ) -> DataFrame:
     """One row per claim: the marks that do not depend on the part.
 
@@ -108,7 +128,7 @@ def claim_checks(
     in force; what the marks rest on comes along. After the full join in ``vehicle_record`` both sides reach this
     join through plain exchanges, so a VIN with very many claims can be cut.
     """
-    record = vehicle_record(vehicles, maintenance, accidents, first_service)
+    record = vehicle_record(vehicles, maintenance, accidents, rules)
     return _with_vehicle(claims, record).select(
         "no", "vehicle", "status", "holder", "mileage", *TERMS, "first_service", "first_accident",
         _mark(F.col("holder") == F.col("dealer"), BAD).alias("identity"),
@@ -119,11 +139,15 @@ def claim_checks(
 
 
 def part_checks(
-    claims: DataFrame, vehicles: DataFrame, parts: DataFrame, lines: DataFrame | None = None
+    claims: DataFrame,
+    vehicles: DataFrame,
+    parts: DataFrame,
+    lines: DataFrame | None = None,
+    rules: Rules = RULES,
 ) -> DataFrame:
     """The marks term and wear alone, which ask for no history, per claimed part."""
     checks = _with_vehicle(claims, _terms(vehicles)).select("no", "status", *_covers_in_force())
-    return _per_part(claims, checks, parts, lines).select(
+    return _per_part(claims, checks, parts, lines, rules).select(
         "no", "status", "oe", "name", "qty", "class", "term", "wear"
     )
 
@@ -135,7 +159,7 @@ def warranty_check(
     maintenance: DataFrame,
     accidents: DataFrame | None = None,
     lines: DataFrame | None = None,
-    first_service: str = FIRST_SERVICE,
+    rules: Rules = RULES,
 ) -> DataFrame:
     """The five marks, one row per claimed part.
 
@@ -143,8 +167,8 @@ def warranty_check(
     ``lines`` may give the claimed parts as a table of their own, shaped as the
     result of ``claim_lines``, where they are not nested in the claims.
     """
-    checks = claim_checks(claims, vehicles, maintenance, accidents, first_service)
-    return _per_part(claims, checks, parts, lines).select(
+    checks = claim_checks(claims, vehicles, maintenance, accidents, rules)
+    return _per_part(claims, checks, parts, lines, rules).select(
         "no", "status", "oe", "qty", "class", "identity", "term", "wear", "accident", "service"
     )
 
@@ -156,14 +180,14 @@ def review_card(
     maintenance: DataFrame,
     accidents: DataFrame | None = None,
     lines: DataFrame | None = None,
-    first_service: str = FIRST_SERVICE,
+    rules: Rules = RULES,
 ) -> DataFrame:
     """The check as the reviewer reads it: five rows per claimed part, in words.
 
     Rows two and three of a claim without parts have no mark.
     """
-    checks = claim_checks(claims, vehicles, maintenance, accidents, first_service)
-    rows = _per_part(claims, checks, parts, lines)
+    checks = claim_checks(claims, vehicles, maintenance, accidents, rules)
+    rows = _per_part(claims, checks, parts, lines, rules)
     named = {"ev": "EV", "whole": "Whole Vehicle"}
     limit = F.lit(None).cast("string")
     for terms, name in named.items():
@@ -216,7 +240,7 @@ def warranty_recommendation(
     maintenance: DataFrame,
     accidents: DataFrame | None = None,
     lines: DataFrame | None = None,
-    first_service: str = FIRST_SERVICE,
+    rules: Rules = RULES,
 ) -> DataFrame:
     """One row per claim: number of parts, how many pass, and the recommendation.
 
@@ -228,12 +252,12 @@ def warranty_recommendation(
     if lines is None:
         lines = claim_lines(claims)
     fit = ~F.col("wear_part")
-    counts = lines.join(_catalogue(parts), "oe", "left").groupBy("no").agg(
+    counts = lines.join(_catalogue(parts, rules), "oe", "left").groupBy("no").agg(
         F.count("oe").alias("parts"),
         F.count_if(fit & (F.col("terms") == "ev")).alias("ev_parts"),
         F.count_if(fit & (F.col("terms") == "whole")).alias("whole_parts"),
     )
-    checks = claim_checks(claims, vehicles, maintenance, accidents, first_service)
+    checks = claim_checks(claims, vehicles, maintenance, accidents, rules)
     passing = F.when(F.col("ev_in_term"), F.col("ev_parts")).otherwise(0) + F.when(
         F.col("whole_in_term"), F.col("whole_parts")
     ).otherwise(0)
@@ -272,7 +296,11 @@ def _covers_in_force() -> list[Column]:
 
 
 def _per_part(
-    claims: DataFrame, checks: DataFrame, parts: DataFrame, lines: DataFrame | None
+    claims: DataFrame,
+    checks: DataFrame,
+    parts: DataFrame,
+    lines: DataFrame | None,
+    rules: Rules,
 ) -> DataFrame:
     """Marks per claim and the claimed parts, with the marks of the part added."""
     if lines is None:
@@ -281,7 +309,7 @@ def _per_part(
     in_term = ((F.col("terms") == "ev") & F.col("ev_in_term")) | (
         (F.col("terms") == "whole") & F.col("whole_in_term")
     )
-    rows = lines.join(checks, "no").join(_catalogue(parts), "oe", "left")
+    rows = lines.join(checks, "no").join(_catalogue(parts, rules), "oe", "left")
     return rows.withColumns(
         {
             "term": F.when(claimed, _mark(in_term, BAD)),
@@ -290,10 +318,10 @@ def _per_part(
     )
 
 
-def _catalogue(parts: DataFrame) -> DataFrame:
+def _catalogue(parts: DataFrame, rules: Rules) -> DataFrame:
     """Per OE number the name, the class, the terms that cover it, and the wear flag."""
     terms = F.lit(None).cast("string")
-    for name, covered_by in CLASS_TERMS.items():
+    for name, covered_by in rules.class_terms.items():
         terms = F.when(F.col("class") == name, covered_by).otherwise(terms)
     labelled = parts.select(
         "oe", "name", warranty_class("warranty").alias("class"), F.col("wear").alias("wear_part")
