@@ -7,13 +7,15 @@ scale.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from datetime import date
+from statistics import median
 
 import pytest
 from pyspark.sql import functions as F
 
-from wrenchwork import operators as op
+from wrenchwork import operators as op, sources as src
 from wrenchwork.session import prepare
 
 N = 240_000
@@ -240,3 +242,25 @@ def test_decisions_on_a_hot_claim(cluster):
     rows, plan = final_plan(log)
     assert "skew=true" in plan
     assert len(rows) == N and rejects.count() == 0
+
+
+def test_month_with_a_third_of_the_claims_is_written_in_pieces(cluster, tmp_path):
+    spread = claims(cluster).withColumn(
+        "date",
+        F.when(F.hash("no") % 3 == 0, F.lit(DAY)).otherwise(
+            F.add_months(F.lit(date(2025, 1, 1)), F.pmod(F.hash("no"), F.lit(12)))
+        ),
+    )
+    small = cluster.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    cluster.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    src.write_claims(spread, f"{tmp_path}/claims")
+    cluster.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", small)
+    files = Counter(
+        re.search(r"month=([\d-]+)", name)[1]
+        for name in cluster.read.parquet(f"{tmp_path}/claims").inputFiles()
+    )
+    hot = files.pop("2026-08-01")
+    assert hot >= 2 * median(files.values()), (hot, files)
+    back = cluster.read.parquet(f"{tmp_path}/claims").drop("month")
+    assert back.count() == N
+    assert back.exceptAll(spread.select(*back.columns)).isEmpty()

@@ -165,3 +165,13 @@ def test_filters_on_stored_claims_reach_the_scan(spark, store):
     queue = op.pending_review(src.read_claims(spark, f"{store}/claims"))
     plan = queue._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(status,Under Review)" in plan
+
+
+def test_nested_fields_nobody_asks_for_are_not_read(spark, store, portal):
+    claims = src.read_claims(spark, f"{store}/claims")
+    frame = op.warranty_recommendation(
+        claims, portal.vehicles, portal.parts, portal.maintenance
+    )
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<no:string,parts:array<struct<oe:string>>>" in plan
+    assert "ReadSchema: struct<no:string,vehicle:string,date:date,dealer:string>" in plan

@@ -33,7 +33,8 @@ def low_stock_count(inventory: DataFrame) -> DataFrame:
 def claims_this_week(claims: DataFrame, as_of: date | None = None) -> DataFrame:
     """Claims in the week of a day, Monday to Sunday; by default of the newest claim.
 
-    With a day given the filter is a plain range on ``date``, which prunes.
+    With a day given the filter is a plain range on ``date``, which prunes; to
+    prune month folders too, read the claims with ``since`` and ``until``.
     Without one the claims are counted per week, and the newest week is kept:
     one pass, where finding the newest day first would take two.
     """

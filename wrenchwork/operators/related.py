@@ -16,8 +16,13 @@ NO_CLAIMS = "No claims"
 
 
 def claim_lines(claims: DataFrame) -> DataFrame:
-    """One row per claimed part; a claim without parts keeps a row with null ``oe``."""
-    return claims.select("no", F.inline_outer("parts"))
+    """One row per claimed part; a claim without parts keeps a row with null ``oe``.
+
+    Exploded rather than inlined, so that a field nobody asks for is not read.
+    """
+    return claims.select("no", F.explode_outer("parts").alias("part")).select(
+        "no", "part.oe", "part.qty"
+    )
 
 
 def related_claims(vehicles: DataFrame, claims: DataFrame) -> DataFrame:

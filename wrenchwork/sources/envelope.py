@@ -29,9 +29,9 @@ def unwrap_envelope(df: DataFrame, schema: T.StructType) -> DataFrame:
     An envelope with ``data: null`` gives no rows, and so does one whose
     ``success`` is not true.
     """
-    rows = df.filter(F.col("success")).select(F.inline("data"))
+    rows = df.filter(F.col("success")).select(F.explode("data").alias("row"))
     return rows.select(
-        *[F.col(API_NAMES.get(f.name, f.name)).alias(f.name) for f in schema.fields]
+        *[F.col("row")[API_NAMES.get(f.name, f.name)].alias(f.name) for f in schema.fields]
     )
 
 
