@@ -56,7 +56,7 @@ def world(spark, rng):
     claims = [
         (
             f"C{n}", maybe(rng, f"V{rng.randrange(34)}"), "m", "f",
-            rng.choice(schemas.CLAIM_STATUSES), maybe(rng, some_day(rng)),
+            maybe(rng, rng.choice(schemas.CLAIM_STATUSES), 0.05), maybe(rng, some_day(rng)),
             maybe(rng, [(f"O{rng.randrange(28)}", rng.randrange(1, 4))
                         for _ in range(rng.randrange(4))]),
             None, maybe(rng, rng.choice(dealers)),

@@ -162,9 +162,13 @@ def test_decision_loop(spark, store, tmp_path):
 
 
 def test_filters_on_stored_claims_reach_the_scan(spark, store):
-    queue = op.pending_review(src.read_claims(spark, f"{store}/claims"))
-    plan = queue._jdf.queryExecution().executedPlan().toString()
+    claims = src.read_claims(spark, f"{store}/claims")
+    plan = op.pending_review(claims)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(status,Under Review)" in plan
+    decisions = src.read_decisions(spark, f"{store}/decisions")
+    plan = op.reviewed_claims(claims, decisions)._jdf.queryExecution().executedPlan().toString()
+    assert "In(status, [Submitted,Under Review])" in plan
+    assert "Or(Not(In(status, [Submitted,Under Review])),IsNull(status))" in plan
 
 
 def test_nested_fields_nobody_asks_for_are_not_read(spark, store, portal):

@@ -78,5 +78,5 @@ def move_stock(spark: SparkSession, source: str, target: str) -> None:
 
 def _stored(df: DataFrame, path: str) -> DataFrame:
     """Write an intermediate table and go on from what was written."""
-    src.write_snapshot(df, path)
+    df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
