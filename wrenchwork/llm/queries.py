@@ -65,3 +65,13 @@ def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     from .bag_minhash import near_duplicates
 
     return near_duplicates(table(spark, folder, "documents")).select("doc_id", "class_id")
+
+
+@_query
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from .substring_dedup import repeated_words
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return repeated_words(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
