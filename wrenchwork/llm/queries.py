@@ -75,3 +75,19 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_words(docs).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
     )
+
+
+def _remainder(by: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(by))
+
+
+@_query
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from .language_id import fitted, with_language
+
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(False))
+    network = fitted(docs.where(~held_out).select("text", "lang"))
+    return with_language(docs.select("doc_id", held_out.alias("held_out"), "text"), network).select(
+        "doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score")
+    )
