@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -22,6 +23,14 @@ def fresh(frame: DataFrame, *wanted: str) -> list[str]:
     return names
 
 
+def wider(frame: DataFrame, names: list[str], kinds: list[str]) -> StructType:
+    """The frame's schema with more columns at the end."""
+    schema = StructType(list(frame.schema.fields))
+    for name, kind in zip(names, kinds, strict=True):
+        schema = schema.add(name, kind)
+    return schema
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new path below the folder that driver and executors share.
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .frames import fresh
+from .frames import fresh, wider
 from .words import row_chunks, text_buffers
 
 UNKNOWN = "und"
@@ -216,7 +216,7 @@ def with_language(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
             columns = [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(np.concatenate(scores))]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], label, score])
 
-    schema = docs.schema.add(label, "string").add(score, "double")
+    schema = wider(docs, [label, score], ["string", "double"])
     return docs.withColumn(letters, has_letter(F.col("text"))).mapInArrow(predict, schema)
 
 

@@ -91,3 +91,18 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return with_language(docs.select("doc_id", held_out.alias("held_out"), "text"), network).select(
         "doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score")
     )
+
+
+@_query
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    from .quality_model import fitted, with_quality
+
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False))
+    labels = table(spark, folder, "labels").where(~held_out)
+    model = fitted(docs.select("doc_id", "text"), labels)
+    scored = with_quality(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return scored.select(
+        "doc_id", "held_out", F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.3).cast("int").alias("predicted"),
+    )

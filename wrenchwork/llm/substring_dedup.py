@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .fm_index import FMIndex
-from .frames import fresh, shards, stored
+from .frames import fresh, shards, stored, wider
 from .words import Words, mixed, span_hashes, word_chunks, words_of
 
 _U64 = np.uint64
@@ -432,10 +432,7 @@ def repeated_words(docs: DataFrame, rule: Windows = Windows()) -> DataFrame:
                     names=[*part.schema.names[:-1], *names],
                 )
 
-    schema = docs.schema
-    for name, kind in zip(names, ("long", "long", "string"), strict=True):
-        schema = schema.add(name, kind)
-    return marked.mapInArrow(sweep, schema)
+    return marked.mapInArrow(sweep, wider(docs, names, ["bigint", "bigint", "string"]))
 
 
 def _covered(words: Words, marks: pa.Array, rule: Windows) -> np.ndarray:
