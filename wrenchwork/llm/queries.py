@@ -106,3 +106,13 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "held_out", F.col("quality_score").alias("score"),
         (F.col("quality_score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@_query
+def op8_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    from .html_extract import with_main_text
+
+    pages = with_main_text(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return pages.select(
+        "page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars")
+    )
