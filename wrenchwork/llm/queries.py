@@ -116,3 +116,17 @@ def op8_html_extract(spark: SparkSession, folder: str) -> DataFrame:
     return pages.select(
         "page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars")
     )
+
+
+@_query
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from .license_scan import license_notices
+
+    return license_notices(table(spark, folder, "documents"))
+
+
+@_query
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    from .token_counts import count_tokens
+
+    return count_tokens(table(spark, folder, "documents")).select("doc_id", "n_tokens")
