@@ -1,5 +1,67 @@
-"""Queries of this package in DuckDB's SQL, where SQL can express them."""
+"""Queries of this package in DuckDB's SQL, where SQL can express them.
+
+The others are held against plain loops in ``tests/llm``: search in an index, signatures,
+trained networks, dependent rounding and the layout of pages are beyond SQL.
+"""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from .quality_rules import FURNITURE, MARKS, SENTENCE_MARK, SYMBOL, WORD_BREAK, Rules
+
+_RULES = Rules()
+_PHRASES = " or ".join(f"contains(lower(line), '{p}')" for p in FURNITURE)
+
+# Words are compared as they are, where the query compares hashes of windows.
+OP1 = rf"""
+with texts as (
+    select row_number() over () as r, doc_id, coalesce(text, '') as text from documents
+), cut as (
+    select r, doc_id, text,
+        list_filter(string_split_regex(text, '{WORD_BREAK}'), lambda w: w <> '') as words,
+        list_filter(string_split(text, chr(10)),
+            lambda x: length(regexp_replace(x, '{WORD_BREAK}', '', 'g')) > 0) as lines
+    from texts
+), places as (
+    select r, words, unnest(generate_series(1, len(words) - 2)) as i from cut where len(words) >= 3
+), windows as (
+    select r, i, count(*) over (partition by r, words[i], words[i + 1], words[i + 2]) as n from places
+), repeated as (
+    select r, count(distinct p) as n_repeat_words
+    from (select r, unnest([i, i + 1, i + 2]) as p from windows where n > 1) group by r
+), line_words as (
+    select r, line, list_filter(string_split_regex(line, '{WORD_BREAK}'), lambda w: w <> '') as words
+    from (select r, unnest(lines) as line from cut)
+), measured as (
+    select r, line, len(words) as n,
+        len(list_filter(words, lambda w: regexp_full_match(w, '{MARKS}+'))) as menu,
+        len(list_filter(words, lambda w: regexp_matches(w, '[!?]{{2,}}$'))) as shouts,
+        length(line) - length(regexp_replace(line, '{SYMBOL}', '', 'g')) as symbols,
+        length(regexp_replace(regexp_replace(line, '^{WORD_BREAK}', ''), '{WORD_BREAK}$', '')) as chars
+    from line_words
+), lost as (
+    select r, sum(n)::bigint as lost_words from measured
+    where 100 * menu >= {_RULES.menu_percent} * n
+        or 100 * shouts >= {_RULES.shout_percent} * n
+        or (n >= {_RULES.open_words} and not regexp_matches(line, '{SENTENCE_MARK}'))
+        or 100 * symbols >= {_RULES.symbol_percent} * chars
+        or (n <= {_RULES.furniture_words} and ({_PHRASES}))
+    group by r
+), figures as (
+    select doc_id, len(words)::bigint as n_words,
+        length(array_to_string(words, ''))::bigint as word_chars,
+        (length(text) - length(regexp_replace(text, '{SYMBOL}', '', 'g')))::bigint as n_symbols,
+        (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+        coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
+        coalesce(lost_words, 0)::bigint as lost_words
+    from cut left join repeated using (r) left join lost using (r)
+), judged as (
+    select *, n_words < {_RULES.least_words}
+        or 100 * n_repeat_words > {_RULES.most_repeated_percent} * n_words as base_failed
+    from figures
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    not base_failed and 100 * lost_words <= {_RULES.most_lost_percent} * n_words as kept, lost_words
+from judged
+"""
+
+SQL: dict[str, str] = {"op1_quality_rules": OP1}

@@ -432,7 +432,7 @@ def repeated_words(docs: DataFrame, rule: Windows = Windows()) -> DataFrame:
                     names=[*part.schema.names[:-1], *names],
                 )
 
-    return marked.mapInArrow(sweep, wider(docs, names, ["bigint", "bigint", "string"]))
+    return marked.mapInArrow(sweep, wider(docs, names, ["long", "long", "string"]))
 
 
 def _covered(words: Words, marks: pa.Array, rule: Windows) -> np.ndarray:
