@@ -447,19 +447,60 @@ def test_claim_items(spark):
     assert got == {"c": [("a", 2), ("b", 1)], "d": [("a", 3)]}
 
 
-def test_a_long_claim_is_spread_and_whole(spark):
-    hot = spark.range(1000).selectExpr("'hot' claim", "concat('p', id) oe_no", "1 qty")
-    other = spark.range(100).selectExpr("concat('c', id % 50) claim", "concat('p', id) oe_no",
-                                        "1 qty")
-    rows = op.claim_items(hot.unionByName(other), items_per_row=100).collect()
-    chunks = [row for row in rows if row["claim"] == "hot"]
-    assert {row["chunk"] for row in chunks} == set(range(10))
-    assert max(len(row["items"]) for row in chunks) < 200
-    assert sorted(i["oe_no"] for row in chunks for i in row["items"]) == sorted(
-        f"p{n}" for n in range(1000)
+def test_a_long_claim_is_one_claim(spark):
+    """Also one with the same part over and over."""
+    lines = spark.range(1000).selectExpr("'hot' claim", "concat('p', id % 3) oe_no", "1 qty")
+    (row,) = op.claim_items(lines).collect()
+    assert len(row["items"]) == 1000
+    forms = op.claim_items(lines).selectExpr(
+        "claim as id", "1024L as vehicle_id", "'f' as fault_desc", "cast(null as string) as diagnosis", "items"
     )
-    assert all(row["chunk"] == 0 and len(row["items"]) == 2
-               for row in rows if row["claim"] != "hot")
+    assert op.parse_payload(op.claim_payload(forms)).count() == 1
+
+
+def test_a_number_is_taken_once(spark, portal):
+    forms = portal.new_claims.filter("id = 'N-1'")
+    known = spark.createDataFrame([("N-1",)], "no string")
+    for twice, claims in ((forms.unionAll(forms), None), (forms, known)):
+        accepted, rejected = op.intake_claims(twice, portal.vehicles, TODAY, claims)
+        assert accepted.count() == 0
+        assert {row["reason"] for row in rejected.collect()} == {"number taken"}
+
+
+def test_only_known_decisions_count(spark, portal):
+    from datetime import datetime
+
+    day = lambda n: datetime(2026, 9, n)
+    given = [
+        ("CLM-2026-0007", "Approved", "ok", day(1)), ("CLM-2026-0007", None, "ok", day(2)),
+        ("CLM-2026-0007", "Banana", "ok", day(3)), ("CLM-2026-0007", "Rejected", "", day(4)),
+        ("none", "Approved", "ok", day(5)),
+    ]
+    decisions = spark.createDataFrame(given, "claim string, decision string, note string, decided_at timestamp")
+    after, log, rejects = op.apply_decisions(portal.claims, decisions)
+    assert after.filter("no = 'CLM-2026-0007'").first()["status"] == "Approved"
+    assert log.count() == 1
+    assert sorted(row["reason"] for row in rejects.collect()) == [
+        "no note", "unknown claim", "unknown decision", "unknown decision",
+    ]
+
+
+def test_outbound_needs_a_quantity(spark, portal):
+    moved = [("a", "BYD-BAT-8842", -3), ("b", "BYD-BAT-8842", None), ("c", "BYD-BAT-8842", 0), ("d", "BYD-BAT-8842", 1)]
+    outbound = spark.createDataFrame(moved, "order_id string, oe string, qty int")
+    after, orders, rejects = op.apply_outbound(portal.inventory, outbound)
+    assert after.filter("oe = 'BYD-BAT-8842'").first()["qty"] == 2 and orders.count() == 1
+    assert table(rejects, "order_id", "reason") == {("a", "not positive"), ("b", "no quantity"), ("c", "not positive")}
+
+
+def test_what_is_unknown_shows_as_empty_text(spark):
+    parts = spark.createDataFrame(
+        [("n", "o", None, None, None, False, "b")],
+        "name string, oe string, cat string, models array<string>, warranty string, wear boolean, brand string",
+    )
+    assert op.part_cards(parts).first()["meta"] == " · "
+    vehicles = spark.createDataFrame([(1, "V", None)], "id bigint, vin string, model string")
+    assert op.vehicle_picker(vehicles).first()["label"] == "V · "
 
 
 def test_payload_goes_and_comes_back(portal):

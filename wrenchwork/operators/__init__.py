@@ -4,6 +4,7 @@ from .checked import split_checked
 from .intake import (
     accepted_claims,
     check_intake,
+    accepted_lines,
     claim_items,
     claim_payload,
     intake_claims,

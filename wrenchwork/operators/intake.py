@@ -8,32 +8,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..schemas import CLAIM_PAYLOAD
 
-ITEMS_PER_ROW = 1_000_000
 NEW_STATUS = "Submitted"
 
 
-def claim_items(items: DataFrame, items_per_row: int = ITEMS_PER_ROW) -> DataFrame:
-    """Item rows ``(claim, oe_no, qty)`` assembled into one list per claim.
+def claim_items(items: DataFrame) -> DataFrame:
+    """Item rows ``(claim, oe_no, qty)`` as one list per claim, the form's own shape.
 
-    A claim with more than ``items_per_row`` items is spread over rows numbered
-    by ``chunk``, each of about that size, by a hash of the part; all others
-    have the chunk 0 alone. So no task ever assembles an unbounded list, and no
-    item is left out. The claims that are too large are broadcast: they are
-    fewer than the number of items divided by ``items_per_row``.
+    A claim's list is one cell because the form posts it as one body; it is as long as what one
+    form sent. In bulk, items travel as rows: see ``accepted_lines``.
     """
-    large = (
-        items.groupBy("claim")
-        .agg(F.count("*").alias("n"))
-        .filter(F.col("n") > items_per_row)
-        .select("claim", F.ceil(F.col("n") / items_per_row).alias("chunks"))
-    )
-    chunk = F.pmod(F.xxhash64("oe_no"), F.coalesce("chunks", F.lit(1).cast("long"))).cast("int")
     item = F.struct("oe_no", "qty")
-    return (
-        items.join(F.broadcast(large), "claim", "left")
-        .groupBy("claim", chunk.alias("chunk"))
-        .agg(F.sort_array(F.collect_list(item)).alias("items"))
-    )
+    return items.groupBy("claim").agg(F.sort_array(F.collect_list(item)).alias("items"))
 
 
 def claim_payload(forms: DataFrame) -> DataFrame:
@@ -59,25 +44,38 @@ def parse_payload(payloads: DataFrame) -> DataFrame:
     )
 
 
-def check_intake(new_claims: DataFrame, vehicles: DataFrame) -> DataFrame:
+def check_intake(
+    new_claims: DataFrame, vehicles: DataFrame, claims: DataFrame | None = None
+) -> DataFrame:
     """New claims with their vehicle, and the ``reason`` to refuse them, null where accepted.
 
     A vehicle must be chosen and exist, and the fault must not be empty; blanks
-    are a text.
+    are a text. A number must be new: not among ``claims``, if given, and on one form only.
     """
     held = vehicles.select(
         F.col("id").alias("vehicle_id"), F.col("vin").alias("vehicle"), "model", "dealer"
     )
+    numbers = new_claims.select("id")
+    if claims is not None:
+        numbers = numbers.unionByName(claims.select(F.col("no").alias("id")))
+    taken = numbers.groupBy("id").agg(F.count("*").alias("uses")).filter("uses > 1")
     reason = (
         F.when(F.col("vehicle_id").isNull(), "no vehicle")
         .when(F.coalesce(F.length("fault_desc"), F.lit(0)) == 0, "no fault")
         .when(F.col("vehicle").isNull(), "unknown vehicle")
+        .when(F.col("uses").isNotNull(), "number taken")
     )
-    return new_claims.join(held, "vehicle_id", "left").select(
+    return new_claims.join(held, "vehicle_id", "left").join(taken, "id", "left").select(
         *new_claims.columns, "vehicle", "model", "dealer", reason.alias("reason")
     )
 
 
+def accepted_lines(lines: DataFrame, checked: DataFrame) -> DataFrame:
+    """Of the item rows ``(claim, oe_no, qty)`` those of accepted claims, still as rows."""
+    accepted = checked.filter(F.col("reason").isNull()).select(F.col("id").alias("claim"))
+    return lines.join(accepted, "claim", "left_semi")
+
+
 def accepted_claims(checked: DataFrame, submitted_on: date) -> DataFrame:
     """Accepted rows of ``check_intake`` as claims; nested parts where there are items."""
     claims = checked.filter(F.col("reason").isNull())
@@ -98,8 +96,11 @@ def rejected_claims(checked: DataFrame) -> DataFrame:
 
 
 def intake_claims(
-    new_claims: DataFrame, vehicles: DataFrame, submitted_on: date
+    new_claims: DataFrame,
+    vehicles: DataFrame,
+    submitted_on: date,
+    claims: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(accepted claims, rejects)``; together they are all new claims."""
-    checked = check_intake(new_claims, vehicles)
+    checked = check_intake(new_claims, vehicles, claims)
     return accepted_claims(checked, submitted_on), rejected_claims(checked)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.cover import label_months, warranty_class
 from ..functions.status import status_class
@@ -28,7 +28,13 @@ def vehicle_profile(vehicles: DataFrame) -> DataFrame:
 
 
 def vehicle_picker(vehicles: DataFrame) -> DataFrame:
-    return vehicles.select("id", F.concat_ws(" · ", "vin", "model").alias("label"))
+    """What is unknown shows as empty text, between the same separators."""
+    label = F.concat(_shown("vin"), F.lit(" · "), _shown("model"))
+    return vehicles.select("id", label.alias("label"))
+
+
+def _shown(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(""))
 
 
 def claim_list(claims: DataFrame) -> DataFrame:
@@ -40,11 +46,15 @@ def shipment_list(shipments: DataFrame) -> DataFrame:
 
 
 def part_cards(parts: DataFrame) -> DataFrame:
-    """A wear part shows that it is one instead of its warranty label."""
-    cover = F.when(F.col("wear"), F.lit("⚠️ Wear Item")).otherwise(F.col("warranty"))
+    """A wear part shows that it is one instead of its warranty label.
+
+    A missing category or label shows as empty text.
+    """
+    # Fixed value: the badge of a wear part.
+    cover = F.when(F.col("wear"), F.lit("⚠️ Wear Item")).otherwise(_shown("warranty"))
     return parts.select(
         "name", "oe",
-        F.concat("cat", F.lit(" · "), cover).alias("meta"),
+        F.concat(_shown("cat"), F.lit(" · "), cover).alias("meta"),
         "brand",
         F.array_join("models", ", ").alias("models"),
     )

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..schemas import REVIEWABLE
+from ..schemas import DECISION_VALUES, REVIEWABLE
 from .checked import split_checked
 
 
@@ -23,16 +23,23 @@ def newest_decisions(decisions: DataFrame) -> DataFrame:
 def check_decisions(claims: DataFrame, decisions: DataFrame) -> DataFrame:
     """The decisions with a ``reason`` to refuse them, null where they count.
 
-    A decision needs a note, which may be blank but not empty, and a claim that exists.
+    A decision needs a note, which may be blank but not empty, a value that can be
+    decided, and a claim that exists.
     """
     known = claims.select(F.col("no").alias("claim"), F.lit(True).alias("known"))
-    no_note = F.coalesce(F.length("note"), F.lit(0)) == 0
+    unknown_claim = F.when(F.col("known").isNull(), "unknown claim")
     return decisions.join(known, "claim", "left").select(
-        *decisions.columns,
-        F.when(no_note, "no note").when(F.col("known").isNull(), "unknown claim").alias("reason"),
+        *decisions.columns, F.coalesce(_refusal(), unknown_claim).alias("reason")
     )
 
 
+def _refusal() -> Column:
+    """Why a decision does not count, whatever its claim; null if it may."""
+    no_note = F.coalesce(F.length("note"), F.lit(0)) == 0
+    decided = F.coalesce(F.col("decision").isin(*DECISION_VALUES), F.lit(False))
+    return F.when(no_note, "no note").when(~decided, "unknown decision")
+
+
 def reviewed_claims(
     claims: DataFrame, decisions: DataFrame, reviewable: Sequence[str] = REVIEWABLE
 ) -> DataFrame:
@@ -40,10 +47,11 @@ def reviewed_claims(
 
     A decision changes claims of a ``reviewable`` status, Submitted or Under
     Review unless told otherwise, and no others. So only those are joined; the
-    others, in time nearly all, pass through without a shuffle.
+    others, in time nearly all, pass through without a shuffle. Decisions that
+    ``check_decisions`` refuses for their note or value never count here, so that
+    none of them hides an earlier one that does.
     """
-    noted = decisions.filter(F.length("note") > 0)
-    newest = newest_decisions(noted).select(F.col("claim").alias("no"), "decision")
+    newest = newest_decisions(decisions.filter(_refusal().isNull())).select(F.col("claim").alias("no"), "decision")
     is_open = F.col("status").isin(*reviewable)
     decided = claims.filter(is_open).join(newest, "no", "left").withColumn(
         "status", F.coalesce("decision", "status")

@@ -13,8 +13,9 @@ def stock_after_outbound(inventory: DataFrame, outbound: DataFrame) -> DataFrame
     More may be taken out than is there: ``on_hand`` then is negative and
     ``short`` is true. Which order goes short is not decided here. ``oe`` must
     be unique in the inventory, as movements name it and not the article number.
+    Movements of no, zero or negative quantity take nothing.
     """
-    taken = outbound.groupBy("oe").agg(F.sum("qty").alias("taken"))
+    taken = outbound.filter("qty > 0").groupBy("oe").agg(F.sum("qty").alias("taken"))
     taken_out = F.coalesce("taken", F.lit(0).cast("long"))
     return inventory.join(taken, "oe", "left").select(
         *inventory.columns,
@@ -25,11 +26,17 @@ def stock_after_outbound(inventory: DataFrame, outbound: DataFrame) -> DataFrame
 
 
 def check_outbound(inventory: DataFrame, outbound: DataFrame) -> DataFrame:
-    """The movements with a ``reason`` to refuse them, null where they count."""
+    """The movements with a ``reason`` to refuse them, null where they count.
+
+    A movement names a part of the inventory and a quantity above zero.
+    """
     known = inventory.select("oe", F.lit(True).alias("known"))
     return outbound.join(known, "oe", "left").select(
         *outbound.columns,
-        F.when(F.col("known").isNull(), "unknown part").alias("reason"),
+        F.when(F.col("known").isNull(), "unknown part")
+        .when(F.col("qty").isNull(), "no quantity")
+        .when(F.col("qty") <= 0, "not positive")
+        .alias("reason"),
     )
 
 

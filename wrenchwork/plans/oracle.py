@@ -86,15 +86,21 @@ VIEWS = {
         from events join customer on user_id = c_custkey
         where event_type = 'error' and event_id % 40 = 0""",
     "decisions": """
-        select no as claim,
-          case (claim_id + later) % 3 when 0 then 'Approved' when 1 then 'Partial'
-            else 'Rejected' end as decision,
+        select case when claim_id % 43 = 0 and later = 0 then no || '-X' else no end as claim,
+          case when later = 1 and claim_id % 37 = 0 then 'Postponed'
+            when later = 1 and claim_id % 41 = 0 then null
+            when (claim_id + later) % 3 = 0 then 'Approved'
+            when (claim_id + later) % 3 = 1 then 'Partial' else 'Rejected' end as decision,
           case when (claim_id + later) % 11 = 0 then '' else 'note' end as note,
           date + later as decided_on
         from claim_heads, (values (0), (1)) as times(later)
         where status in ('Submitted', 'Under Review') and claim_id % 2 = 0""",
     "outbound": """
-        select oe, 1 as qty from lineitem join parts on l_partkey = part_id
+        select 'OUT-' || cast(l_orderkey as varchar) || '-' || cast(l_linenumber as varchar)
+            as order_id,
+          case when l_orderkey % 41 <> 0 then oe end as oe,
+          case when l_orderkey % 31 = 0 then null when l_orderkey % 37 = 0 then -1 else 1 end as qty
+        from lineitem left join parts on l_partkey = part_id
         where l_linestatus = 'O' and l_returnflag = 'N'""",
     "new_claims": """
         select no as id,
@@ -351,27 +357,36 @@ SQL = {
         from intake where reason is null""",
     "intake_rejects": """select id, vehicle_id, fault_desc, diagnosis, reason
         from intake where reason is not null""",
-    "claim_items": """select no as claim, cast(0 as int) as chunk,
+    "claim_items": """select no as claim,
         string_agg(oe || ' x' || cast(qty as varchar), ', ' order by oe) as items
         from claim_parts group by no""",
     "claim_payload_json": """
         select id, '{"vehicle_id":' || coalesce('"' || cast(vehicle_id as varchar) || '"', 'null')
           || ',"fault_desc":"' || fault_desc || '","diagnosis":null,"items":['
-          || string_agg('{"oe_no":"' || oe || '","qty":' || cast(qty as varchar) || '}', ','
-               order by oe) || ']}' as payload
-        from new_claims join claim_parts on no = id
+          || coalesce(string_agg('{"oe_no":"' || oe || '","qty":' || cast(qty as varchar) || '}', ','
+               order by oe), '') || ']}' as payload
+        from new_claims left join claim_parts on no = id
         group by id, vehicle_id, fault_desc""",
+    "payload_round_trip": """select id as no, oe, cast(qty as int) as qty
+        from intake join claim_parts on no = id where reason is null""",
+    "accepted_lines": """select no as claim, oe as oe_no, qty
+        from claim_parts where no in (select id from intake where reason is null)""",
     "claim_status_after_review": """
         with newest as (select *, row_number() over (partition by claim
             order by decided_on desc, decision desc) as rank
-          from decisions where note <> '')
+          from decisions where note <> '' and decision in ('Approved', 'Partial', 'Rejected'))
         select h.no, case when h.status in ('Submitted', 'Under Review')
           then coalesce(n.decision, h.status) else h.status end as status
         from claim_heads h left join newest n on n.claim = h.no and n.rank = 1""",
     "decision_log": """select claim, decision, note, decided_on from decisions
-        where note <> '' and claim in (select no from claim_heads)""",
-    "decision_rejects": """select claim, decision, note, 'no note' as reason from decisions
-        where note = ''""",
+        where note <> '' and decision in ('Approved', 'Partial', 'Rejected')
+          and claim in (select no from claim_heads)""",
+    "decision_rejects": """select * from (
+          select claim, decision, note, case when note = '' then 'no note'
+            when decision is null or decision not in ('Approved', 'Partial', 'Rejected')
+              then 'unknown decision'
+            when claim not in (select no from claim_heads) then 'unknown claim' end as reason
+          from decisions) where reason is not null""",
     "awaiting_writeoff": "select no, vehicle, model, status, date from waiting",
     "writeoff_orders": """select w.no as claim, w.vehicle, w.model, 'Replace part' as settlement,
         count(r.oe) as parts, cast(coalesce(sum(r.qty), 0) as bigint) as qty
@@ -381,11 +396,17 @@ SQL = {
     "writeoff_stock": """select r.claim, r.oe, r.part, r.qty, i.qty as qty_on_hand,
         coalesce(i.qty >= r.qty, false) as in_stock
         from requests r left join inventory i on i.oe = r.oe""",
+    "outbound_rejects": """select * from (
+          select order_id, oe, qty, case
+            when oe is null or oe not in (select oe from inventory) then 'unknown part'
+            when qty is null then 'no quantity' when qty <= 0 then 'not positive' end as reason
+          from outbound) where reason is not null""",
     "stock_after_outbound": """
         select i.*, cast(coalesce(t.taken, 0) as bigint) as taken_out,
           cast(i.qty - coalesce(t.taken, 0) as bigint) as on_hand,
           i.qty < coalesce(t.taken, 0) as short
-        from inventory i left join (select oe, sum(qty) as taken from outbound group by oe) t
+        from inventory i left join (select oe, sum(qty) as taken from outbound where qty > 0
+          group by oe) t
           on t.oe = i.oe""",
 }
 

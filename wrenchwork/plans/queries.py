@@ -324,15 +324,35 @@ def _forms(t: Tables) -> DataFrame:
 def claim_items(t: Tables) -> DataFrame:
     item = lambda i: F.concat(i["oe_no"], F.lit(" x"), i["qty"].cast("string"))
     return _forms(t).select(
-        "claim", "chunk", F.array_join(F.transform("items", item), ", ").alias("items")
+        "claim", F.array_join(F.transform("items", item), ", ").alias("items")
     )
 
 
 @_query
 def claim_payload_json(t: Tables) -> DataFrame:
-    items = _forms(t).select(F.col("claim").alias("id"), "chunk", "items")
-    forms = items.join(t.new_claims(), "id")
-    return op.claim_payload(forms)
+    return op.claim_payload(_forms_with_items(t))
+
+
+def _forms_with_items(t: Tables) -> DataFrame:
+    """Every form, also one without items."""
+    items = _forms(t).select(F.col("claim").alias("id"), "items")
+    none = F.array().cast(items.schema["items"].dataType)
+    forms = t.new_claims().join(items, "id", "left")
+    return forms.withColumn("items", F.coalesce("items", none))
+
+
+@_query
+def payload_round_trip(t: Tables) -> DataFrame:
+    """Items of accepted claims after their forms were posted and read again."""
+    back = op.parse_payload(op.claim_payload(_forms_with_items(t)))
+    accepted, _ = op.intake_claims(back, t.vehicles(), AS_OF)
+    return accepted.select("no", F.explode("parts").alias("part")).select("no", "part.oe", "part.qty")
+
+
+@_query
+def accepted_lines(t: Tables) -> DataFrame:
+    lines = t.claim_parts().select(F.col("no").alias("claim"), F.col("oe").alias("oe_no"), "qty")
+    return op.accepted_lines(lines, op.check_intake(t.new_claims(), t.vehicles()))
 
 
 # Review, write-off, stock
@@ -384,6 +404,12 @@ def writeoff_stock(t: Tables) -> DataFrame:
     return op.writeoff_stock(op.shipment_requests(checks), t.inventory())
 
 
+@_query
+def outbound_rejects(t: Tables) -> DataFrame:
+    _, _, rejects = op.apply_outbound(t.inventory(), t.outbound())
+    return rejects.select("order_id", "oe", "qty", "reason")
+
+
 @_query
 def stock_after_outbound(t: Tables) -> DataFrame:
     return op.stock_after_outbound(t.inventory(), t.outbound())

@@ -218,27 +218,35 @@ class Tables:
 
     @_once
     def decisions(self) -> DataFrame:
-        """Two decisions for every second open claim, the later one another."""
+        """Two decisions for every second open claim, the later one another.
+
+        Some have an unknown or no value, or name an unknown claim.
+        """
         given = self.claim_heads().filter(
             "status in ('Submitted', 'Under Review') and claim_id % 2 = 0"
         )
         return given.selectExpr(
             "no", "claim_id", "date", "explode(array(0, 1)) as later"
         ).selectExpr(
-            "no as claim",
-            """case (claim_id + later) % 3 when 0 then 'Approved' when 1 then 'Partial'
-                else 'Rejected' end as decision""",
+            "if(claim_id % 43 = 0 and later = 0, concat(no, '-X'), no) as claim",
+            """case when claim_id % 37 = 0 and later = 1 then 'Postponed'
+                when claim_id % 41 = 0 and later = 1 then null
+                else decode((claim_id + later) % 3, 0, 'Approved', 1, 'Partial', 'Rejected')
+                end as decision""",
             "if((claim_id + later) % 11 = 0, '', 'note') as note",
             "cast(date_add(date, later) as timestamp) as decided_at",
         )
 
     @_once
     def outbound(self) -> DataFrame:
+        """Movements out of the stock, some of unknown parts and of no or negative quantity."""
         parts = self.parts().selectExpr("part_id as l_partkey", "oe")
         leaving = self.raw("lineitem").filter("l_linestatus = 'O' and l_returnflag = 'N'")
-        return leaving.join(parts, "l_partkey").selectExpr(
+        return leaving.join(parts, "l_partkey", "left").selectExpr(
             "concat('OUT-', l_orderkey, '-', l_linenumber) as order_id",
-            "oe", "1 as qty", "l_shipdate as at",
+            "if(l_orderkey % 41 = 0, null, oe) as oe",
+            "case when l_orderkey % 31 = 0 then null when l_orderkey % 37 = 0 then -1 else 1 end as qty",
+            "l_shipdate as at",
         )
 
     @_once
