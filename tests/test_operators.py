@@ -447,6 +447,14 @@ def test_claim_items(spark):
     assert got == {"c": [("a", 2), ("b", 1)], "d": [("a", 3)]}
 
 
+def test_nested_text_is_escaped(spark):
+    rows = spark.createDataFrame(
+        [(["<b>", None], ("<i>", 1), None)], "a array<string>, s struct<t: string, n: int>, z array<string>"
+    )
+    (row,) = op.escaped_rows(rows).collect()
+    assert row["a"] == ["&lt;b&gt;", ""] and tuple(row["s"]) == ("&lt;i&gt;", 1) and row["z"] is None
+
+
 def test_a_long_claim_is_one_claim(spark):
     """Also one with the same part over and over."""
     lines = spark.range(1000).selectExpr("'hot' claim", "concat('p', id % 3) oe_no", "1 qty")

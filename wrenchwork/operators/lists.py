@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.cover import label_months, warranty_class
 from ..functions.status import status_class
@@ -108,8 +108,22 @@ def maintenance_timeline(maintenance: DataFrame) -> DataFrame:
 
 
 def escaped_rows(rows: DataFrame) -> DataFrame:
-    """Every text column made safe for an HTML report; other columns as they are."""
-    kinds = dict(rows.dtypes)
+    """Every text made safe for an HTML report, also inside arrays and structs.
+
+    A null text becomes empty text; null arrays and structs stay null. Other values,
+    maps among them, are left as they are.
+    """
     return rows.select(
-        *[escape_html(c).alias(c) if kinds[c] == "string" else F.col(c) for c in rows.columns]
+        *[_escaped(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in rows.schema.fields]
     )
+
+
+def _escaped(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StringType):
+        return escape_html(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda item: _escaped(item, kind.elementType))
+    if isinstance(kind, T.StructType):
+        fields = [_escaped(value[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    return value

@@ -193,6 +193,10 @@ SQL = {
     "stock_level": """select sku, oe, name, qty, location,
         case when qty > safety then 'OK' else 'Low' end as level from inventory""",
     "shipment_list": "select no, claim, part, qty, carrier, status, eta from shipments",
+    "vehicle_badges": "select vin, 'In Warranty' as status, 'b-gray' as badge from vehicles",
+    "one_vehicle": f"select {VEHICLE_COLUMNS} from vehicles where id = 1024",
+    "api_envelope": """select sku, oe, qty from inventory
+        where cast(substr(sku, 5) as bigint) % 9 <> 0 and cast(substr(sku, 5) as bigint) % 7 <> 0""",
     "status_class": """
         with badges(status, badge) as (values ('Draft', 'b-gray'), ('Submitted', 'b-blue'),
           ('Under Review', 'b-amber'), ('Approved', 'b-green'), ('Partial', 'b-teal'),

@@ -9,9 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from .. import operators as op
 from ..functions.text import escape_html
+from ..schemas import INVENTORY
+from ..sources.envelope import envelope_schema, unwrap_envelope
 from .tables import AS_OF, Tables
 
 Query = Callable[[Tables], DataFrame]
@@ -113,6 +116,29 @@ def status_class(t: Tables) -> DataFrame:
     return op.status_badges(claims.unionByName(shipments))
 
 
+@_query
+def vehicle_badges(t: Tables) -> DataFrame:
+    """The vehicle list shows its status as a badge; that of a vehicle has the default class."""
+    vehicles = t.vehicles().select("vin", F.lit("In Warranty").alias("status"))
+    return op.status_badges(vehicles)
+
+
+@_query
+def api_envelope(t: Tables) -> DataFrame:
+    """Stock as responses of the API, one per article, read back; every ninth has failed."""
+    response = F.to_json(
+        F.struct(
+            (F.col("part_id") % 9 != 0).alias("success"),
+            F.when(F.col("part_id") % 7 != 0, F.array(F.struct("sku", "oe", "qty"))).alias("data"),
+        )
+    )
+    article = t.raw("part").select(F.col("p_partkey").alias("part_id"), F.concat(F.lit("SKU-"), "p_partkey").alias("sku"))
+    stock = t.inventory().join(article, "sku").select(response.alias("body"))
+    schema = StructType([f for f in INVENTORY.fields if f.name in ("sku", "oe", "qty")])
+    parsed = stock.select(F.from_json("body", envelope_schema(schema)).alias("r")).select("r.*")
+    return unwrap_envelope(parsed, schema)
+
+
 @_query
 def recent_claims(t: Tables) -> DataFrame:
     newest = op.newest_claims(t.claim_heads())
@@ -206,6 +232,11 @@ def related_claims(t: Tables) -> DataFrame:
     return op.related_claims(t.vehicles(), t.claims())
 
 
+@_query
+def one_vehicle(t: Tables) -> DataFrame:
+    return op.vehicle_by_id(t.vehicles(), 1024)
+
+
 @_query
 def vehicle_by_id(t: Tables) -> DataFrame:
     """The vehicles that new claims name."""

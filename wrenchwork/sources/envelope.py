@@ -36,12 +36,11 @@ def unwrap_envelope(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def read_api_dump(
-    spark: SparkSession, schema: T.StructType, path: str, one_per_line: bool = False
+    spark: SparkSession, schema: T.StructType, path: str, one_per_line: bool = True
 ) -> DataFrame:
-    """Read dumped responses, by default one response per file.
+    """Read dumped responses, by default one (paged) response per line, which Spark can split.
 
-    A file that holds a single response is read by one task. Dumps too large
-    for that should keep one (paged) response per line, which Spark can split.
+    Otherwise a file holds a single response and is read by one task.
     """
     dumps = spark.read.schema(envelope_schema(schema)).json(path, multiLine=not one_per_line)
     return unwrap_envelope(dumps, schema)
