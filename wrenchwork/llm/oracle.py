@@ -1,7 +1,7 @@
 """Queries of this package in DuckDB's SQL, where SQL can express them.
 
-The others are held against plain loops in ``tests/llm``: search in an index, signatures,
-trained networks, dependent rounding and the layout of pages are beyond SQL.
+The others are held against plain loops in ``tests/llm``: trained networks, alignments,
+dependent rounding and the layout of pages are beyond SQL.
 """
 
 from __future__ import annotations
@@ -64,4 +64,59 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from judged
 """
 
-SQL: dict[str, str] = {"op1_quality_rules": OP1}
+_WORDS = rf"list_filter(string_split_regex(coalesce(text, ''), '{WORD_BREAK}'), lambda w: w <> '')"
+
+OP3 = f"""
+with texts as (
+    select row_number() over () as r, doc_id, {_WORDS} as words from documents
+), starts as (
+    select r, doc_id, unnest(generate_series(1, len(words) - 12)) as i,
+        unnest(list_transform(generate_series(1, len(words) - 12),
+            lambda k: array_to_string(words[k : k + 12], ' '))) as piece
+    from texts where len(words) >= 13
+), windows as (
+    select r, doc_id, i, min(doc_id) over (partition by piece) as first from starts
+), gone as (
+    select distinct r, unnest(generate_series(i, i + 12)) as p from windows where first < doc_id
+), places as (
+    select r, unnest(words) as word, unnest(generate_series(1, len(words))) as p from texts
+), kept as (
+    select r, string_agg(word, ' ' order by p) as kept from places anti join gone using (r, p) group by r
+), removed as (
+    select r, count(*) as n from gone group by r
+)
+select doc_id, len(words)::bigint as n_words, coalesce(n, 0)::bigint as n_removed,
+    sha256(coalesce(kept, '')) as kept_sha256
+from texts left join kept using (r) left join removed using (r)
+"""
+
+# All pairs of texts that share a shingle, then everything that hangs together.
+OP4 = f"""
+with recursive texts as (
+    select doc_id, {_WORDS} as words from documents
+), cut as (
+    select doc_id, unnest(case when len(words) = 0 then []::varchar[]
+        when len(words) < 5 then [array_to_string(words, ' ')]
+        else list_transform(generate_series(1, len(words) - 4), lambda i: array_to_string(words[i : i + 4], ' ')) end) as s
+    from texts
+), bags as (
+    select doc_id, s, count(*) as c from cut group by doc_id, s
+), sizes as (
+    select doc_id, sum(c) as n from bags group by doc_id
+), shared as (
+    select x.doc_id as a, y.doc_id as b, sum(least(x.c, y.c)) as same
+    from bags x join bags y on x.s = y.s and x.doc_id < y.doc_id group by 1, 2
+), links as (
+    select a, b from shared join sizes p on p.doc_id = a join sizes q on q.doc_id = b
+    where 5 * same >= 4 * (p.n + q.n - same)
+), both_ways as (
+    select a, b from links union select b, a from links
+), reached(doc_id, other) as (
+    select doc_id, doc_id from texts
+    union
+    select reached.doc_id, b from reached join both_ways on a = other
+)
+select doc_id, min(other) as class_id from reached group by doc_id
+"""
+
+SQL: dict[str, str] = {"op1_quality_rules": OP1, "op3_substring_dedup": OP3, "op4_near_duplicates": OP4}
