@@ -98,16 +98,16 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         )
     )
     within = 100 * F.col(lost) <= rules.most_lost_percent * n_words
-    return totals.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.struct(
-            f"{counts}.*",
-            base_failed.alias("base_failed"),
-            F.col(lost).alias("lost_words"),
-            (~base_failed & within).alias("kept"),
-            clean.alias("clean_text"),
-        ).alias(out),
+    quality = F.struct(
+        f"{counts}.*",
+        base_failed.alias("base_failed"),
+        F.col(lost).alias("lost_words"),
+        (~base_failed & within).alias("kept"),
+        clean.alias("clean_text"),
     )
+    # As the one element of an array that is exploded: else the optimizer would push a filter
+    # on the result below, and compute all of the above again for each element of an array.
+    return totals.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array(quality)).alias(out))
 
 
 def _words(text: Column) -> Column:
