@@ -115,9 +115,16 @@ def test_shuffles_grow_with_the_tables(spark):
     small = session.stored_bytes(spark, FOLDER)
     assert 1_000_000 < small < 100_000_000
     assert session.partitions_for(small) == 1
-    assert session.partitions_for(10 << 40) == 10_240
+    assert session.partitions_for(10 << 40) == 40_960  # one per 256 MB
+    assert session.partitions_for(10 << 40, each=1 << 30) == 10_240
     assert session.partitions_for(1 << 60) == session.MOST_PARTITIONS
     before = spark.conf.get("spark.sql.shuffle.partitions")
     session.prepare(spark, FOLDER)
     assert spark.conf.get(session.INITIAL_PARTITIONS, None) is None
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_files_are_summed_up_once(spark, monkeypatch):
+    session.prepare(spark, FOLDER)
+    monkeypatch.setattr(session, "stored_bytes", lambda *_: pytest.fail("listed again"))
+    session.prepare(spark, FOLDER)
