@@ -9,8 +9,9 @@ the first point seen. Counts are whole numbers, cut into the dyadic ranges (0,1]
 seen if its place is within the count, so a count of a million costs twenty ranges. Points
 later than all components can need are never drawn.
 
-Signatures are cut into bands; texts with an equal band are candidates, and their multiset
-overlap is checked exactly.
+Signatures are cut into bands; texts with an equal band are candidates, and candidates that
+hang together form a group. Within groups all multiset overlaps are computed exactly, as
+products of matrices inside tasks; only the links that hold a class together leave a task.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .frames import fresh, stored
+from .frames import fresh, shards, stored
 from .words import Words, mixed, word_chunks
 
 _U64 = np.uint64
@@ -32,14 +33,16 @@ _U64 = np.uint64
 class Near:
     """Shingles of ``words`` words; texts are linked from ``similarity`` on.
 
-    With 32 bands of 4 components a pair of similarity 0.8 has no band in common with
-    probability (1 - 0.8**4)**32, or 5 in 100 million.
+    With 44 bands of 6 components a pair of similarity 0.8 has no band in common with
+    probability (1 - 0.8**6)**44, or 2 in a million; one of 0.1 has one with 4 in 100,000, so
+    that texts with a common line do not hang together.
     """
 
     words: int = 5
     similarity: float = 0.8
-    bands: int = 32
-    rows: int = 4
+    bands: int = 44
+    rows: int = 6
+    block: int = 512  # texts of a large group that are compared with as many others at a time
 
     @property
     def components(self) -> int:
@@ -124,7 +127,7 @@ def signatures(
 
 
 def _signed(docs: DataFrame, near: Near) -> DataFrame:
-    """``node, doc_id, signature`` (32-bit values) of the texts that have a word."""
+    """``node, doc_id, bands`` (a hash of each band) of the texts that have a word."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,68 +135,123 @@ def _signed(docs: DataFrame, near: Near) -> DataFrame:
                 rows, hashes, counts = counted(*shingles(words, near.words))
                 full = signatures(b - a, rows, hashes, counts, near.components)
                 has = np.flatnonzero(np.diff(words.first) > 0)
-                values = (full[has] >> _U64(32)).astype(np.uint32).view(np.int32)
-                offsets = np.arange(len(has) + 1, dtype=np.int32) * near.components
+                parts = full[has].reshape(len(has), near.bands, near.rows)
+                bands = np.full((len(has), near.bands), 1, dtype=np.uint64) * np.arange(1, near.bands + 1, dtype=np.uint64)
+                for k in range(near.rows):
+                    bands = mixed(bands + parts[:, :, k])
+                offsets = np.arange(len(has) + 1, dtype=np.int32) * near.bands
                 kept = pa.array(has + a)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(kept),
                         batch.column(1).take(kept),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.reshape(-1))),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.reshape(-1).view(np.int64))),
                     ],
-                    ["node", "doc_id", "signature"],
+                    ["node", "doc_id", "bands"],
                 )
 
     return docs.select("node", "doc_id", "text").mapInArrow(
-        sign, "node binary, doc_id bigint, signature array<int>"
+        sign, "node binary, doc_id bigint, bands array<bigint>"
     )
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two multisets given as sorted arrays."""
-    both = np.concatenate((a, b))
-    both.sort(kind="stable")
-    at = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
-    distinct = both[at]
-    in_a = np.searchsorted(a, distinct, "right") - np.searchsorted(a, distinct, "left")
-    in_b = np.searchsorted(b, distinct, "right") - np.searchsorted(b, distinct, "left")
-    union = int(np.maximum(in_a, in_b).sum())
-    return int(np.minimum(in_a, in_b).sum()) / union if union else 0.0
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
-    """Those of the pairs ``a, b`` of nodes that overlap enough, with their ``similarity``."""
-    left = texts.select(F.col("node").alias("node_a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("node_b"), F.col("text").alias("text_b"))
-    both = (
-        pairs.join(left, F.col("a") == F.col("node_a"))
-        .select("a", "b", "text_a")
-        .join(right, F.col("b") == F.col("node_b"))
-        .select("a", "b", "text_a", "text_b")
-    )
+def overlaps(rows: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """(n, n) weighted Jaccard similarities of the multisets (row, hash, count).
 
-    def bags(column: pa.Array) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for a, b, words in word_chunks(column):
-            rows, hashes = shingles(words, near.words)
-            order = np.lexsort((hashes, rows))
-            out += np.split(hashes[order], np.searchsorted(rows[order], np.arange(1, b - a)))
-        return out
+    The overlap of two counts is the number of steps both reach, so each step of each hash is
+    a column of zeros and ones, and overlaps are products. Columns that a single row has
+    add nothing and are left out; the others are taken a few thousand at a time.
+    """
+    totals = np.bincount(rows, weights=counts, minlength=n)
+    each = np.repeat(np.arange(len(rows)), counts)
+    step = np.arange(len(each)) - np.repeat(np.cumsum(counts) - counts, counts)
+    key = mixed(hashes[each] + step.astype(np.uint64) * _U64(0x9FB21C651E98DF25))
+    order = np.argsort(key)
+    ordered, owner = key[order], rows[each][order]
+    new = np.ones(len(ordered), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, len(ordered)))
+    shared = np.repeat(size > 1, size)
+    column = (np.cumsum(size > 1) - 1).repeat(size)[shared]
+    owner = owner[shared]
+    same = np.zeros((n, n), dtype=np.float32)
+    width = 4096
+    cuts = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + 1, width))
+    for low, high in zip(cuts, np.append(cuts[1:], len(column)), strict=True):
+        part = np.zeros((n, width), dtype=np.float32)
+        part[owner[low:high], column[low:high] % width] = 1
+        same += part @ part.T
+    union = totals[:, None] + totals[None, :] - same
+    return same / np.maximum(union, 1)
+
+
+def linked(texts: pa.Array, near: Near) -> np.ndarray:
+    """For each text the first one that it hangs together with by links among the texts."""
+    rows, hashes, counts = [], [], []
+    for a, _, words in word_chunks(texts):
+        r, h, c = counted(*shingles(words, near.words))
+        rows.append(r + a)
+        hashes.append(h)
+        counts.append(c)
+    n = len(texts)
+    links = overlaps(*(np.concatenate(x) for x in (rows, hashes, counts)), n) >= near.similarity
+    np.fill_diagonal(links, True)
+    label = np.arange(n)
+    while True:
+        nearer = np.where(links, label[None, :], n).min(axis=1)
+        if (nearer == label).all():
+            return label
+        label = nearer
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                pairs_of = zip(bags(batch.column(2)), bags(batch.column(3)), strict=True)
-                values = np.array([overlap(a, b) for a, b in pairs_of])
-                good = np.flatnonzero(values >= near.similarity)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(good)), batch.column(1).take(pa.array(good)),
-                     pa.array(values[good], pa.float64())],
-                    ["a", "b", "similarity"],
-                )
 
-    return both.mapInArrow(check, "a binary, b binary, similarity double")
+def _links(nodes: DataFrame, groups: DataFrame, near: Near) -> DataFrame:
+    """``a, b``: links that hold the classes together, from all pairs inside the groups.
+
+    ``groups`` has the ``label`` of each ``node`` and its ``first`` id. Groups up to a block go
+    many to a task; of a larger one every two blocks are a task of their own.
+    """
+    sizes = stored(groups.groupBy("label").agg(F.count("*").alias("size")))
+    blocks = F.ceil(F.col("size") / near.block).cast("int")
+    placed = groups.join(sizes.where("size > 1"), "label").withColumn("blocks", blocks)
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    n_shards = shards(groups.sparkSession)
+    dealt = placed.withColumn(
+        "deal",
+        F.when(
+            F.col("blocks") == 1, F.array(F.pmod(F.xxhash64("label"), F.lit(n_shards)))
+        ).otherwise(
+            F.transform(
+                F.sequence(F.lit(0), F.col("blocks") - 1),
+                lambda other: F.xxhash64("label", F.least(own, other), F.greatest(own, other)),
+            )
+        ),
+    ).select(F.col("node").alias("of_node"), "first", "label", "deal")
+    whole = nodes.join(
+        dealt.hint("shuffle_hash"),
+        (F.col("node") == F.col("of_node")) & F.col("doc_id").eqNullSafe(F.col("first")),
+    ).select(F.explode("deal").alias("deal"), "label", "node", "text")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("label", "ascending"), ("node", "ascending")]).combine_chunks()
+        labels, found = table.column("label").to_pylist(), table.column("node").to_pylist()
+        texts = table.column("text").combine_chunks()
+        out: tuple[list[bytes], list[bytes]] = ([], [])
+        start = 0
+        for end in range(1, len(labels) + 1):
+            if end < len(labels) and labels[end] == labels[start]:
+                continue
+            if end - start > 1:
+                roots = linked(texts.slice(start, end - start), near)
+                for i in np.flatnonzero(roots != np.arange(end - start)).tolist():
+                    a, b = found[start + roots[i]], found[start + i]
+                    if a != b:
+                        out[0].append(a)
+                        out[1].append(b)
+            start = end
+        return pa.table({"a": pa.array(out[0], pa.binary()), "b": pa.array(out[1], pa.binary())})
+
+    return whole.groupBy("deal").applyInArrow(compare, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -225,28 +283,16 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _bands(signed: DataFrame, near: Near, *more: str) -> DataFrame:
-    """A row for every band of every node: its ``bucket``."""
-    keys = F.array(
-        *[
-            F.xxhash64(F.lit(i), *[F.get("signature", F.lit(i * near.rows + k)) for k in range(near.rows)])
-            for i in range(near.bands)
-        ]
-    )
-    return signed.select("node", *more, F.explode(keys).alias("bucket"))
-
-
 def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
-    """``doc_id, node, class_id`` for every row of ``docs``: rows of a class are near-duplicates.
+    """``doc_id, node, class_id, part`` of every row of ``docs``: rows of a class are near-duplicates.
 
     A class is a connected part of the texts linked by a similarity of at least
-    ``near.similarity``; ``class_id`` is its smallest ``doc_id``. ``node`` is a digest of the text.
+    ``near.similarity``; ``class_id`` is its smallest ``doc_id``. ``node`` is a digest of the text,
+    ``part`` the smallest of the class; it is null for texts without words.
 
     1. Equal texts are one node. Each node is signed and put into a bucket for every band.
-    2. In every bucket all nodes are checked against the smallest: stars, not all pairs.
-    3. Where a bucket still holds several connected parts, its nodes of different parts are
-       compared by signature, and exactly where the estimate is within five standard
-       deviations of the similarity asked for. So no link between parts is lost.
+    2. Buckets join their nodes into groups, by ties to each bucket's smallest node.
+    3. Inside the groups all pairs are checked exactly, so no link between candidates is lost.
 
     Texts without words, null ones included, are each alone: their ``class_id`` is their own
     ``doc_id``. Rows without id take part; a class of only such rows has a null ``class_id``.
@@ -257,72 +303,31 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
         F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"),
         "text",
     )
-    every = _signed(nodes, near)
     signed = stored(
-        every.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("signature").alias("signature"))
+        _signed(nodes, near)
+        .groupBy("node")
+        .agg(F.min("doc_id").alias("first"), F.any_value("bands").alias("bands"))
     )
-    bands = _bands(signed, near)
+    buckets = signed.select("node", F.explode("bands").alias("bucket"))
     leaders = stored(
-        bands.groupBy("bucket")
+        buckets.groupBy("bucket")
         .agg(F.min("node").alias("leader"), F.count("*").alias("size"))
         .where("size > 1")
         .select("bucket", "leader")
     )
-    stars = stored(
-        bands.join(leaders, "bucket").where("node <> leader").select(
-            F.col("leader").alias("a"), F.col("node").alias("b")
-        ).distinct()
+    ties = buckets.join(leaders, "bucket").where("node <> leader").select(
+        F.col("leader").alias("a"), F.col("node").alias("b")
+    ).distinct()
+    groups = stored(components(ties).join(signed.select("node", "first"), "node"))
+    links = stored(_links(nodes, groups, near))
+    return _classes(
+        nodes.select("doc_id", "node", F.expr(_HAS_WORD).alias("has_word")), components(links)
     )
-    links = stored(_verified(stars, _texts_of(nodes, stars), near))
-    labels = components(links)
-    more = stored(_between_parts(signed, leaders, labels, near).join(stars, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        bridges = stored(_verified(more, _texts_of(nodes, more), near))
-        if not bridges.isEmpty():
-            links = stored(links.unionByName(bridges))
-            labels = components(links)
-    return _classes(nodes.select("doc_id", "node", F.expr(_HAS_WORD).alias("has_word")), labels)
 
 
 _HAS_WORD = r"coalesce(text rlike '[^\\x20\\x09-\\x0D]', false)"
 
 
-def _texts_of(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One text for every node in the pairs, as a table."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    return stored(
-        nodes.select("node", "text").join(wanted, "node", "left_semi")
-        .groupBy("node").agg(F.any_value("text").alias("text"))
-    )
-
-
-def _between_parts(signed: DataFrame, leaders: DataFrame, labels: DataFrame, near: Near) -> DataFrame:
-    """Pairs of nodes of different parts in one bucket whose signatures are alike enough."""
-    members = (
-        _bands(signed, near).join(leaders.select("bucket"), "bucket")
-        .join(labels, "node", "left")
-        .select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    )
-    spread = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    mixed_buckets = stored(spread.where("low <> high").select("bucket"))
-    open_members = stored(members.join(mixed_buckets, "bucket", "left_semi"))
-    with_signature = stored(open_members.join(signed.select("node", "signature"), "node"))
-    left = with_signature.select(
-        "bucket", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("signature").alias("s_a")
-    )
-    right = with_signature.select(
-        F.col("bucket").alias("bucket_b"), F.col("node").alias("b"),
-        F.col("label").alias("label_b"), F.col("signature").alias("s_b"),
-    )
-    m, s = near.components, near.similarity
-    least = int(m * (s - 5 * (s * (1 - s) / m) ** 0.5))
-    equal = F.aggregate(
-        F.zip_with("s_a", "s_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x
-    )
-    found = left.join(right, (F.col("bucket") == F.col("bucket_b")) & (F.col("label_a") != F.col("label_b")) & (F.col("a") < F.col("b")))
-    return found.where(equal >= least).select("a", "b").distinct()
-
-
 def _classes(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Classes of all rows; hot nodes and classes are on the left of joins, where they can be cut."""
     worded = rows.where("has_word")
@@ -331,11 +336,13 @@ def _classes(rows: DataFrame, labels: DataFrame) -> DataFrame:
         first.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     )
     class_ids = stored(labelled.groupBy("label").agg(F.min("first").alias("class_id")))
-    of_node = stored(labelled.join(class_ids, "label").select(F.col("node").alias("known"), "class_id"))
-    alone = rows.where("not has_word").select("doc_id", "node", F.col("doc_id").alias("class_id"))
+    of_node = stored(
+        labelled.join(class_ids, "label").select(F.col("node").alias("known"), "class_id", F.col("label").alias("part"))
+    )
+    alone = rows.where("not has_word").select("doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(None).cast("binary").alias("part"))
     return (
         worded.join(of_node, F.col("node") == F.col("known"))
-        .select("doc_id", "node", "class_id")
+        .select("doc_id", "node", "class_id", "part")
         .unionByName(alone)
     )
 
@@ -343,14 +350,14 @@ def _classes(rows: DataFrame, labels: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """One row of ``docs`` for every class, that with the smallest id; all columns as they are.
 
-    Rows alike in id and text count as one. Texts without words all stay. Of a class in
-    which no row has an id, one row of each text stays.
+    Rows alike in id and text count as one. Texts without words all stay. Rows without id
+    come last in their class.
     """
     (node,) = fresh(docs, "node")
     classes = stored(near_duplicates(docs.select("doc_id", "text"), near))
-    with_id = classes.where("doc_id = class_id").groupBy("class_id").agg(F.min("node").alias("win_node"))
-    winners = with_id.select("win_node", F.col("class_id").alias("win_id")).union(
-        classes.where("class_id is null").select("node", "class_id").distinct()
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("best")
+    winners = classes.where("part is not null").groupBy("part").agg(best).select(
+        F.col("best.node").alias("win_node"), F.col("best.doc_id").alias("win_id")
     )
     same = (F.col(node) == F.col("win_node")) & F.col("doc_id").eqNullSafe(F.col("win_id"))
     keyed = docs.where(F.expr(_HAS_WORD)).withColumn(node, F.unhex(F.md5(F.col("text").cast("binary"))))
