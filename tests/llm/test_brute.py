@@ -220,6 +220,43 @@ def test_decontamination_finds_passages_with_substitutions(spark):
     assert all(r.n_matched >= 35 and 149 <= r.span_start <= 151 for r in got)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_decontamination_at_its_limits(spark, seed):
+    """Items of any length with up to one substitution too many, at the ends too, against all diagonals."""
+    rng = random.Random(seed)
+    items, docs = [], []
+    for size in [*range(1, 46), 57]:
+        for ends in (False, True):
+            key = len(items)
+            item = [f"b{key}x{i}" for i in range(size)]
+            items.append((key, item))
+            for times in range(6):
+                w, most = list(item), int(0.2 * size + 1e-9)
+                at = rng.sample(range(size), min(size, most + (times == 5)))
+                if ends and at:
+                    at[0], at[-1] = (0, size - 1) if times % 2 else (size - 1, 0)
+                for k in at:
+                    w[k] = "changed"
+                w = w[rng.randint(0, size - 20) :] if size > 30 and times == 3 else w
+                docs.append((10 * key + times, [f"o{i}" for i in range(rng.randint(0, 4))] + w + ["o"] * rng.randint(0, 4)))
+    expected = set()
+    for doc, w in docs:
+        key = doc // 10
+        item = items[key][1]
+        for d in range(-len(item) + 1, len(w)):
+            a, b = max(0, d), min(len(w), d + len(item))
+            same = np.concatenate(([0], np.cumsum([w[i] == item[i - d] for i in range(a, b)])))
+            for i in range(b - a):
+                for j in range(i + min(20, len(item)), b - a + 1):
+                    if 5 * (same[j] - same[i]) >= 4 * (j - i):
+                        expected.add((doc, key))
+    got = overlaps(
+        spark.createDataFrame([(k, " ".join(w)) for k, w in docs], "doc_id bigint, text string"),
+        spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id bigint, text string"),
+    ).collect()
+    assert len(expected) > 300 and {(r.doc_id, r.item_id) for r in got} == expected
+
+
 def test_decontamination_query(spark):
     """Whole benchmark texts are found, and nothing that shares less than eight words in a row."""
 

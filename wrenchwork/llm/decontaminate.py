@@ -3,7 +3,8 @@
 A seed is a mask over consecutive tokens that looks at some places and ignores the others, so
 that a substituted token at an ignored place does not hide a copied passage. Test items and
 texts are hashed under the same few masks, equal hashes are joined, and around each hit the
-two texts are compared token by token along the hit's diagonal.
+two texts are compared token by token along the hit's diagonal. An item gets masks of which,
+however the substitutions lie, at least one fits every passage that counts as copied.
 
 Tokens are words in lower case, letters and digits only.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +22,11 @@ from pyspark.sql import DataFrame, functions as F
 from .frames import fresh, stored
 from .words import CHUNK_BYTES, mixed, row_chunks, text_buffers, words_of
 
-# Places looked at (1) and ignored (0). Any single substitution in a run of
-# fifteen tokens leaves a hit of at least one of the masks.
-MASKS = ("111101011", "110110111", "101111101")
+# Places looked at (1) and ignored (0). Wherever a fifth of 20 or more tokens is
+# substituted, at least one of the masks still fits.
+MASKS = ("111001011", "1101111", "10110111")
+# For items too short for these: runs of equal tokens, down to one token.
+RUNS = ("1111", "111", "11", "1")
 
 
 @dataclass(frozen=True)
@@ -70,6 +74,40 @@ def hash_of(mask: str) -> int:
     return int(mask, 2)
 
 
+@lru_cache(maxsize=64)
+def fewest_to_hide(masks: tuple[str, ...], most: int) -> list[int]:
+    """For 0 to ``most`` tokens: the fewest substitutions after which none of the masks fits."""
+    looks = [(len(m), hash_of(m)) for m in masks]
+    kept = (1 << max(n for n, _ in looks)) - 1
+    # The fewest so far, by which of the last tokens are substituted.
+    states, fewest = {0: 0}, [0]
+    for n in range(1, most + 1):
+        after: dict[int, int] = {}
+        for state, count in states.items():
+            for changed in (0, 1):
+                new = (state << 1 | changed) & kept
+                if any(n >= length and not new & look for length, look in looks):
+                    continue
+                after[new] = min(count + changed, after.get(new, n))
+        states = after
+        fewest.append(min(states.values()))
+    return fewest
+
+
+def masks_for(n: int, rule: Overlap) -> tuple[str, ...]:
+    """The first masks of the rule's and the runs that fit every passage of an item of ``n`` tokens.
+
+    A passage of twice ``least_tokens`` or more can be cut in two, of which one is a passage as
+    well, so shorter ones are all that have to be looked at.
+    """
+    sizes = range(min(n, rule.least_tokens), min(n, 2 * rule.least_tokens - 1) + 1)
+    for masks in (rule.masks, *[(run,) for run in RUNS]):
+        fewest = fewest_to_hide(masks, sizes[-1])
+        if all(fewest[size] > int((1 - rule.least_share) * size + 1e-9) for size in sizes):
+            return masks
+    return RUNS[-1:]
+
+
 def _seeds_of(words, mask: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, token in row) of every place in a row where the mask fits."""
     hashed = seed_hashes(words.hashes, mask)
@@ -81,15 +119,21 @@ def _seeds_of(words, mask: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Items:
     """Test items in memory: their tokens, and their seeds in the order of the hashes."""
 
-    def __init__(self, ids: np.ndarray, hashes: list[np.ndarray], masks: tuple[str, ...]) -> None:
+    def __init__(self, ids: np.ndarray, hashes: list[np.ndarray], rule: Overlap) -> None:
         self.ids, self.hashes = ids, hashes
+        self.sizes = np.array([len(own) for own in hashes], dtype=np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        used: dict[str, None] = {}
         seeds, owners, places = [], [], []
         for i, own in enumerate(hashes):
-            for mask in masks:
+            for mask in masks_for(len(own), rule) if len(own) else ():
+                used[mask] = None
                 found = seed_hashes(own, mask)
                 seeds.append(found)
                 owners.append(np.full(len(found), i))
                 places.append(np.arange(len(found)))
+        self.masks = tuple(used)
         empty = np.zeros(0, np.int64)
         seeds = np.concatenate(seeds) if seeds else empty.astype(np.uint64)
         order = np.argsort(seeds, kind="stable")
@@ -114,8 +158,7 @@ def best_span(equal: np.ndarray, share: float) -> tuple[int, int, int]:
     """(start, end, equal tokens) of the longest span with at least that share of equal tokens.
 
     The sums of (equal - share) never fall below their value at the start within such a span,
-    so it is found from the running minima and maxima of the sums. Spans begin and end with
-    an equal token.
+    so it is found from the running minima and maxima of the sums.
     """
     sums = np.concatenate(([0.0], np.cumsum(equal - share)))
     low = np.minimum.accumulate(sums)
@@ -129,28 +172,38 @@ def best_span(equal: np.ndarray, share: float) -> tuple[int, int, int]:
             j += 1
         else:
             i += 1
-    end = start + best
+    return start, start + best, int(equal[start : start + best].sum())
+
+
+def trimmed(equal: np.ndarray, start: int, end: int) -> tuple[int, int]:
+    """The span without the unequal tokens at its ends."""
     while start < end and not equal[start]:
         start += 1
     while end > start and not equal[end - 1]:
         end -= 1
-    return start, end, int(equal[start:end].sum())
+    return start, end
 
 
 def passages(text: np.ndarray, diagonals: np.ndarray, item: np.ndarray, rule: Overlap):
-    """The best passage over the given diagonals (place in text minus place in item), or None."""
+    """The best passage over the given diagonals (place in text minus place in item), or None.
+
+    Its size counts with unequal tokens at its ends; it is given without them.
+    """
     need = min(rule.least_tokens, len(item))
     best = None
     for d in diagonals.tolist():
         a, b = max(0, d), min(len(text), d + len(item))
         equal = text[a:b] == item[a - d : b - d]
         start, end, same = best_span(equal, rule.least_share)
-        if end - start >= need and (best is None or same > best[2]):
+        if same and end - start >= need and (best is None or same > best[2]):
+            start, end = trimmed(equal, start, end)
             best = (a + start, a + end, same, a - d + start, a - d + end)
+            if same == len(item):
+                break
     return best
 
 
-def _loaded(benchmark: DataFrame, masks: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+def _loaded(benchmark: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
     rows = benchmark.select("item_id", F.lower(F.coalesce("text", F.lit(""))).alias("t")).collect()
     texts = pa.array([r["t"] for r in rows], pa.string())
     ids = np.array([r["item_id"] for r in rows], dtype=object)
@@ -172,9 +225,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, rule: Overlap = Overlap()) -
     ``docs`` gives ``doc_id`` and ``text``; the result has ``doc_id, item_id``, the equal tokens
     ``n_matched``, the passage's tokens in the text (``span_start`` to before ``span_end``) and
     in the item, and the text's ``n_tokens``. A passage has ``least_tokens`` tokens, or all
-    of a shorter item, of which ``least_share`` are equal one by one. The longest is given.
+    of a shorter item, of which ``least_share`` are equal one by one. The longest is given,
+    without unequal tokens at its ends.
 
-    Null and empty texts and items hold nothing. Items shorter than a mask cannot be found.
+    Null and empty texts and items hold nothing. Every passage is found, also of an item of one token.
     Repeated rows are each reported. An empty table on either side gives an empty result.
     """
     items = benchmark.select("item_id", "text").where("text is not null")
@@ -194,11 +248,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, rule: Overlap = Overlap()) -
 
 
 def _against(docs: DataFrame, items: DataFrame, rule: Overlap) -> DataFrame:
-    ids, hashes = _loaded(items, rule.masks)
+    ids, hashes = _loaded(items)
     shared = docs.sparkSession.sparkContext.broadcast((ids, hashes))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Items(*shared.value, rule.masks)
+        known = Items(*shared.value, rule)
         for batch in batches:
             for a, b, words in tokens(batch.column(1)):
                 rows = _found(words, known, rule)
@@ -216,7 +270,7 @@ def _against(docs: DataFrame, items: DataFrame, rule: Overlap) -> DataFrame:
 
 def _found(words, known: Items, rule: Overlap) -> list[tuple]:
     rows, owners, diagonals = [], [], []
-    for mask in rule.masks:
+    for mask in known.masks:
         hashed, row, place = _seeds_of(words, mask)
         at, seed = known.hits(hashed)
         rows.append(row[at])
@@ -225,6 +279,7 @@ def _found(words, known: Items, rule: Overlap) -> list[tuple]:
     if not rows:
         return []
     found = np.unique(np.stack([np.concatenate(x) for x in (rows, owners, diagonals)]), axis=1)
+    found = found[:, _may_hold(words, known, *found, rule)]
     out = []
     pair = np.flatnonzero(np.any(found[:2, 1:] != found[:2, :-1], axis=0)) + 1
     for group in np.split(found, pair, axis=1) if found.shape[1] else []:
@@ -237,6 +292,25 @@ def _found(words, known: Items, rule: Overlap) -> list[tuple]:
     return out
 
 
+def _may_hold(
+    words, known: Items, rows: np.ndarray, owners: np.ndarray, diagonals: np.ndarray, rule: Overlap
+) -> np.ndarray:
+    """Numbers of the hits whose whole diagonals have as many equal tokens as a passage needs."""
+    size, text_size = known.sizes[owners], np.diff(words.first)[rows]
+    low = np.maximum(diagonals, 0)
+    shared = np.minimum(text_size, diagonals + size) - low
+    need = np.minimum(size, rule.least_tokens)
+    enough = np.zeros(len(rows), dtype=bool)
+    for a, b in row_chunks(np.concatenate(([0], np.cumsum(shared)))):
+        part = shared[a:b]
+        inside = np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part)
+        in_text = np.repeat(words.first[rows[a:b]] + low[a:b], part) + inside
+        in_item = np.repeat(known.first[owners[a:b]] + low[a:b] - diagonals[a:b], part) + inside
+        same = np.add.reduceat(words.hashes[in_text] == known.flat[in_item], np.cumsum(part) - part, dtype=np.int64)
+        enough[a:b] = (part >= need[a:b]) & (same >= rule.least_share * need[a:b] - 1e-9)
+    return np.flatnonzero(enough)
+
+
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, rule: Overlap = Overlap()) -> DataFrame:
     """The rows of ``docs`` that hold no passage of a test item; all columns as they are.
 
