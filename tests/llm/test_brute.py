@@ -374,6 +374,22 @@ def test_main_text_without_an_article():
     )
 
 
+def test_main_text_over_several_sections():
+    def words_of(n, w):
+        return " ".join(f"{w}{i}" for i in range(n))
+
+    one, two, three = words_of(120, "one"), words_of(60, "two"), words_of(30, "three")
+    menu = "<div><a href=/a>a</a> <a href=/b>b</a></div><div><a href=/c>c</a></div><div><a href=/d>d</a></div>"
+    for open_, close in (("<section>", "</section>"), ("<div>", "</div>"), ("<article>", "</article>")):
+        parts = "".join(f"{open_}<p>{x}</p>{close}" for x in (one, two, three))
+        page = f"<body>{menu}<div id=content>{parts}</div>{menu}</body>"
+        assert main_text(page) == f"{one}\n{two}\n{three}"
+    titled = f"<body>{menu}<div id=content><h1>Title</h1><p>By me</p><div class=text><p>{one}</p><p>{two}</p></div></div></body>"
+    assert main_text(titled) == f"Title\nBy me\n{one}\n{two}"
+    apart = f"<body>{menu}<div><div class=head><h1>Title</h1></div><div class=text><p>{one}</p><p>{two}</p></div></div></body>"
+    assert main_text(apart) == f"Title\n{one}\n{two}"
+
+
 def test_language_accuracy(spark):
     known = {r[0]: r[2] for r in given("documents")}
     rows = [r for r in QUERIES["op2_language_id"](spark, FOLDER).collect() if r.held_out]

@@ -2,10 +2,10 @@
 
 The standard library's parser streams a page's events. They are laid out as lines, one per
 block of text, each with its characters and the tags met on the way. The ratio of text to tags
-is smoothed over neighbouring lines with a Gaussian; lines are clustered into content and the
-rest at a threshold found by two means. The content region is the innermost section that
-holds most of the text of the content lines, and all its lines are given: a short paragraph
-inside an article stays, whatever its ratio. Parts that say what they are by tag, role or
+is smoothed over neighbouring lines with a Gaussian, as a logarithm; lines are clustered into content and the
+rest at a threshold found by two means. The content region is the article that holds most of
+the text of the content lines, or else the innermost section that holds all of them, with the
+headings before it. All its lines are given: a short paragraph stays, whatever its ratio. Parts that say what they are by tag, role or
 class (menus, footers, adverts, comments and so on) are never content.
 """
 
@@ -32,6 +32,9 @@ BLOCKS = frozenset(
     "summary table tbody td tfoot th thead tr ul".split()
 )
 SECTIONS = frozenset("html body main article section div td table tbody tr center".split())
+# Characters per tag from which on a line is no list of links, whatever the others have.
+TEXT_RATIO = 20.0
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FURNITURE_TAGS = frozenset("nav footer aside form menu dialog button".split())
 FURNITURE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split()
@@ -73,11 +76,11 @@ def _is_furniture(tag: str, attributes: list[tuple[str, str | None]], in_article
 
 
 class _Layout(HTMLParser):
-    """Lines of a page: text, tags met since the line before, and the sections around it."""
+    """Lines of a page: text, tags met since the line before, the sections and the heading around it."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], str]] = []
         self.kinds: list[str] = ["root"]  # tag of each section by number
         self.open: list[tuple[str, bool, bool, int]] = []  # tag, unseen, furniture, section
         self.parts: list[str] = []
@@ -93,7 +96,8 @@ class _Layout(HTMLParser):
         self.parts.clear()
         if text:
             path = tuple(s for *_, s in self.open if s)
-            self.lines.append((text, self.tags, path))
+            heading = next((t for t, *_ in self.open if t in HEADINGS), "")
+            self.lines.append((text, self.tags, path, heading))
             self.tags = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -177,6 +181,38 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def region_of(layout: _Layout, sizes: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Which lines belong to the main text: those of the content region, and headings before it."""
+    kinds = layout.kinds
+    paths = [path for _, _, path, _ in layout.lines]
+    held: dict[int, float] = {}
+    for i in np.flatnonzero(content):
+        marked = next((s for s in paths[i] if kinds[s] in ("article", "main")), 0)
+        held[marked] = held.get(marked, 0.0) + sizes[i]
+    held.pop(0, None)
+    # An only article or main part that holds most of the content is all of it.
+    if len(held) == 1 and sum(held.values()) >= 0.6 * sizes[content].sum():
+        return np.array([next(iter(held)) in path for path in paths])
+    region: tuple[int, ...] = paths[int(content.argmax())]
+    for i in np.flatnonzero(content):
+        same = 0
+        while same < min(len(region), len(paths[i])) and region[same] == paths[i][same]:
+            same += 1
+        region = region[:same]
+    first = next(i for i, path in enumerate(paths) if path[: len(region)] == region)
+    # A section with a heading of its own before the region is part of it.
+    for i in range(first):
+        path, heading = paths[i], layout.lines[i][3]
+        if heading and path == region[: len(path)] and path and kinds[path[-1]] not in ("html", "body"):
+            region = path
+            break
+    chosen = np.array([path[: len(region)] == region for path in paths])
+    for i in range(int(chosen.argmax())):
+        heading = layout.lines[i][3]
+        chosen[i] |= heading == "h1" or (heading != "" and paths[i] == region[: len(paths[i])])
+    return chosen
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page: blocks in page order, one per line; empty if there is none."""
     if not html:
@@ -188,25 +224,13 @@ def main_text(html: str | None) -> str:
     lines = layout.lines
     if not lines:
         return ""
-    sizes = np.array([len(text) for text, _, _ in lines], dtype=np.float64)
-    tags = np.array([t for _, t, _ in lines], dtype=np.float64)
-    values = smoothed(sizes / np.maximum(tags, 1.0))
-    content = values >= threshold(values) if len(lines) > 1 else np.ones(1, dtype=bool)
-    region = 0
-    # Down from the root while one section holds most of the text of the content lines.
-    wanted = sizes[content].sum()
-    depth = 0
-    while layout.kinds[region] not in ("article", "main"):
-        held: dict[int, float] = {}
-        for i in np.flatnonzero(content):
-            path = lines[i][2]
-            if len(path) > depth and (region == 0 or path[depth - 1] == region):
-                held[path[depth]] = held.get(path[depth], 0.0) + sizes[i]
-        best = max(held, key=lambda k: held[k], default=0)
-        if not best or held[best] < 0.6 * wanted:
-            break
-        region, depth = best, depth + 1
-    return "\n".join(text for text, _, path in lines if region == 0 or region in path)
+    sizes = np.array([len(text) for text, *_ in lines], dtype=np.float64)
+    tags = np.array([t for _, t, *_ in lines], dtype=np.float64)
+    # As logarithms: one long line does not lift the links beside it, nor sink a shorter text.
+    values = smoothed(np.log1p(sizes / np.maximum(tags, 1.0)))
+    content = values >= min(threshold(values), np.log1p(TEXT_RATIO), values.max())
+    chosen = region_of(layout, sizes, content)
+    return "\n".join(lines[i][0] for i in np.flatnonzero(chosen))
 
 
 def with_main_text(pages: DataFrame) -> DataFrame:
