@@ -390,6 +390,20 @@ def test_main_text_over_several_sections():
     assert main_text(apart) == f"Title\n{one}\n{two}"
 
 
+def test_main_text_in_parts_with_names_like_furniture():
+    text = " ".join(f"word{i}" for i in range(80))
+    menu = "<ul><li><a href=/a>a</a><li><a href=/b>b</a></ul>"
+    for name in ("has-sidebar", "no-sidebar", "layout with-sidebar", "content-header", "sidebar-layout", "sidebar"):
+        for kind in ("class", "id"):
+            assert main_text(f"<body><div {kind}='{name}'><h1>Title</h1><p>{text}</p><p>End.</p></div></body>") == f"Title\n{text}\nEnd."
+    for name in ("article-header", "entry-header", "header"):
+        page = f"<body><article><div class='{name}'><h1>Title</h1></div><p>{text}</p></article></body>"
+        assert main_text(page) == f"Title\n{text}"
+    assert main_text(f"<body><form id=all><nav>{menu}</nav><p>{text}</p></form></body>") == text
+    assert main_text(f"<body><article><div class=share-box>{menu}</div><p>{text}</p></article></body>") == text
+    assert main_text(f"<body><nav>{menu}</nav></body>") == ""
+
+
 def test_language_accuracy(spark):
     known = {r[0]: r[2] for r in given("documents")}
     rows = [r for r in QUERIES["op2_language_id"](spark, FOLDER).collect() if r.held_out]

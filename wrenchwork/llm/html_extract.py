@@ -6,7 +6,8 @@ is smoothed over neighbouring lines with a Gaussian, as a logarithm; lines are c
 rest at a threshold found by two means. The content region is the article that holds most of
 the text of the content lines, or else the innermost section that holds all of them, with the
 headings before it. All its lines are given: a short paragraph stays, whatever its ratio. Parts that say what they are by tag, role or
-class (menus, footers, adverts, comments and so on) are never content.
+class (menus, footers, adverts, comments and so on) are not content, unless nothing else is there.
+A name that says so only in part is a hint: its lines stay if the clusters count them as content.
 """
 
 from __future__ import annotations
@@ -49,40 +50,65 @@ FURNITURE_NAMES = frozenset(
     "notice notices alert popup modal overlay newsletter subscribe signup login share sharing social "
     "related recommended comment comments disqus replies reply respond search form skip copyright".split()
 )
+# A name with one of these says what is beside it or missing.
+BESIDE = frozenset("has no with without".split())
+# Names of these headers are of a text, not of the site.
+TEXT_PARTS = frozenset("article entry post story content section chapter page".split())
 _NAME_PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _SPACE = re.compile(r"[\x09-\x0D\x20]+")
 
 
-def _is_furniture(tag: str, attributes: list[tuple[str, str | None]], in_article: bool) -> bool:
-    if tag in FURNITURE_TAGS or (tag == "header" and not in_article):
-        return True
+def _named(word: str, in_article: bool) -> int:
+    """2 if a class name or id names page furniture, 1 if it only hints at it, else 0."""
+    parts = {p.lower() for p in _NAME_PARTS.findall(word)}
+    found = parts & FURNITURE_NAMES
+    if parts & BESIDE or (found == {"header"} and (in_article or parts & TEXT_PARTS)):
+        return 0
+    if word.lower() in FURNITURE_NAMES or (found and found == parts):
+        return 2
+    return int(bool(found) and len(parts) <= 3)
+
+
+def _furniture(tag: str, attributes: list[tuple[str, str | None]], in_article: bool, lenient: int) -> int:
+    """2 for page furniture, 1 for what a name only hints at, else 0.
+
+    ``lenient`` 1 passes over names, 2 over forms and asides as well.
+    """
+    if (tag in FURNITURE_TAGS and not (lenient > 1 and tag in ("form", "aside"))) or (
+        tag == "header" and not in_article
+    ):
+        return 2
+    most = 0
     for name, value in attributes:
         if name in ("hidden",):
-            return True
+            return 2
         if not value:
             continue
-        if name == "role" and value.lower() in FURNITURE_ROLES:
-            return True
+        if name == "role" and value.lower() in FURNITURE_ROLES and not (lenient > 1 and value.lower() in ("form", "complementary")):
+            return 2
         if name == "aria-hidden" and value.lower() == "true":
-            return True
+            return 2
         if name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            for word in value.split():
-                parts = {p.lower() for p in _NAME_PARTS.findall(word)}
-                if word.lower() in FURNITURE_NAMES or (parts and len(parts) <= 3 and parts & FURNITURE_NAMES):
-                    return True
-    return False
+            return 2
+        if not lenient and name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            most = max([most, *(_named(word, in_article) for word in value.split())])
+    return most
 
 
 class _Layout(HTMLParser):
-    """Lines of a page: text, tags met since the line before, the sections and the heading around it."""
+    """Lines of a page: text, tags met since the line before, the sections and the heading around it.
+
+    ``hints`` has, for every line, the elements around it whose names hint at furniture.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, lenient: int = 0) -> None:
         super().__init__(convert_charrefs=True)
+        self.lenient = lenient
         self.lines: list[tuple[str, int, tuple[int, ...], str]] = []
+        self.hints: list[tuple[int, ...]] = []
+        self.hinted = 0
         self.kinds: list[str] = ["root"]  # tag of each section by number
-        self.open: list[tuple[str, bool, bool, int]] = []  # tag, unseen, furniture, section
+        self.open: list[tuple[str, bool, bool, int, int]] = []  # tag, unseen, furniture, hint, section
         self.parts: list[str] = []
         self.tags = 0
 
@@ -98,6 +124,7 @@ class _Layout(HTMLParser):
             path = tuple(s for *_, s in self.open if s)
             heading = next((t for t, *_ in self.open if t in HEADINGS), "")
             self.lines.append((text, self.tags, path, heading))
+            self.hints.append(tuple(h for *_, h, _ in self.open if h))
             self.tags = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -115,14 +142,19 @@ class _Layout(HTMLParser):
         if tag in VOID:
             return
         in_article = any(t in ("article", "main") for t, *_ in self.open)
-        gone = furniture or _is_furniture(tag, attrs, in_article)
+        named = 2 if furniture else _furniture(tag, attrs, in_article, self.lenient)
+        gone = named == 2
+        hint = 0
+        if named == 1 and tag in BLOCKS:
+            self.hinted += 1
+            hint = self.hinted
         if gone and not furniture:
             self.end_line()
         section = 0
         if tag in SECTIONS:
             section = len(self.kinds)
             self.kinds.append(tag)
-        self.open.append((tag, unseen or tag in UNSEEN, gone, section))
+        self.open.append((tag, unseen or tag in UNSEEN, gone, hint, section))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -213,14 +245,33 @@ def region_of(layout: _Layout, sizes: np.ndarray, content: np.ndarray) -> np.nda
     return chosen
 
 
+def denied(layout: _Layout, sizes: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Lines that are no content inside an element of which that is true for most of the text.
+
+    Only elements count whose names hint at furniture.
+    """
+    text: dict[int, float] = {}
+    kept: dict[int, float] = {}
+    for i, hints in enumerate(layout.hints):
+        for h in hints:
+            text[h] = text.get(h, 0.0) + sizes[i]
+            kept[h] = kept.get(h, 0.0) + sizes[i] * content[i]
+    poor = {h for h in text if kept[h] < 0.5 * text[h]}
+    return np.array([not c and not poor.isdisjoint(h) for c, h in zip(content, layout.hints, strict=True)])
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page: blocks in page order, one per line; empty if there is none."""
     if not html:
         return ""
-    layout = _Layout()
-    layout.feed(html)
-    layout.close()
-    layout.end_line()
+    # Where nothing is left, names and then forms may have been taken for furniture wrongly.
+    for lenient in range(3):
+        layout = _Layout(lenient)
+        layout.feed(html)
+        layout.close()
+        layout.end_line()
+        if layout.lines:
+            break
     lines = layout.lines
     if not lines:
         return ""
@@ -229,7 +280,7 @@ def main_text(html: str | None) -> str:
     # As logarithms: one long line does not lift the links beside it, nor sink a shorter text.
     values = smoothed(np.log1p(sizes / np.maximum(tags, 1.0)))
     content = values >= min(threshold(values), np.log1p(TEXT_RATIO), values.max())
-    chosen = region_of(layout, sizes, content)
+    chosen = region_of(layout, sizes, content) & ~denied(layout, sizes, content)
     return "\n".join(lines[i][0] for i in np.flatnonzero(chosen))
 
 
