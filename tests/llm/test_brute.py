@@ -290,6 +290,21 @@ def test_license_scan(spark):
     assert [r.license for r in got] == ["MIT-permission"] and 0.9 < got[0].coverage < 1
 
 
+@pytest.mark.parametrize("name", ["MIT", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "Apache-2.0"])
+def test_licenses_on_neighbouring_lines(spark, name):
+    """Each notice has its row, back to back, after words of its own, and with a word left out."""
+    w = TEMPLATES[name].split()
+    n = len(w)
+    texts = [(own, "\n".join(" ".join([f"part{i}x{k}" for k in range(own)] + w) for i in range(10))) for own in range(4)]
+    texts.append((4, "\n".join(" ".join(w[:4] + w[5:] if i == 5 else w) for i in range(10))))
+    texts.append((5, " ".join(w[:4] + ["a", "b", "c", "d"] + w[4:])))
+    rows = license_notices(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    got = sorted((r.doc_id, r.span_start, r.span_end, r.n_matched) for r in rows if r.license == name)
+    expected = [(own, i * (n + own) + own, (i + 1) * (n + own), n) for own in range(4) for i in range(10)]
+    expected += [(4, i * n - (i > 5), (i + 1) * n - (i >= 5), n - (i == 5)) for i in range(10)]
+    assert got == [*expected, (5, 0, n + 4, n)]
+
+
 def test_license_query(spark):
     expected = {r[0] for r in given("documents") if re.search("licen[sc]e", r[1] or "", re.I)}
     assert {r.doc_id for r in QUERIES["op5_license_scan"](spark, FOLDER).collect()} == expected

@@ -9,6 +9,7 @@ that the text has and where.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -163,8 +164,8 @@ def license_notices(docs: DataFrame, templates: dict[str, str] | None = None, sc
 
     ``coverage`` is the share of the template's tokens found, at least ``least_coverage``; the
     span is in tokens of the text (lower-case words without punctuation). A text with a notice
-    several times has a row for each; of notices over the same words that with most is given. Null and empty texts have none; a template of fewer than
-    ``k`` tokens cannot be found. Templates are a short list, given by the caller or built in.
+    several times has a row for each, however close; of notices over the same words that with
+    most is given. Null and empty texts have none; a template of fewer than ``k`` tokens cannot be found. Templates are a short list, given by the caller or built in.
     """
     shared = docs.sparkSession.sparkContext.broadcast(TEMPLATES if templates is None else templates)
 
@@ -196,24 +197,70 @@ def _notices(words, known: Templates, scan: Scan) -> Iterator[tuple]:
     at = prints[at]
     found = np.stack((row[at], known.owners[entry], place[at] - known.places[entry]))
     found = np.unique(found, axis=1)
-    # Neighbouring diagonals of one text and template belong to one notice.
-    cut = np.any(found[:2, 1:] != found[:2, :-1], axis=0) | (np.diff(found[2]) > scan.band)
+    cut = np.any(found[:2, 1:] != found[:2, :-1], axis=0)
     notices = []
-    for group in np.split(found, np.flatnonzero(cut) + 1, axis=1) if found.shape[1] else []:
-        r, owner = int(group[0, 0]), int(group[1, 0])
+    for pair in np.split(found, np.flatnonzero(cut) + 1, axis=1) if found.shape[1] else []:
+        r, owner = int(pair[0, 0]), int(pair[1, 0])
         text = words.hashes[words.first[r] : words.first[r + 1]]
         template = known.tokens[owner]
-        same, start, end = aligned(template, text, int(np.median(group[2])), scan.band)
-        coverage = same / len(template)
-        if coverage >= scan.least_coverage:
-            notices.append((r, known.names[owner], coverage, same, start, end))
+        for same, start, end in _aligned_each(template, text, pair[2], scan):
+            notices.append((r, known.names[owner], same / len(template), same, start, end))
     # Of notices over the same words the one with most of them counts: not its parts or look-alikes.
-    notices.sort(key=lambda x: (x[0], -x[3], -x[2], x[1]))
-    taken: list[tuple[int, int]] = []
+    notices.sort(key=lambda x: (x[0], -x[3], -x[2], x[5] - x[4], x[1], x[4]))
+    taken: list[tuple[int, int]] = []  # in the order of the text, without overlaps
     for i, notice in enumerate(notices):
         if i and notices[i - 1][0] != notice[0]:
             taken.clear()
         start, end = notice[4:]
-        if all(end <= a or b <= start for a, b in taken):
-            taken.append((start, end))
+        at = bisect_left(taken, (start, end))
+        if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
+            insort(taken, (start, end))
             yield notice
+
+
+def _aligned_each(
+    template: np.ndarray, text: np.ndarray, diagonals: np.ndarray, scan: Scan
+) -> list[tuple[int, int, int]]:
+    """(equal tokens, start, end) of alignments near the diagonals, given in order, with enough tokens.
+
+    Neighbouring diagonals belong to one notice, over no more than half of the template. A
+    notice repeated closely is kept from meeting the words of those beside it; only where
+    that gives fewer equal tokens in all is it aligned over them.
+    """
+    spread = min(scan.band, len(template) // 2)
+    groups: list[list[int]] = []
+    for d in diagonals.tolist():
+        if groups and d - groups[-1][0] <= spread:
+            groups[-1].append(d)
+        else:
+            groups.append([d])
+    low = np.array([g[0] for g in groups])
+    high = np.array([g[-1] for g in groups])
+    # The notices before and after are at least so far away.
+    apart = max(1, int(np.ceil(scan.least_coverage * len(template) - 1e-9)))
+    before = np.searchsorted(high, high - apart, "right") - 1
+    after = np.searchsorted(low, low + apart, "left")
+    offsets = [int(np.median(g)) for g in groups]
+
+    def enough(found: tuple[int, int, int]) -> bool:
+        return found[0] / len(template) >= scan.least_coverage
+
+    alone, wide = [], []
+    for g, offset in enumerate(offsets):
+        a, b = 0, len(text)
+        if before[g] >= 0:
+            a = max(0, int(high[before[g]]) + apart)
+        if after[g] < len(groups):
+            b = int(low[after[g]])
+        near = max(0, offset - scan.band), offset + len(template) + scan.band
+        same, start, end = aligned(template, text[a:b], offset - a, scan.band)
+        alone.append((same, start + a, end + a))
+        wide.append(near[0] < a or b < min(near[1], len(text)))
+    out = [x for x in alone if enough(x)]
+    for g in np.flatnonzero(wide).tolist():
+        found = aligned(template, text, offsets[g], scan.band)
+        beside = range(*np.searchsorted(low, [low[g] - found[2] + found[1] - spread, low[g] + found[2] - found[1] + spread + 1]))
+        others = sum(alone[i][0] for i in beside if enough(alone[i]) and alone[i][1] < found[2] and found[1] < alone[i][2])
+        if enough(found) and found[0] > others:
+            out.append(found)
+    return out
