@@ -54,6 +54,18 @@ def test_intake(spark, t, store, tmp_path):
     assert same_rows(QUERIES["intake_rejects"](t), rejects)
 
 
+def test_intake_refuses_numbers_in_use(spark, t, store, tmp_path):
+    """Every second claim so far is known; forms with their numbers are not taken in again."""
+    claims = src.read_claims(spark, f"{store}/claims").filter("pmod(crc32(no), 2) = 0")
+    src.write_claims(claims, f"{tmp_path}/known")
+    flows.take_in_claims(spark, store, f"{tmp_path}/out", AS_OF, f"{tmp_path}/known")
+    accepted = src.read_claims(spark, f"{tmp_path}/out/claims").drop("parts")
+    expected = QUERIES["claim_intake"](t).filter("pmod(crc32(no), 2) = 1")
+    assert same_rows(expected, accepted) and not expected.isEmpty()
+    rejects = spark.read.parquet(f"{tmp_path}/out/claim_rejects").filter("reason = 'number taken'")
+    assert not rejects.isEmpty() and rejects.join(claims, rejects.id == claims.no, "left_anti").isEmpty()
+
+
 def test_review(spark, t, store, tmp_path):
     flows.review_claims(spark, store, str(tmp_path))
     reviewed = src.read_claims(spark, f"{tmp_path}/claims")

@@ -21,11 +21,18 @@ def find_parts(spark: SparkSession, source: str, query: str, brand: str = "") ->
     return op.part_cards(op.search_parts(parts, query, brand))
 
 
-def take_in_claims(spark: SparkSession, source: str, target: str, submitted_on: date) -> None:
-    """Accepted new claims to ``claims``, the others to ``claim_rejects``."""
+def take_in_claims(
+    spark: SparkSession, source: str, target: str, submitted_on: date, known: str | None = None
+) -> None:
+    """Accepted new claims to ``claims``, the others to ``claim_rejects``.
+
+    ``known`` is the folder of the claims so far, as a rule ``{source}/claims``; forms with their
+    numbers are refused. Without it a number only has to be on one form.
+    """
     vehicles = src.read_vehicles(spark, f"{source}/vehicles")
     forms = src.read_new_claims(spark, f"{source}/new_claims")
-    checked = _stored(op.check_intake(forms, vehicles), f"{target}/intake_checked")
+    claims = None if known is None else src.read_claims(spark, known)
+    checked = _stored(op.check_intake(forms, vehicles, claims), f"{target}/intake_checked")
     src.append_claims(op.accepted_claims(checked, submitted_on), f"{target}/claims")
     src.append_rows(op.rejected_claims(checked), f"{target}/claim_rejects")
 

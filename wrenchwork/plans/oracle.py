@@ -361,6 +361,18 @@ SQL = {
         from intake where reason is null""",
     "intake_rejects": """select id, vehicle_id, fault_desc, diagnosis, reason
         from intake where reason is not null""",
+    "intake_numbers_in_use": """
+        with forms as (
+          select id, vehicle_id, fault_desc from new_claims
+          union all select no, vehicle_id, fault from claim_heads
+          where stage <> 'O' and claim_id % 11 = 0)
+        select f.id,
+          case when f.vehicle_id is null then 'no vehicle'
+               when f.fault_desc = '' then 'no fault'
+               when v.vin is null then 'unknown vehicle'
+               when f.id in (select no from claim_heads where stage <> 'O') then 'number taken'
+          end as reason
+        from forms f left join vehicles v on v.id = f.vehicle_id""",
     "claim_items": """select no as claim,
         string_agg(oe || ' x' || cast(qty as varchar), ', ' order by oe) as items
         from claim_parts group by no""",

@@ -346,6 +346,17 @@ def intake_rejects(t: Tables) -> DataFrame:
     return rejected
 
 
+@_query
+def intake_numbers_in_use(t: Tables) -> DataFrame:
+    """New forms, some with the number of a settled claim, and the reason to refuse them."""
+    settled = t.claim_heads().filter("stage <> 'O'")
+    again = settled.filter("claim_id % 11 = 0").selectExpr(
+        "no as id", "vehicle_id", "fault as fault_desc", "cast(null as string) as diagnosis"
+    )
+    forms = t.new_claims().unionByName(again)
+    return op.check_intake(forms, t.vehicles(), settled).select("id", "reason")
+
+
 def _forms(t: Tables) -> DataFrame:
     lines = t.claim_parts().select(F.col("no").alias("claim"), F.col("oe").alias("oe_no"), "qty")
     return op.claim_items(lines)
