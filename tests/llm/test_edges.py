@@ -33,6 +33,15 @@ def test_quality_rules(odd):
     assert menu.lost_words == 140 and not menu.kept and menu.clean_text == "" and menu.n_dup_lines == 19
 
 
+@pytest.mark.parametrize("mark", "। ॥ ۔ ؟ ። ፧ ။ ។ ། ！ ？ ：".split())
+def test_sentences_of_other_scripts_are_closed(mark, spark):
+    text = "\n".join(" ".join(f"w{i}x{k}" for k in range(34)) + mark for i in range(4))
+    rows = quality_rules(spark.createDataFrame([(1, text), (2, text.replace(mark, ""))], "doc_id bigint, text string"))
+    found = {r.doc_id: r.quality for r in rows.collect()}
+    assert found[1].kept and found[1].lost_words == 0 and found[1].clean_text == text
+    assert not found[2].kept and found[2].lost_words == 136
+
+
 def test_near_duplicates(odd):
     rows = near_duplicates(odd).collect()
     assert len(rows) == odd.count()

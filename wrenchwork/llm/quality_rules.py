@@ -24,6 +24,19 @@ MENU_MARK = rf"(?:^|[\x20\x09-\x0D]){MARKS}+(?=[\x20\x09-\x0D]|$)"
 SHOUT = r"[!?]{2,}(?=[\x20\x09-\x0D]|$)"
 # What ends or parts sentences.
 SENTENCE_MARK = r"[.!?:;…。]"
+# These and what does so in other scripts: Unicode's Sentence_Terminal, and colons and semicolons.
+ANY_SENTENCE_MARK = (
+    r"[.!?:;…。\u037E\u0589\u061B\u061D-\u061F\u06D4\u0700-\u0704\u07F9\u0837\u0839\u083D\u083E\u0964\u0965"
+    r"\u0F0D-\u0F11\u104A\u104B\u1362\u1364-\u1368\u166E\u1735\u1736\u17D4-\u17D6\u1803\u1804\u1809\u1944\u1945"
+    r"\u1AA8-\u1AAB\u1B5A-\u1B5B\u1B5E\u1B5F\u1C3B\u1C3C\u1C7E\u1C7F\u203C\u203D\u2047-\u2049\u2E2E\u2E3C"
+    r"\uA4FF\uA60E\uA60F\uA6F3\uA6F4\uA6F6\uA6F7\uA876\uA877\uA8CE\uA8CF\uA92F\uA9C8\uA9C9\uAA5D-\uAA5F"
+    r"\uAAF0\uAAF1\uABEB\uFE52\uFE54-\uFE57\uFF01\uFF0E\uFF1A\uFF1B\uFF1F\uFF61"
+    r"\x{10A56}\x{10A57}\x{10F55}-\x{10F59}\x{11047}\x{11048}\x{110BE}-\x{110C1}\x{11141}-\x{11143}"
+    r"\x{111C5}\x{111C6}\x{111CD}\x{111DE}\x{111DF}\x{11238}\x{11239}\x{1123B}\x{1123C}\x{112A9}"
+    r"\x{1144B}\x{1144C}\x{115C2}\x{115C3}\x{115C9}-\x{115D7}\x{11641}\x{11642}\x{1173C}-\x{1173E}"
+    r"\x{11944}\x{11946}\x{11A42}\x{11A43}\x{11A9B}\x{11A9C}\x{11C41}\x{11C42}\x{11EF7}\x{11EF8}"
+    r"\x{16A6E}\x{16A6F}\x{16AF5}\x{16B37}\x{16B38}\x{16B44}\x{16E98}\x{1BC9F}\x{1DA88}]"
+)
 # Phrases of page furniture, in lower case.
 FURNITURE = (
     "cookie", "javascript", "all rights reserved", "terms of use", "terms of service",
@@ -178,6 +191,7 @@ def _failing_lines(flags: Column, lines: Column, rules: Rules) -> Column:
         )
         long_enough = F.length(line) >= 2 * rules.open_words - 1  # characters, before words count
         left_open = long_enough & ~line.rlike(SENTENCE_MARK) & (n >= rules.open_words)
+        left_open = left_open & ~line.rlike(ANY_SENTENCE_MARK)  # last: the slower test, for few lines
         symbols = flags["symbols"] & (
             100 * F.regexp_count(bare, F.lit(SYMBOL)) >= rules.symbol_percent * F.length(bare)
         )
