@@ -119,4 +119,46 @@ with recursive texts as (
 select doc_id, min(other) as class_id from reached group by doc_id
 """
 
-SQL: dict[str, str] = {"op1_quality_rules": OP1, "op3_substring_dedup": OP3, "op4_near_duplicates": OP4}
+# Every document goes through every order, where the query adds up counts of masks.
+OP12 = f"""
+with letters(l) as (values ('A'), ('B'), ('C'), ('D'), ('E')
+), orders as (
+    select a.l || b.l || c.l || d.l || e.l as filter_order
+    from letters a, letters b, letters c, letters d, letters e
+    where len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+), steps as (
+    select filter_order, step, substr(filter_order, step, 1) as own, substr(filter_order, 1, step - 1) as before
+    from orders, (values (1), (2), (3), (4), (5)) as s(step)
+), texts as (
+    select doc_id, coalesce(text, '') as text, coalesce(lang, '') as part, {_WORDS} as words from documents
+), told as (
+    select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id
+), judged as (
+    select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+        case when len(words) < 100 then 'A' else '' end
+        || case when 100 * len(list_distinct(words)) < 80 * len(words) then 'B' else '' end
+        || case when 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text)
+            then 'C' else '' end
+        || case when regexp_matches(text, '[#$%&*|]') then 'D' else '' end
+        || case when min(texts.doc_id) over (partition by text) < texts.doc_id then 'E' else '' end as fails
+    from texts left join told on told.doc_id = texts.doc_id
+), met as (
+    select part, filter_order, step, own, good, toxic, contains(fails, own) as fail, fails = own as alone,
+        length(translate(fails, before, '')) < length(fails) as gone
+    from judged, steps
+), figures as (
+    select part, filter_order, step, own, count(*) filter (not gone and not fail) as kept,
+        count(*) filter (not gone and fail) as removed, count(*) filter (gone and fail) as redundant,
+        count(*) filter (alone) as unique_fails, count(*) filter (not gone and fail and good) as good_lost,
+        count(*) filter (not gone and fail and toxic) as toxic_lost
+    from met group by part, filter_order, step, own
+)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    (sum(removed) over (partition by part, own))::bigint as shapley
+from figures
+"""
+
+SQL: dict[str, str] = {
+    "op1_quality_rules": OP1, "op3_substring_dedup": OP3, "op4_near_duplicates": OP4,
+    "op12_filter_audit": OP12,
+}

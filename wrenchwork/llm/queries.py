@@ -130,3 +130,10 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from .token_counts import count_tokens
 
     return count_tokens(table(spark, folder, "documents")).select("doc_id", "n_tokens")
+
+
+@_query
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    from .filter_audit import filter_audit
+
+    return filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
