@@ -158,7 +158,57 @@ select part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 from figures
 """
 
+# Sums over dense tables of all terms and sources, in 128-bit integers.
+OP13 = r"""
+with texts as (
+    select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+        regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms
+    from documents
+), occurrences as (
+    select r, lang, source,
+        translate(unnest(terms), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term
+    from texts
+), vocabulary as (
+    select lang, term, count(*)::hugeint as n from occurrences
+    group by lang, term having count(distinct r) >= 10
+), sizes as (
+    select lang, sum(n)::hugeint as total, count(*)::hugeint as v from vocabulary group by lang
+), sources as (
+    select distinct lang, source from texts
+), counts as (
+    select lang, source, term, count(*)::hugeint as n from occurrences semi join vocabulary using (lang, term)
+    group by lang, source, term
+), totals as (
+    select lang, source, sum(n)::hugeint as total from counts group by lang, source
+), dense as (
+    select s.lang, s.source, y.term, coalesce(c.n, 0) as n,
+        1 + 1000000000::hugeint * (coalesce(c.n, 0) + 2) // (coalesce(t.total, 0) + 2 * z.v) as p,
+        1 + 1000000000::hugeint * (y.n + 2) // (z.total + 2 * z.v) as q
+    from sources s join vocabulary y on y.lang = s.lang join sizes z on z.lang = s.lang
+    left join counts c on c.lang = s.lang and c.source = s.source and c.term = y.term
+    left join totals t on t.lang = s.lang and t.source = s.source
+), apart as (
+    select x.lang, x.source, y.source as item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) as value
+    from dense x join dense y on x.lang = y.lang and x.term = y.term and x.source <> y.source
+    group by x.lang, x.source, y.source
+), pairs as (
+    select x.lang, x.source, y.source as item, coalesce(a.value, 0)::bigint as value
+    from sources x join sources y on x.lang = y.lang and x.source <> y.source
+    left join apart a on a.lang = x.lang and a.source = x.source and a.item = y.source
+), own as (
+    select lang, source, term as item, ((p - q) * (p - q) // (p + q))::bigint as value
+    from dense where n > 0 and p > q
+), parts as (
+    select lang, source, 'pair' as part, item, value from pairs
+    union all select lang, source, 'term', item, value from own
+), ranked as (
+    select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank
+    from parts
+)
+select * from ranked where part = 'pair' or rank <= 10
+"""
+
 SQL: dict[str, str] = {
     "op1_quality_rules": OP1, "op3_substring_dedup": OP3, "op4_near_duplicates": OP4,
-    "op12_filter_audit": OP12,
+    "op12_filter_audit": OP12, "op13_source_audit": OP13,
 }

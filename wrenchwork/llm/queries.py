@@ -137,3 +137,10 @@ def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     from .filter_audit import filter_audit
 
     return filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@_query
+def op13_source_audit(spark: SparkSession, folder: str) -> DataFrame:
+    from .source_audit import source_audit
+
+    return source_audit(table(spark, folder, "documents"))
