@@ -144,3 +144,10 @@ def op13_source_audit(spark: SparkSession, folder: str) -> DataFrame:
     from .source_audit import source_audit
 
     return source_audit(table(spark, folder, "documents"))
+
+
+@_query
+def op11_vector_search(spark: SparkSession, folder: str) -> DataFrame:
+    from .vector_search import nearest_vectors
+
+    return nearest_vectors(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
