@@ -101,7 +101,7 @@ def _merged(tables: list[pa.Table]) -> pa.Table:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the rows of a task, merged whenever about a million have gathered."""
+    """Counts of the rows of a task, merged whenever ``MERGE_ROWS`` have gathered."""
     held: list[pa.Table] = []
     rows, limit = 0, MERGE_ROWS
     for batch in batches:
