@@ -1,6 +1,7 @@
 """Operators on the entity tables, each a function from DataFrames to DataFrames."""
 
 from .checked import split_checked
+from .history import LEGAL_MOVES, claim_history, claim_states, illegal_moves
 from .intake import (
     accepted_claims,
     check_intake,
@@ -44,7 +45,13 @@ from .related import (
     vehicle_by_id,
     vehicles_by_id,
 )
-from .review import apply_decisions, check_decisions, newest_decisions, reviewed_claims
+from .review import (
+    apply_decisions,
+    check_decisions,
+    decided_claims,
+    newest_decisions,
+    reviewed_claims,
+)
 from .search import (
     dealer_scope,
     filter_claims,
@@ -55,6 +62,7 @@ from .search import (
     search_parts,
     search_vehicles,
 )
+from .shipping import booked_shipments, merged_claims, shipped_claims
 from .stock import apply_outbound, check_outbound, moved_stock, stock_after_outbound
 from .warranty import (
     RULES,

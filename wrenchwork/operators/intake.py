@@ -49,8 +49,8 @@ def check_intake(
 ) -> DataFrame:
     """New claims with their vehicle, and the ``reason`` to refuse them, null where accepted.
 
-    A vehicle must be chosen and exist, and the fault must not be empty; blanks
-    are a text. A number must be new: not among ``claims``, if given, and on one form only.
+    A form needs a number. A vehicle must be chosen and exist, and the fault must not be empty;
+    blanks are a text. A number must be new: not among ``claims``, if given, and on one form only.
     """
     held = vehicles.select(
         F.col("id").alias("vehicle_id"), F.col("vin").alias("vehicle"), "model", "dealer"
@@ -60,7 +60,8 @@ def check_intake(
         numbers = numbers.unionByName(claims.select(F.col("no").alias("id")))
     taken = numbers.groupBy("id").agg(F.count("*").alias("uses")).filter("uses > 1")
     reason = (
-        F.when(F.col("vehicle_id").isNull(), "no vehicle")
+        F.when(F.col("id").isNull(), "no number")
+        .when(F.col("vehicle_id").isNull(), "no vehicle")
         .when(F.coalesce(F.length("fault_desc"), F.lit(0)) == 0, "no fault")
         .when(F.col("vehicle").isNull(), "unknown vehicle")
         .when(F.col("uses").isNotNull(), "number taken")

@@ -60,6 +60,15 @@ def reviewed_claims(
     return settled.unionByName(decided.select(*claims.columns))
 
 
+def decided_claims(
+    claims: DataFrame, decisions: DataFrame, reviewable: Sequence[str] = REVIEWABLE
+) -> DataFrame:
+    """Of ``reviewed_claims`` only the rows whose status a decision changes."""
+    newest = newest_decisions(decisions.filter(_refusal().isNull())).select(F.col("claim").alias("no"), "decision")
+    decided = claims.filter(F.col("status").isin(*reviewable)).join(newest, "no")
+    return decided.select(*[F.col("decision").alias(c) if c == "status" else c for c in claims.columns])
+
+
 def apply_decisions(
     claims: DataFrame, decisions: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -95,6 +95,38 @@ VIEWS = {
           date + later as decided_on
         from claim_heads, (values (0), (1)) as times(later)
         where status in ('Submitted', 'Under Review') and claim_id % 2 = 0""",
+    "claim_events": """
+        select no as claim, date as "at", 'Submitted' as event from claim_heads
+        union all select no, date + 1, 'Cancelled' from claim_heads where claim_id % 53 = 0
+        union all select claim, decided_on, decision from decisions
+          where note <> '' and decision in ('Approved', 'Partial', 'Rejected')
+        union all select claim, eta, 'Shipped' from shipments
+        union all select claim, eta + 10, 'Closed' from shipments where status = 'Delivered'""",
+    # One event of a claim after the other, each from the status before it.
+    "walked": """
+        with alike as (
+          select claim, "at", event, count(*) as times,
+            coalesce(list_position(['Draft', 'Submitted', 'Under Review', 'Approved', 'Partial',
+              'Rejected', 'Shipped', 'Closed'], event), 9) as place
+          from claim_events group by claim, "at", event),
+        lives as (
+          select claim, list({'at': "at", 'event': event, 'times': times} order by "at", place, event) as life
+          from alike group by claim),
+        states as (
+          select claim, life, list_reduce(list_transform(life, lambda e: [e.event]), lambda path, e: list_append(path,
+            case when list_contains(case path[-1]
+                when 'Draft' then ['Submitted']
+                when 'Submitted' then ['Under Review', 'Approved', 'Partial', 'Rejected']
+                when 'Under Review' then ['Approved', 'Partial', 'Rejected']
+                when 'Approved' then ['Shipped', 'Closed'] when 'Partial' then ['Shipped', 'Closed']
+                when 'Rejected' then ['Closed'] when 'Shipped' then ['Closed']
+                else ['none'] end, e[1]) then e[1] else path[-1] end), ['Draft']) as path
+          from lives),
+        steps as (
+          select claim, unnest(life) as e, unnest(path[:-2]) as before, unnest(path[2:]) as after from states)
+        select claim, e['at'] as "at", e.event as event, e.times as times, before, after,
+          e.times - case when before <> after then 1 else 0 end as illegal
+        from steps""",
     "outbound": """
         select 'OUT-' || cast(l_orderkey as varchar) || '-' || cast(l_linenumber as varchar)
             as order_id,
@@ -373,6 +405,10 @@ SQL = {
                when f.id in (select no from claim_heads where stage <> 'O') then 'number taken'
           end as reason
         from forms f left join vehicles v on v.id = f.vehicle_id""",
+    "claims_after_intake": f"""
+        select no, vehicle, model, fault, dealer, date, status from claims
+        where no in (select no from claim_heads where stage <> 'O')
+        union all select id, vin, model, fault_desc, dealer, {AS_OF}, 'Submitted' from intake where reason is null""",
     "claim_items": """select no as claim,
         string_agg(oe || ' x' || cast(qty as varchar), ', ' order by oe) as items
         from claim_parts group by no""",
@@ -403,12 +439,22 @@ SQL = {
               then 'unknown decision'
             when claim not in (select no from claim_heads) then 'unknown claim' end as reason
           from decisions) where reason is not null""",
+    "claim_states": """select claim, arg_max(after, n) as status,
+        cast(sum(times) as bigint) as events, cast(sum(illegal) as bigint) as illegal
+        from (select *, row_number() over () as n from walked) group by claim""",
+    "claim_history": """select claim, "at", event, times, before, after, illegal from walked""",
+    "illegal_moves": """select claim, "at", event, after as status, illegal as times
+        from walked where illegal > 0""",
     "awaiting_writeoff": "select no, vehicle, model, status, date from waiting",
     "writeoff_orders": """select w.no as claim, w.vehicle, w.model, 'Replace part' as settlement,
         count(r.oe) as parts, cast(coalesce(sum(r.qty), 0) as bigint) as qty
         from waiting w left join requests r on r.claim = w.no
         group by w.no, w.vehicle, w.model""",
     "shipment_requests": "select * from requests",
+    "booked_shipments": """select 'SHP-' || claim || '/' || oe as no, claim, part, qty, status
+        from requests where claim not like '%7'""",
+    "claims_after_shipment": """select no, vehicle,
+        case when no in (select claim from requests) then 'Shipped' else status end as status from claims""",
     "writeoff_stock": """select r.claim, r.oe, r.part, r.qty, i.qty as qty_on_hand,
         coalesce(i.qty >= r.qty, false) as in_stock
         from requests r left join inventory i on i.oe = r.oe""",

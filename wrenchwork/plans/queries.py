@@ -357,6 +357,19 @@ def intake_numbers_in_use(t: Tables) -> DataFrame:
     return op.check_intake(forms, t.vehicles(), settled).select("id", "reason")
 
 
+@_query
+def claims_after_intake(t: Tables) -> DataFrame:
+    """The settled claims and the new ones; forms with the number of a settled claim are refused."""
+    columns = ["no", "vehicle", "model", "fault", "dealer", "date", "status"]
+    settled = t.claim_heads().filter("stage <> 'O'")
+    again = settled.filter("claim_id % 11 = 0").selectExpr(
+        "if(claim_id % 22 = 0, no, null) as id", "vehicle_id", "fault as fault_desc", "cast(null as string) as diagnosis"
+    )
+    claims = t.claims(settled).select(*columns)
+    accepted, _ = op.intake_claims(t.new_claims().unionByName(again), t.vehicles(), AS_OF, settled)
+    return op.merged_claims(claims, accepted)
+
+
 def _forms(t: Tables) -> DataFrame:
     lines = t.claim_parts().select(F.col("no").alias("claim"), F.col("oe").alias("oe_no"), "qty")
     return op.claim_items(lines)
@@ -417,6 +430,21 @@ def decision_rejects(t: Tables) -> DataFrame:
     return rejects.select("claim", "decision", "note", "reason")
 
 
+@_query
+def claim_states(t: Tables) -> DataFrame:
+    return op.claim_states(t.claim_events())
+
+
+@_query
+def claim_history(t: Tables) -> DataFrame:
+    return op.claim_history(t.claim_events())
+
+
+@_query
+def illegal_moves(t: Tables) -> DataFrame:
+    return op.illegal_moves(op.claim_history(t.claim_events()))
+
+
 @_query
 def awaiting_writeoff(t: Tables) -> DataFrame:
     return op.awaiting_writeoff(t.claims(), t.shipments()).select(
@@ -440,6 +468,23 @@ def shipment_requests(t: Tables) -> DataFrame:
     return op.shipment_requests(checks)
 
 
+@_query
+def booked_shipments(t: Tables) -> DataFrame:
+    """New shipments; of claims whose number ends in 7 they were booked before."""
+    _, checks = _settled(t)
+    requests = op.shipment_requests(checks)
+    before = op.booked_shipments(requests.filter("right(claim, 1) = '7'"))
+    return op.booked_shipments(requests, before).select("no", "claim", "part", "qty", "status")
+
+
+@_query
+def claims_after_shipment(t: Tables) -> DataFrame:
+    queue, checks = _settled(t)
+    booked = op.booked_shipments(op.shipment_requests(checks), t.shipments())
+    claims = t.claims().select("no", "vehicle", "status")
+    return op.merged_claims(claims, op.shipped_claims(queue.select("no", "vehicle", "status"), booked))
+
+
 @_query
 def writeoff_stock(t: Tables) -> DataFrame:
     _, checks = _settled(t)

@@ -237,6 +237,29 @@ class Tables:
             "cast(date_add(date, later) as timestamp) as decided_at",
         )
 
+    @_once
+    def claim_events(self) -> DataFrame:
+        """What happened to claims, in two logs and on the claims themselves: ``claim, at, event``.
+
+        Each was submitted on its day; the decisions that count; a claim is shipped with each of
+        its shipments, and closed ten days after one that was delivered. As ship dates know
+        nothing of claims, many of these moves are illegal. Every 53rd claim was also cancelled.
+        """
+        heads = self.claim_heads()
+        submitted = heads.selectExpr("no as claim", "date as at", "'Submitted' as event")
+        cancelled = heads.filter("claim_id % 53 = 0").selectExpr("no", "date_add(date, 1)", "'Cancelled'")
+        decided = self.decisions().filter("note <> '' and decision in ('Approved', 'Partial', 'Rejected')")
+        keys = heads.selectExpr("claim_id as l_orderkey", "no as claim")
+        left = self.raw("lineitem").filter("l_linestatus = 'F'").join(keys, "l_orderkey").selectExpr(
+            "claim", "to_date(l_shipdate) as day", "l_returnflag"
+        )
+        return (
+            submitted.union(cancelled)
+            .union(decided.selectExpr("claim", "to_date(decided_at)", "decision"))
+            .union(left.selectExpr("claim", "day", "'Shipped'"))
+            .union(left.filter("l_returnflag = 'A'").selectExpr("claim", "date_add(day, 10)", "'Closed'"))
+        )
+
     @_once
     def outbound(self) -> DataFrame:
         """Movements out of the stock, some of unknown parts and of no or negative quantity."""

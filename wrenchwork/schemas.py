@@ -45,10 +45,20 @@ MAINTENANCE = _struct(vin=STRING, date=DATE, km=INT, title=STRING)
 ACCIDENTS = _struct(vin=STRING, date=DATE)
 DECISIONS = _struct(claim=STRING, decision=STRING, note=STRING, decided_at=TIMESTAMP)
 OUTBOUND = _struct(order_id=STRING, oe=STRING, qty=INT, at=TIMESTAMP)
+WRITEOFF_ORDERS = _struct(
+    claim=STRING, vehicle=STRING, model=STRING, settlement=STRING, parts=LONG, qty=LONG,
+)
 NEW_CLAIMS = _struct(
     id=STRING, vehicle_id=LONG, fault_desc=STRING, diagnosis=STRING,
     items=T.ArrayType(CLAIM_ITEM),
 )
+
+
+def with_batch(schema: T.StructType) -> T.StructType:
+    """The schema of a table that lies in one folder per batch."""
+    return T.StructType([*schema.fields, T.StructField("batch", STRING)])
+
+
 # The body a claim form posts; a form field always sends text, so the id is text.
 CLAIM_PAYLOAD = _struct(
     vehicle_id=STRING, fault_desc=STRING, diagnosis=STRING, items=T.ArrayType(CLAIM_ITEM),

@@ -13,11 +13,18 @@ from .readers import (
     read_shipments,
     read_vehicles,
 )
+from .versions import Version, VersionTaken, exists, is_done, merge_claims, newest_version, read_version
 from .writers import append_claims, append_rows, require_unique, write_claims, write_snapshot
 
 __all__ = [
+    "Version",
+    "VersionTaken",
     "append_claims",
     "append_rows",
+    "exists",
+    "is_done",
+    "merge_claims",
+    "newest_version",
     "read_accidents",
     "read_api_dump",
     "read_claims",
@@ -29,6 +36,7 @@ __all__ = [
     "read_parts",
     "read_shipments",
     "read_vehicles",
+    "read_version",
     "require_unique",
     "unwrap_envelope",
     "write_claims",
