@@ -36,6 +36,7 @@ from .lists import (
     vehicle_picker,
     vehicle_profile,
 )
+from .page import vehicle_page
 from .related import (
     claim_lines,
     claimed_parts,
@@ -57,6 +58,7 @@ from .search import (
     filter_claims,
     low_stock,
     pending_review,
+    search,
     search_claims,
     search_inventory,
     search_parts,
@@ -64,6 +66,7 @@ from .search import (
 )
 from .shipping import booked_shipments, merged_claims, shipped_claims
 from .stock import apply_outbound, check_outbound, moved_stock, stock_after_outbound
+from .trigrams import query_trigrams, search_postings, trigram_postings, trigrams
 from .warranty import (
     RULES,
     Rules,

@@ -14,29 +14,30 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.text import contains_text
 
 
-def _search(df: DataFrame, query: str, *columns: str) -> DataFrame:
+def search(df: DataFrame, query: str, *columns: str) -> DataFrame:
+    """Rows that hold the query in one of the columns."""
     if not query:
         return df
     return df.filter(reduce(or_, [contains_text(c, query) for c in columns]))
 
 
 def search_vehicles(vehicles: DataFrame, query: str) -> DataFrame:
-    return _search(vehicles, query, "vin", "plate")
+    return search(vehicles, query, "vin", "plate")
 
 
 def search_claims(claims: DataFrame, query: str) -> DataFrame:
-    return _search(claims, query, "no", "vehicle")
+    return search(claims, query, "no", "vehicle")
 
 
 def search_inventory(inventory: DataFrame, query: str) -> DataFrame:
-    return _search(inventory, query, "sku", "oe")
+    return search(inventory, query, "sku", "oe")
 
 
 def search_parts(parts: DataFrame, query: str, brand: str = "") -> DataFrame:
     """Search in OE number and name, within a brand; the brand is case-sensitive."""
     if brand:
         parts = parts.filter(F.col("brand") == brand)
-    return _search(parts, query, "oe", "name")
+    return search(parts, query, "oe", "name")
 
 
 def filter_claims(claims: DataFrame, status: str = "") -> DataFrame:

@@ -58,6 +58,14 @@ VIEWS = {
         select no, oe, cast(sum(l_quantity) as bigint) as qty
         from lineitem join claim_heads on l_orderkey = claim_id join parts on l_partkey = part_id
         group by no, oe""",
+    "nested_lines": """
+        select no, claim_id, k,
+          'OE-' || lpad(cast((claim_id * 31 + case when claim_id % 7 = 0 then 0 else k end) % 2100 as varchar), 12, '0') as oe,
+          cast(1 + (claim_id + k) % 5 as int) as qty
+        from claim_heads, (values (0), (1), (2)) as places(k)
+        where k < claim_id % 4 and claim_id % 29 <> 0""",
+    "nested_catalogue": """
+        select 'OE-' || lpad(cast(part_id as varchar), 12, '0') as oe, name, warranty, wear from parts""",
     "inventory": """
         select 'SKU-' || cast(p_partkey as varchar) as sku,
           p_brand || '-' || lpad(cast(p_partkey as varchar), 12, '0') as oe, p_name as name,
@@ -195,9 +203,37 @@ PART_CARD = """select name, oe,
   cat || ' · ' || case when wear then '⚠️ Wear Item' else warranty end as meta, brand, models
   from parts"""
 
+VEHICLE_PAGE = """
+        with covers as (
+          select vin, 1 as place, 'Whole Vehicle' as cover, whole_months as months, whole_km as km,
+            warranty_start, mileage from vehicles where {which}
+          union all
+          select vin, 2, 'EV Components (Battery / Motor / ECU)', ev_months, ev_km,
+            warranty_start, mileage from vehicles where {which})
+        select vin, 'profile' as section, null::date as day, brand || ' ' || model as title,
+          'Plate ' || plate || ' · Sold ' || warranty_start || ' · ' || format('{{:,}}', mileage) || ' km' as detail
+        from vehicles where {which}
+        union all
+        select vin, 'cover', warranty_start, cover,
+          months || ' months / ' || format('{{:,}}', km) || ' km · '
+          || case when {as_of} >= warranty_start and mileage <= km
+               and {as_of} <= cast(warranty_start + to_months(months) as date)
+             then 'In Warranty' else 'Out of Warranty' end
+        from covers
+        union all
+        select v.vin, 'service', m.date, m.title,
+          strftime(m.date, '%Y-%m-%d') || ' · ' || format('{{:,}}', m.km) || ' km'
+        from maintenance m join vehicles v on v.vin = m.vin where {which}
+        union all
+        select v.vin, 'claim', c.date, coalesce(c.no, 'No claims'), c.fault || ' · ' || c.status
+        from vehicles v left join claims c on c.vehicle = v.vin where {which}"""
+
 SQL = {
     "scan_vehicles": "select * from vehicles",
     "scan_claims": "select * from claims",
+    "scan_claims_nested": """
+        select c.*, case when claim_id % 29 <> 0 then coalesce((select string_agg(oe || ' x' || qty, ', ' order by k)
+          from nested_lines l where l.no = c.no), '') end as parts from claims c""",
     "scan_parts": "select * from parts",
     "scan_inventory": "select * from inventory",
     "scan_shipments": "select * from shipments",
@@ -253,6 +289,10 @@ SQL = {
         where vin ilike '%n1-%' or plate ilike '%n1-%'""",
     "claim_search": f"""select {CLAIM_COLUMNS} from claims
         where no ilike '%clm-1997-%' or vehicle ilike '%clm-1997-%'""",
+    "claim_search_trigrams": f"""select {CLAIM_COLUMNS} from claims
+        where contains(lower(no), 'clm-1997-') or contains(lower(vehicle), 'clm-1997-')""",
+    "vehicle_search_trigrams": f"""select {VEHICLE_COLUMNS} from vehicles
+        where contains(lower(vin), 'n1-') or contains(lower(plate), 'n1-')""",
     "inventory_search": """select * from inventory
         where sku ilike '%brand#1%' or oe ilike '%brand#1%'""",
     "part_search": f"""select {PART_COLUMNS} from parts
@@ -270,6 +310,8 @@ SQL = {
         where v.dealer = 'NATION_3' and c.status = 'Under Review'""",
     "related_claims": """select v.vin, coalesce(c.no, 'No claims') as claim, c.fault, c.status
         from vehicles v left join claims c on c.vehicle = v.vin""",
+    "vehicle_page": VEHICLE_PAGE.format(which="id = 1024", as_of=AS_OF),
+    "vehicle_pages": VEHICLE_PAGE.format(which="brand = 'MACHINERY'", as_of=AS_OF),
     "vehicle_by_id": f"""select {VEHICLE_COLUMNS} from vehicles
         where id in (select vehicle_id from new_claims where vehicle_id is not null)""",
     "review_queue_dealer": """select c.no, v.dealer, c.vehicle, c.model, c.fault, c.status
@@ -277,6 +319,9 @@ SQL = {
     "claimed_parts": """select h.no, cp.oe, p.name, cp.qty, p.warranty
         from claim_heads h left join claim_parts cp on cp.no = h.no
         left join parts p on p.oe = cp.oe""",
+    "claimed_parts_nested": """select h.no, l.oe, p.name, l.qty, p.warranty
+        from claim_heads h left join nested_lines l on l.no = h.no
+        left join nested_catalogue p on p.oe = l.oe""",
     "shipments_with_claim": """select s.no, s.claim, s.part, s.qty, s.carrier, s.status, s.eta,
         c.vehicle, c.model, c.status as claim_status
         from shipments s join claims c on c.no = s.claim""",
@@ -348,6 +393,20 @@ SQL = {
                when passing < parts then 'Partial'
                when parts = 0 or unclear then 'Manual' else 'Approve' end as recommendation
         from per_claim""",
+    "recommendation_nested": """
+        with lines as (
+          select l.no, p.warranty, p.wear from nested_lines l left join nested_catalogue p on p.oe = l.oe),
+        per_claim as (
+          select m.no, count(l.no) as parts,
+            count(*) filter (where not l.wear and case when l.warranty like 'EV Core%' then m.ev_ok else m.whole_ok end)
+              as passing,
+            bool_or(not m.id_ok) as wrong, bool_or(not m.accident_ok or not m.service_ok) as unclear
+          from marks m left join lines l on l.no = m.no group by m.no)
+        select no, parts, passing,
+          case when wrong or (parts > 0 and passing = 0) then 'Reject'
+               when passing < parts then 'Partial'
+               when parts = 0 or unclear then 'Manual' else 'Approve' end as recommendation
+        from per_claim""",
     "claims_per_status": "select status, count(*) as claims from claim_heads group by status",
     "active_vehicles": f"""
         select dealer, count(*) filter (where {AS_OF} >= warranty_start and (
@@ -412,6 +471,8 @@ SQL = {
     "claim_items": """select no as claim,
         string_agg(oe || ' x' || cast(qty as varchar), ', ' order by oe) as items
         from claim_parts group by no""",
+    "claim_intake_items": """select id as no, oe, qty
+        from intake left join nested_lines on no = id where reason is null""",
     "claim_payload_json": """
         select id, '{"vehicle_id":' || coalesce('"' || cast(vehicle_id as varchar) || '"', 'null')
           || ',"fault_desc":"' || fault_desc || '","diagnosis":null,"items":['

@@ -40,6 +40,12 @@ def scan_claims(t: Tables) -> DataFrame:
     return t.claims()
 
 
+@_query
+def scan_claims_nested(t: Tables) -> DataFrame:
+    item = lambda p: F.concat(p["oe"], F.lit(" x"), p["qty"].cast("string"))
+    return t.nested_claims().withColumn("parts", F.array_join(F.transform("parts", item), ", "))
+
+
 @_query
 def scan_parts(t: Tables) -> DataFrame:
     return t.parts().withColumn("models", F.array_join("models", ", "))
@@ -198,6 +204,18 @@ def part_search_all(t: Tables) -> DataFrame:
     return op.part_cards(op.search_parts(t.parts(), ""))
 
 
+@_query
+def claim_search_trigrams(t: Tables) -> DataFrame:
+    postings = op.trigram_postings(t.claims(), "no", "no", "vehicle")
+    return op.search_postings(t.claims(), postings, "no", "clm-1997-", "no", "vehicle")
+
+
+@_query
+def vehicle_search_trigrams(t: Tables) -> DataFrame:
+    postings = op.trigram_postings(t.vehicles(), "vin", "vin", "plate")
+    return op.search_postings(t.vehicles(), postings, "vin", "N1-", "vin", "plate")
+
+
 @_query
 def claims_by_status(t: Tables) -> DataFrame:
     return op.filter_claims(t.claims(), "Approved")
@@ -237,6 +255,20 @@ def one_vehicle(t: Tables) -> DataFrame:
     return op.vehicle_by_id(t.vehicles(), 1024)
 
 
+@_query
+def vehicle_page(t: Tables) -> DataFrame:
+    """All that the page of one vehicle shows."""
+    sold = t.vehicles().withColumn("sale_date", F.col("warranty_start"))
+    return op.vehicle_page(op.vehicle_by_id(sold, 1024), t.maintenance(), t.claims(), AS_OF)
+
+
+@_query
+def vehicle_pages(t: Tables) -> DataFrame:
+    """The pages of all vehicles of a brand."""
+    sold = t.vehicles().withColumn("sale_date", F.col("warranty_start")).filter("brand = 'MACHINERY'")
+    return op.vehicle_page(sold, t.maintenance(), t.claims(), AS_OF)
+
+
 @_query
 def vehicle_by_id(t: Tables) -> DataFrame:
     """The vehicles that new claims name."""
@@ -254,6 +286,11 @@ def claimed_parts(t: Tables) -> DataFrame:
     return op.claimed_parts(t.claim_lines(), t.parts())
 
 
+@_query
+def claimed_parts_nested(t: Tables) -> DataFrame:
+    return op.claimed_parts(op.claim_lines(t.nested_claims()), t.nested_catalogue())
+
+
 @_query
 def shipments_with_claim(t: Tables) -> DataFrame:
     return op.shipments_with_claim(t.shipments(), t.claims())
@@ -279,6 +316,14 @@ def warranty_check(t: Tables) -> DataFrame:
     )
 
 
+@_query
+def recommendation_nested(t: Tables) -> DataFrame:
+    """The recommendation from the parts that claims carry."""
+    return op.warranty_recommendation(
+        t.nested_claims(), t.vehicles(), t.nested_catalogue(), t.maintenance(), t.accidents()
+    )
+
+
 @_query
 def review_card(t: Tables) -> DataFrame:
     return op.review_card(
@@ -383,6 +428,13 @@ def claim_items(t: Tables) -> DataFrame:
     )
 
 
+@_query
+def claim_intake_items(t: Tables) -> DataFrame:
+    """The parts of accepted claims, as their forms sent them; a claim without has one row."""
+    accepted, _ = op.intake_claims(t.nested_forms(), t.vehicles(), AS_OF)
+    return op.claim_lines(accepted)
+
+
 @_query
 def claim_payload_json(t: Tables) -> DataFrame:
     return op.claim_payload(_forms_with_items(t))

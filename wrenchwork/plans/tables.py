@@ -163,6 +163,35 @@ class Tables:
         )
         return self.claim_parts().unionByName(empty)
 
+    @_once
+    def nested_claims(self) -> DataFrame:
+        """Claims that carry their parts: a list of up to three, empty, or null.
+
+        The lists are built row by row from the claim's id; some parts are claimed twice and
+        some are not in ``nested_catalogue``.
+        """
+        claimed = F.expr(
+            """if(claim_id % 29 = 0, null, transform(
+                filter(array(0, 1, 2), k -> k < claim_id % 4),
+                k -> named_struct(
+                    'oe', concat('OE-', lpad((claim_id * 31 + if(claim_id % 7 = 0, 0, k)) % 2100, 12, '0')),
+                    'qty', cast(1 + (claim_id + k) % 5 as int))))"""
+        )
+        return self.claims().withColumn("parts", claimed)
+
+    @_once
+    def nested_catalogue(self) -> DataFrame:
+        """The catalogue under the OE numbers of ``nested_claims``."""
+        return self.parts().withColumn("oe", F.expr("concat('OE-', lpad(part_id, 12, '0'))"))
+
+    @_once
+    def nested_forms(self) -> DataFrame:
+        """The new claims' forms with the items they send."""
+        items = self.nested_claims().selectExpr(
+            "no as id", "transform(parts, p -> named_struct('oe_no', p.oe, 'qty', p.qty)) as items"
+        )
+        return self.new_claims().join(items, "id")
+
     @_once
     def inventory(self) -> DataFrame:
         return self.raw("part").selectExpr(

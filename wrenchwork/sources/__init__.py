@@ -1,6 +1,8 @@
 """Readers of the entity tables and of API dumps, and the writers of new state."""
 
 from .envelope import read_api_dump, unwrap_envelope
+from .bucketed import by_vin, write_by_vin
+from .postings import search_stored, write_postings
 from .readers import (
     read_accidents,
     read_claims,
@@ -21,6 +23,7 @@ __all__ = [
     "VersionTaken",
     "append_claims",
     "append_rows",
+    "by_vin",
     "exists",
     "is_done",
     "merge_claims",
@@ -38,7 +41,10 @@ __all__ = [
     "read_vehicles",
     "read_version",
     "require_unique",
+    "search_stored",
     "unwrap_envelope",
+    "write_by_vin",
     "write_claims",
+    "write_postings",
     "write_snapshot",
 ]
