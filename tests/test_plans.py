@@ -128,3 +128,59 @@ def test_files_are_summed_up_once(spark, monkeypatch):
     session.prepare(spark, FOLDER)
     monkeypatch.setattr(session, "stored_bytes", lambda *_: pytest.fail("listed again"))
     session.prepare(spark, FOLDER)
+
+
+def tree(frame, name):
+    """(depth, line) of the physical plan's nodes."""
+    lines = [line for line in plan_of(frame).splitlines() if line.strip()]
+    return [(len(re.match(r"[\s:+|-]*", line)[0]), line) for line in lines]
+
+
+def below(nodes, start):
+    """The nodes under the one at ``start``."""
+    depth = nodes[start][0]
+    for at in range(start + 1, len(nodes)):
+        if nodes[at][0] <= depth:
+            return
+        yield nodes[at][1]
+
+
+@pytest.mark.parametrize("name", ["writeoff_orders", "shipment_requests", "writeoff_stock"])
+def test_the_queue_goes_before_the_lines(spark, no_broadcast, name):
+    """Line items are cut down to those of the queue before any of them is summed."""
+    nodes = tree(QUERIES[name](spark, FOLDER), name)
+    sums = [at for at, (_, line) in enumerate(nodes) if "partial_sum(l_quantity" in line]
+    assert sums
+    for at in sums:
+        under = list(below(nodes, at))
+        assert "LeftSemi" in next(line for line in under if "Join" in line)
+
+
+def test_badges_need_neither_parts_nor_carriers(spark):
+    text = plan(spark, "status_class")
+    assert "supplier.parquet" not in text and "part.parquet" not in text
+    assert "Join" not in plan(spark, "api_envelope")
+
+
+def test_nested_fields_are_pruned(spark, tmp_path):
+    """Of stored claims with nested parts only the fields asked for are read, through the generator."""
+    from wrenchwork import operators as op, schemas, sources as src
+    from wrenchwork.plans.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    given = t.nested_claims().selectExpr("no", "vehicle", "model", "fault", "status", "date", "parts", "null as diagnosis", "dealer")
+    src.write_claims(given, f"{tmp_path}/claims")
+    claims = src.read_claims(spark, f"{tmp_path}/claims")
+    lines = op.claim_lines(claims)
+
+    def read(frame):
+        return re.findall(r"ReadSchema: struct<(.*)>$", plan_of(frame), re.M)
+
+    assert read(lines.select("no", "oe")) == ["no:string,parts:array<struct<oe:string>>"]
+    assert read(lines.groupBy("no").sum("qty")) == ["no:string,parts:array<struct<qty:int>>"]
+    catalogue = t.nested_catalogue()
+    told = op.warranty_recommendation(claims, t.vehicles(), catalogue, t.maintenance(), t.accidents())
+    assert "parts:array<struct<oe:string>>" in " ".join(read(told))
+    assert "qty" not in " ".join(read(told))
+    expected = op.claim_lines(t.nested_claims())
+    assert sorted(map(str, lines.collect())) == sorted(map(str, expected.collect()))

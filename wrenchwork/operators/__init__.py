@@ -10,6 +10,7 @@ from .intake import (
     claim_payload,
     intake_claims,
     parse_payload,
+    payload_pieces,
     rejected_claims,
 )
 from .kpis import (

@@ -32,6 +32,54 @@ def claim_payload(forms: DataFrame) -> DataFrame:
     return forms.select("id", F.to_json(body, {"ignoreNullFields": "false"}).alias("payload"))
 
 
+def payload_pieces(forms: DataFrame, lines: DataFrame, piece_items: int = 1000) -> DataFrame:
+    """The bodies of ``claim_payload`` in pieces: ``id, piece, pieces, items, body``.
+
+    The bodies of a form, joined in the order of ``piece`` from 0, are its payload. ``lines`` are
+    item rows ``(claim, oe_no, qty)``; forms are unique in ``id``, have no items of their own and
+    may have no lines. Lines are counted per form first, which tells the number of its pieces;
+    then each is dealt into one by its part and quantity, so that the lines of one form, however
+    many, are spread over tasks and no list holds many more than ``piece_items``. Like lines are
+    one row up to that number. Within a piece items are in order.
+    """
+    alike = lines.groupBy("claim", "oe_no", "qty").agg(F.count("*").alias("n"))
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / piece_items))).alias("block")
+    rows = alike.select("claim", "oe_no", "qty", "n", blocks).withColumn(
+        "times", F.least(F.col("n") - F.col("block") * piece_items, F.lit(piece_items)).cast("int")
+    )
+    sizes = lines.groupBy("claim").agg(F.ceil(F.count("*") / piece_items).alias("pieces"))
+    text = F.concat_ws("/", F.coalesce("oe_no", F.lit("")), F.coalesce(F.col("qty").cast("string"), F.lit("")), "block")
+    hashed = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    dealt = rows.join(sizes, "claim").withColumn("piece", F.pmod(hashed, "pieces"))
+    items = F.array_sort(F.collect_list(F.struct("oe_no", "qty", "block", "times")))
+    written = lambda i: F.array_repeat(
+        F.to_json(F.struct(i["oe_no"].alias("oe_no"), i["qty"].alias("qty")), {"ignoreNullFields": "false"}), i["times"]
+    )
+    bodies = dealt.groupBy("claim", "piece").agg(F.sum("times").alias("items"), items.alias("list")).select(
+        F.col("claim").alias("id"), "piece", "items",
+        F.array_join(F.flatten(F.transform("list", written)), ",").alias("list"),
+    )
+    opened = bodies.groupBy("id").agg(F.min("piece").alias("opened"))  # the first piece with an item
+    head = F.struct(
+        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in CLAIM_PAYLOAD.fields if f.name != "items"]
+    )
+    head = F.regexp_replace(F.to_json(head, {"ignoreNullFields": "false"}), r"\}$", ',"items":[')
+    known = forms.select("id", head.alias("head")).join(sizes.withColumnRenamed("claim", "id"), "id", "left")
+    pieces = F.coalesce("pieces", F.lit(1).cast("long"))
+    each = known.join(opened, "id", "left").select(
+        "id", "head", "opened", pieces.alias("pieces"), F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("piece")
+    )
+    body = F.concat(
+        F.when(F.col("piece") == 0, F.col("head")).otherwise(""),
+        F.when(F.col("items").isNotNull() & (F.col("piece") > F.col("opened")), ",").otherwise(""),
+        F.coalesce("list", F.lit("")),
+        F.when(F.col("piece") == F.col("pieces") - 1, "]}").otherwise(""),
+    )
+    return each.join(bodies, ["id", "piece"], "left").select(
+        "id", "piece", "pieces", F.coalesce("items", F.lit(0).cast("long")).alias("items"), body.alias("body")
+    )
+
+
 def parse_payload(payloads: DataFrame) -> DataFrame:
     """``(id, payload)`` back into rows of ``NEW_CLAIMS`` shape.
 

@@ -38,7 +38,7 @@ def trigram_postings(rows: DataFrame, key: str, *columns: str) -> DataFrame:
 
 def query_trigrams(spark: SparkSession, query: str) -> list[str]:
     """Trigrams of a query, cut by the same functions as those of the texts; no job is run."""
-    return spark.sql("select :q as q", args={"q": query}).select(trigrams("q")).first()[0]
+    return spark.sql("select * from values (:q) as t(q)", args={"q": query}).select(trigrams("q")).collect()[0][0]
 
 
 def search_postings(

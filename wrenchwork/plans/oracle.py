@@ -480,6 +480,26 @@ SQL = {
                order by oe), '') || ']}' as payload
         from new_claims left join claim_parts on no = id
         group by id, vehicle_id, fault_desc""",
+    "claim_payload_pieces": """
+        with counted as (
+          select id, vehicle_id, fault_desc, cast(greatest(1, ceil(count(oe) / 2.0)) as bigint) as pieces
+          from new_claims left join claim_parts on no = id group by id, vehicle_id, fault_desc),
+        dealt as (
+          select id, oe, qty,
+            cast('0x' || substr(md5(oe || '/' || cast(qty as varchar) || '/0'), 1, 8) as bigint) % pieces as piece
+          from counted join claim_parts on no = id),
+        lists as (
+          select id, piece, count(*) as items, min(piece) over (partition by id) as opened,
+            string_agg('{"oe_no":"' || oe || '","qty":' || cast(qty as varchar) || '}', ',' order by oe) as list
+          from dealt group by id, piece),
+        each as (
+          select *, unnest(generate_series(0, pieces - 1)) as piece from counted)
+        select e.id, e.piece, e.pieces, coalesce(l.items, 0) as items,
+          case when e.piece = 0 then '{"vehicle_id":' || coalesce('"' || cast(vehicle_id as varchar) || '"', 'null')
+            || ',"fault_desc":"' || fault_desc || '","diagnosis":null,"items":[' else '' end
+          || case when l.piece > l.opened then ',' else '' end || coalesce(list, '')
+          || case when e.piece = e.pieces - 1 then ']}' else '' end as body
+        from each e left join lists l on l.id = e.id and l.piece = e.piece""",
     "payload_round_trip": """select id as no, oe, cast(qty as int) as qty
         from intake join claim_parts on no = id where reason is null""",
     "accepted_lines": """select no as claim, oe as oe_no, qty

@@ -118,7 +118,7 @@ def shipment_list(t: Tables) -> DataFrame:
 @_query
 def status_class(t: Tables) -> DataFrame:
     claims = t.claim_heads().select(F.lit("claim").alias("kind"), "no", "status")
-    shipments = t.shipments().select(F.lit("shipment").alias("kind"), "no", "status")
+    shipments = t.shipment_heads().select(F.lit("shipment").alias("kind"), "no", "status")
     return op.status_badges(claims.unionByName(shipments))
 
 
@@ -132,14 +132,14 @@ def vehicle_badges(t: Tables) -> DataFrame:
 @_query
 def api_envelope(t: Tables) -> DataFrame:
     """Stock as responses of the API, one per article, read back; every ninth has failed."""
+    number = F.expr("cast(substring(sku, 5) as bigint)")
     response = F.to_json(
         F.struct(
-            (F.col("part_id") % 9 != 0).alias("success"),
-            F.when(F.col("part_id") % 7 != 0, F.array(F.struct("sku", "oe", "qty"))).alias("data"),
+            (number % 9 != 0).alias("success"),
+            F.when(number % 7 != 0, F.array(F.struct("sku", "oe", "qty"))).alias("data"),
         )
     )
-    article = t.raw("part").select(F.col("p_partkey").alias("part_id"), F.concat(F.lit("SKU-"), "p_partkey").alias("sku"))
-    stock = t.inventory().join(article, "sku").select(response.alias("body"))
+    stock = t.inventory().select(response.alias("body"))
     schema = StructType([f for f in INVENTORY.fields if f.name in ("sku", "oe", "qty")])
     parsed = stock.select(F.from_json("body", envelope_schema(schema)).alias("r")).select("r.*")
     return unwrap_envelope(parsed, schema)
@@ -368,7 +368,7 @@ def claims_in_week(t: Tables) -> DataFrame:
 
 @_query
 def admin_kpis(t: Tables) -> DataFrame:
-    return op.admin_kpis(t.claim_heads(), t.shipments(), t.inventory())
+    return op.admin_kpis(t.claim_heads(), t.shipment_heads(), t.inventory())
 
 
 @_query
@@ -440,6 +440,14 @@ def claim_payload_json(t: Tables) -> DataFrame:
     return op.claim_payload(_forms_with_items(t))
 
 
+@_query
+def claim_payload_pieces(t: Tables) -> DataFrame:
+    """Every form's body in pieces of about two items."""
+    lines = t.claim_parts().select(F.col("no").alias("claim"), F.col("oe").alias("oe_no"), "qty")
+    sent = lines.join(t.new_claims().select(F.col("id").alias("claim")), "claim", "left_semi")
+    return op.payload_pieces(t.new_claims(), sent, 2)
+
+
 def _forms_with_items(t: Tables) -> DataFrame:
     """Every form, also one without items."""
     items = _forms(t).select(F.col("claim").alias("id"), "items")
@@ -499,14 +507,19 @@ def illegal_moves(t: Tables) -> DataFrame:
 
 @_query
 def awaiting_writeoff(t: Tables) -> DataFrame:
-    return op.awaiting_writeoff(t.claims(), t.shipments()).select(
-        "no", "vehicle", "model", "status", "date"
-    )
+    queue, _ = _queue(t)
+    return queue.select("no", "vehicle", "model", "status", "date")
+
+
+def _queue(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The queue, and the heads it was decided on: few claims, whose vehicles are looked up last."""
+    heads = op.awaiting_writeoff(t.claim_heads(), t.shipment_heads())
+    return t.claims(heads), heads
 
 
 def _settled(t: Tables) -> tuple[DataFrame, DataFrame]:
-    queue = op.awaiting_writeoff(t.claims(), t.shipments())
-    return queue, op.part_checks(queue, t.vehicles(), t.parts(), t.claim_parts())
+    queue, heads = _queue(t)
+    return queue, op.part_checks(queue, t.vehicles(), t.parts(), t.parts_of(heads))
 
 
 @_query

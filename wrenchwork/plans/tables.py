@@ -140,13 +140,19 @@ class Tables:
 
     @_once
     def claim_parts(self) -> DataFrame:
-        """Claimed parts as a table of their own, one row per claim and part.
+        """Claimed parts as a table of their own, one row per claim and part."""
+        return self._summed_parts(self.raw("lineitem"), self.claim_heads())
 
-        Summed on the numeric keys, before the joins that bring the names.
-        """
-        heads = self.claim_heads().selectExpr("claim_id as l_orderkey", "no")
+    def parts_of(self, heads: DataFrame) -> DataFrame:
+        """Claimed parts of some claims: the line items of others go before any are summed."""
+        keys = heads.selectExpr("claim_id as l_orderkey")
+        return self._summed_parts(self.raw("lineitem").join(keys, "l_orderkey", "left_semi"), heads)
+
+    def _summed_parts(self, items: DataFrame, claims: DataFrame) -> DataFrame:
+        """Summed on the numeric keys, before the joins that bring the names."""
+        heads = claims.selectExpr("claim_id as l_orderkey", "no")
         parts = self.parts().selectExpr("part_id as l_partkey", "oe")
-        summed = self.raw("lineitem").groupBy("l_orderkey", "l_partkey").agg(
+        summed = items.groupBy("l_orderkey", "l_partkey").agg(
             F.expr("cast(sum(l_quantity) as bigint) as qty")
         )
         return summed.join(heads, "l_orderkey").join(parts, "l_partkey").select("no", "oe", "qty")
@@ -204,26 +210,37 @@ class Tables:
         )
 
     @_once
-    def shipments(self) -> DataFrame:
-        """Line items that left the house; their numbers repeat and are no key."""
+    def shipment_heads(self) -> DataFrame:
+        """Line items that left the house, without what their part and carrier tell.
+
+        Their numbers repeat and are no key.
+        """
         heads = self.claim_heads().selectExpr("claim_id as l_orderkey", "no as claim")
-        names = self.raw("part").selectExpr("p_partkey as l_partkey", "p_name as part")
-        carriers = self.raw("supplier").selectExpr("s_suppkey as l_suppkey", "s_name as carrier")
         return (
             self.raw("lineitem")
             .filter("l_linestatus = 'F'")
             .join(heads, "l_orderkey")
-            .join(names, "l_partkey", "left")
-            .join(carriers, "l_suppkey", "left")
             .selectExpr(
                 "concat('SHP-', l_orderkey, '-', l_linenumber) as no",
-                "claim", "part", "cast(l_quantity as int) as qty", "carrier",
-                "cast(null as string) as tracking",
+                "claim", "l_partkey", "l_suppkey", "cast(l_quantity as int) as qty",
                 "decode(l_returnflag, 'R', 'In Transit', 'A', 'Delivered', 'Pending') as status",
                 "to_date(l_shipdate) as eta",
             )
         )
 
+    @_once
+    def shipments(self) -> DataFrame:
+        names = self.raw("part").selectExpr("p_partkey as l_partkey", "p_name as part")
+        carriers = self.raw("supplier").selectExpr("s_suppkey as l_suppkey", "s_name as carrier")
+        return (
+            self.shipment_heads()
+            .join(names, "l_partkey", "left")
+            .join(carriers, "l_suppkey", "left")
+            .selectExpr(
+                "no", "claim", "part", "qty", "carrier", "cast(null as string) as tracking", "status", "eta",
+            )
+        )
+
     @_once
     def maintenance(self) -> DataFrame:
         return self._events("event_type <> 'error'").selectExpr(
@@ -278,15 +295,12 @@ class Tables:
         submitted = heads.selectExpr("no as claim", "date as at", "'Submitted' as event")
         cancelled = heads.filter("claim_id % 53 = 0").selectExpr("no", "date_add(date, 1)", "'Cancelled'")
         decided = self.decisions().filter("note <> '' and decision in ('Approved', 'Partial', 'Rejected')")
-        keys = heads.selectExpr("claim_id as l_orderkey", "no as claim")
-        left = self.raw("lineitem").filter("l_linestatus = 'F'").join(keys, "l_orderkey").selectExpr(
-            "claim", "to_date(l_shipdate) as day", "l_returnflag"
-        )
+        left = self.shipment_heads().selectExpr("claim", "eta as day", "status")
         return (
             submitted.union(cancelled)
             .union(decided.selectExpr("claim", "to_date(decided_at)", "decision"))
             .union(left.selectExpr("claim", "day", "'Shipped'"))
-            .union(left.filter("l_returnflag = 'A'").selectExpr("claim", "date_add(day, 10)", "'Closed'"))
+            .union(left.filter("status = 'Delivered'").selectExpr("claim", "date_add(day, 10)", "'Closed'"))
         )
 
     @_once
