@@ -51,7 +51,10 @@ def run_all(spark, store):
 
 def state(spark, store):
     """Rows of every table of the store, whatever the files."""
-    out = {"claims": Counter(map(str, flows.claims_now(spark, store).orderBy("no").collect()))}
+    out = {
+        "claims": Counter(map(str, flows.claims_now(spark, store).collect())),
+        "partials": Counter(map(str, flows.claim_partials_now(spark, store).collect())),
+    }
     for name in ("claim_rejects", "decision_log", "decision_rejects", "writeoff_orders", "shipments"):
         if os.path.isdir(f"{store}/{name}"):
             out[name] = Counter(map(str, spark.read.parquet(f"{store}/{name}").collect()))
@@ -92,6 +95,23 @@ def test_all_flows_from_one_store(spark, store):
     assert src.newest_version(spark, f"{store}/claims").batch == "b3"
 
 
+def test_partials_follow_the_claims(spark, store):
+    """After every batch the counts kept are those of all claims; nothing else is read for the figures."""
+    def check():
+        shipments = spark.read.parquet(f"{store}/shipments/batch=*")
+        expected = op.claim_partials(flows.claims_now(spark, store), shipments)
+        found = flows.claim_partials_now(spark, store)
+        assert sorted(map(str, found.collect())) == sorted(map(str, expected.select(found.columns).collect()))
+
+    check()
+    flows.take_in_batch(spark, store, "b1", DAY)
+    check()
+    flows.review_batch(spark, store, "b2")
+    check()
+    flows.ship_batch(spark, store, "b3")
+    check()
+
+
 def test_done_batches_do_nothing(spark, store):
     run_all(spark, store)
     before, version = state(spark, store), src.newest_version(spark, f"{store}/claims")

@@ -38,6 +38,16 @@ from .lists import (
     vehicle_profile,
 )
 from .page import vehicle_page
+from .partials import (
+    admin_kpis_from,
+    claim_partials,
+    claims_per_status_from,
+    claims_this_week_from,
+    dealer_claims_from,
+    merged_partials,
+    minus,
+    stock_partials,
+)
 from .related import (
     claim_lines,
     claimed_parts,

@@ -93,10 +93,10 @@ def move_stock(spark: SparkSession, source: str, target: str) -> None:
 def open_store(spark: SparkSession, source: str, store: str) -> None:
     """A store from the tables of ``source``: its claims are the first version."""
     prepare(spark, source)
-    src.merge_claims(spark, f"{store}/claims", src.read_claims(spark, f"{source}/claims"), "start")
     _kept(src.read_vehicles(spark, f"{source}/vehicles"), f"{store}/vehicles")
     _kept(src.read_parts(spark, f"{source}/parts"), f"{store}/parts")
     _kept(src.read_shipments(spark, f"{source}/shipments"), f"{store}/shipments/batch=start")
+    _merge(spark, store, src.read_claims(spark, f"{source}/claims"), "start")
 
 
 def claims_now(
@@ -121,7 +121,7 @@ def take_in_batch(spark: SparkSession, store: str, batch: str, submitted_on: dat
     checked = _kept(checked, f"{store}/work/{batch}/intake_checked")
     _kept(op.rejected_claims(checked), f"{store}/claim_rejects/batch={batch}")
     accepted = _kept(op.accepted_claims(checked, submitted_on), f"{store}/work/{batch}/accepted")
-    src.merge_claims(spark, f"{store}/claims", accepted, batch)
+    _merge(spark, store, accepted, batch)
 
 
 def review_batch(spark: SparkSession, store: str, batch: str) -> None:
@@ -136,7 +136,7 @@ def review_batch(spark: SparkSession, store: str, batch: str) -> None:
     log = _kept(log, f"{store}/decision_log/batch={batch}")
     _kept(rejects, f"{store}/decision_rejects/batch={batch}")
     decided = _kept(op.decided_claims(claims, log), f"{store}/work/{batch}/decided")
-    src.merge_claims(spark, f"{store}/claims", decided, batch)
+    _merge(spark, store, decided, batch)
 
 
 def ship_batch(spark: SparkSession, store: str, batch: str) -> None:
@@ -159,7 +159,38 @@ def ship_batch(spark: SparkSession, store: str, batch: str) -> None:
     booked = _kept(booked, f"{store}/shipments/batch={batch}")
     _kept(new_orders, f"{store}/writeoff_orders/batch={batch}")
     shipped = _kept(op.shipped_claims(queue, booked), f"{store}/work/{batch}/shipped")
-    src.merge_claims(spark, f"{store}/claims", shipped, batch)
+    _merge(spark, store, shipped, batch)
+
+
+def claim_partials_now(spark: SparkSession, store: str) -> DataFrame:
+    """The partials of the newest version of the claims, for the figures of ``operators.partials``."""
+    version = src.newest_version(spark, f"{store}/claims")
+    return spark.read.parquet(f"{store}/claim_partials/{_figures_of(version)}")
+
+
+def _merge(spark: SparkSession, store: str, changed: DataFrame, batch: str) -> None:
+    """Rows into the claims, and the partials of the new version from those of the one before.
+
+    Only the rows that change are counted, as they were and as they are now. A claim counts as
+    shipped by the shipments there are, for both, as no batch ships what it does not change.
+    """
+    claims = f"{store}/claims"
+    last = src.newest_version(spark, claims)
+
+    def count(version: src.Version, before: DataFrame) -> None:
+        shipments = spark.read.schema(schemas.SHIPMENTS).parquet(f"{store}/shipments/batch=*")
+        earlier = _other_batches(spark, f"{store}/shipments", schemas.SHIPMENTS, batch) if last else shipments
+        partials = op.claim_partials(changed, shipments)
+        if last is not None:
+            was = op.minus(op.claim_partials(before, earlier))
+            partials = op.merged_partials(claim_partials_now(spark, store), was, partials)
+        _kept(partials.coalesce(1), f"{store}/claim_partials/{_figures_of(version)}")
+
+    src.merge_claims(spark, claims, changed, batch, count)
+
+
+def _figures_of(version: src.Version) -> str:
+    return f"version={version.number:08d}-{version.batch}"
 
 
 def _other_batches(spark: SparkSession, path: str, schema, batch: str) -> DataFrame:

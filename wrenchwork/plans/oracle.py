@@ -431,6 +431,16 @@ SQL = {
         (select count(*) from inventory where qty <= safety) as low_stock_skus,
         (select count(*) from claim_heads where date_trunc('week', date) =
           (select date_trunc('week', max(date)) from claim_heads)) as claims_this_week""",
+    "admin_kpis_partials": """select
+        count(*) filter (status = 'Under Review') as pending_review,
+        count(*) filter (status in ('Approved', 'Partial') and no not in (select claim from shipments)) as awaiting_writeoff,
+        (select count(*) from inventory where qty <= safety) as low_stock_skus,
+        count(*) filter (date_trunc('week', date) = (select date_trunc('week', max(date)) from claim_heads))
+          as claims_this_week
+        from claim_heads""",
+    "claim_partials": """select date, dealer, status,
+        status in ('Approved', 'Partial') and no in (select claim from shipments) as shipped, count(*) as n
+        from claims group by all""",
     "dealer_kpis": f"""
         with dealers as (select dealer from claims union select dealer from vehicles)
         select d.dealer,

@@ -371,6 +371,29 @@ def admin_kpis(t: Tables) -> DataFrame:
     return op.admin_kpis(t.claim_heads(), t.shipment_heads(), t.inventory())
 
 
+@_query
+def admin_kpis_partials(t: Tables) -> DataFrame:
+    """The same from partials: of most claims, plus others, minus and plus some that changed."""
+    claims = t.claims().select("no", "date", "dealer", "status", "claim_id")
+    shipments = t.shipment_heads()
+    old, new = claims.filter("claim_id % 5 <> 0"), claims.filter("claim_id % 5 = 0")
+    changed = old.filter("claim_id % 7 = 0")
+    was = changed.withColumn("status", F.lit("Submitted"))
+    before = op.merged_partials(
+        op.claim_partials(old.filter("claim_id % 7 <> 0"), shipments), op.claim_partials(was, shipments)
+    )
+    now = op.merged_partials(
+        before, op.claim_partials(new, shipments), op.minus(op.claim_partials(was, shipments)),
+        op.claim_partials(changed, shipments),
+    )
+    return op.admin_kpis_from(now, op.stock_partials(t.inventory()))
+
+
+@_query
+def claim_partials(t: Tables) -> DataFrame:
+    return op.claim_partials(t.claims(), t.shipment_heads())
+
+
 @_query
 def dealer_kpis(t: Tables) -> DataFrame:
     return op.dealer_kpis(t.claims(), t.vehicles(), AS_OF)

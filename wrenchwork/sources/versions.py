@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date
 
@@ -67,12 +68,20 @@ def read_version(
     return claims
 
 
-def merge_claims(spark: SparkSession, folder: str, changed: DataFrame, batch: str) -> Version | None:
+def merge_claims(
+    spark: SparkSession,
+    folder: str,
+    changed: DataFrame,
+    batch: str,
+    beside: Callable[[Version, DataFrame], None] | None = None,
+) -> Version | None:
     """Take rows into the table under their number and commit; the version that results.
 
     ``changed`` is a stored table, as it is read three times, with each number once: rows take the
     place of the row of that number, which has the same date, or are new. Only their months are
-    rewritten. A batch that is done already, or changes nothing, commits nothing.
+    rewritten. A batch that is done already, or changes nothing, commits nothing. ``beside`` is
+    called before the commit with the version to be and the rows as they were of the numbers that
+    change, to write what belongs to the version.
     """
     version = newest_version(spark, folder)
     if is_done(spark, folder, batch):
@@ -97,7 +106,10 @@ def merge_claims(spark: SparkSession, folder: str, changed: DataFrame, batch: st
         .partitionBy("snapshot", "month")
         .parquet(folder)
     )
-    return _commit(spark, folder, Version(number, batch, present | dict.fromkeys(touched, snapshot)))
+    version = Version(number, batch, present | dict.fromkeys(touched, snapshot))
+    if beside is not None:
+        beside(version, before.join(changed.select("no"), "no", "left_semi"))
+    return _commit(spark, folder, version)
 
 
 def _rows(spark: SparkSession, folder: str, months: dict[str, str]) -> DataFrame:
