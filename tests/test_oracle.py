@@ -81,6 +81,9 @@ AS_IF_LARGE = {
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+    # Several tasks before a join as well: what one task has written cannot be cut.
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "4k",
     "spark.sql.files.maxPartitionBytes": "128k",
     "spark.sql.files.openCostInBytes": "1k",
 }

@@ -179,3 +179,29 @@ def test_nested_fields_nobody_asks_for_are_not_read(spark, store, portal):
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<no:string,parts:array<struct<oe:string>>>" in plan
     assert "ReadSchema: struct<no:string,vehicle:string,date:date,dealer:string>" in plan
+
+
+def test_bodies_are_rows_or_rejects(spark, tmp_path):
+    from wrenchwork import schemas
+    from wrenchwork.sources import checked_bodies, read_checked_dump, rejected_bodies, rows_of_bodies
+
+    good = '{"success":true,"data":[{"oe":"A","qty":1},{"oe":"B","qty":null,"more":[]}]}'
+    bodies = {
+        good: None, '{"data":[],"success":true}': None,
+        "null": "wrong type", "1": "wrong type", '"x"': "wrong type", "{": "not JSON", "<html>": "not JSON",
+        '{"success":"yes","data":[]}': "wrong type", '{"success":true,"data":{}}': "wrong type",
+        '{"success":true,"data":[{"oe":"A","qty":"1"}]}': "wrong type",
+        '{"success":true,"data":[{"oe":"A","qty":1.5}]}': "wrong type",
+        '{"success":true,"data":[{"oe":"A","qty":99999999999}]}': "wrong type",
+        '{"success":true}': "no data", '{"success":null,"data":[]}': "not successful", "{}": "not successful",
+    }
+    frame = spark.createDataFrame([(k, b) for k, b in enumerate([*bodies, None, "", " \t"])], "id int, body string")
+    schema = schemas.CLAIM_PART
+    checked = checked_bodies(frame, schema)
+    found = {r.body: r.reason for r in rejected_bodies(checked).collect()}
+    expected = {b: r for b, r in bodies.items() if r} | {None: "no body", "": "no body", " \t": "no body"}
+    assert found == expected
+    assert sorted(rows_of_bodies(checked, schema).collect()) == [("A", 1), ("B", None)]
+    (tmp_path / "dump.txt").write_text("\n".join([*bodies, "", "  "]))
+    rows, rejects = read_checked_dump(spark, schema, str(tmp_path / "dump.txt"))
+    assert rows.count() == 2 and rejects.count() == sum(r is not None for r in bodies.values())

@@ -109,7 +109,8 @@ def vehicle_record(
         history = history.unionByName(
             accidents.select("vin", no_date.alias("serviced"), F.col("date").alias("crashed"))
         )
-    history = history.groupBy("vin").agg(
+    # What is on record without a VIN is on no vehicle's record.
+    history = history.filter(F.col("vin").isNotNull()).groupBy("vin").agg(
         F.min("serviced").alias("first_service"), F.min("crashed").alias("first_accident")
     )
     return _terms(vehicles).join(history, "vin", "full")

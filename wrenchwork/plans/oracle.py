@@ -55,9 +55,10 @@ VIEWS = {
             as models
         from part""",
     "claim_parts": """
-        select no, oe, cast(sum(l_quantity) as bigint) as qty
-        from lineitem join claim_heads on l_orderkey = claim_id join parts on l_partkey = part_id
-        group by no, oe""",
+        select no, coalesce(oe, 'UNKNOWN-' || lpad(cast(l_partkey as varchar), 12, '0')) as oe,
+          cast(sum(l_quantity) as bigint) as qty
+        from lineitem left join claim_heads on l_orderkey = claim_id left join parts on l_partkey = part_id
+        group by l_orderkey, no, oe, l_partkey""",
     "nested_lines": """
         select no, claim_id, k,
           'OE-' || lpad(cast((claim_id * 31 + case when claim_id % 7 = 0 then 0 else k end) % 2100 as varchar), 12, '0') as oe,
@@ -79,7 +80,7 @@ VIEWS = {
           case l_returnflag when 'R' then 'In Transit' when 'A' then 'Delivered'
             else 'Pending' end as status,
           cast(l_shipdate as date) as eta
-        from lineitem join claim_heads on l_orderkey = claim_id
+        from lineitem left join claim_heads on l_orderkey = claim_id
         left join part on l_partkey = p_partkey left join supplier on l_suppkey = s_suppkey
         where l_linestatus = 'F'""",
     "maintenance": """
@@ -88,10 +89,10 @@ VIEWS = {
           case event_type when 'signup' then 'Delivery / PDI completed'
             when 'view' then 'Routine maintenance (first service)'
             else 'Software update & inspection' end as title
-        from events join customer on user_id = c_custkey where event_type <> 'error'""",
+        from events left join customer on user_id = c_custkey where event_type <> 'error'""",
     "accidents": """
         select c_name as vin, cast(ts - interval '27' year as date) as date
-        from events join customer on user_id = c_custkey
+        from events left join customer on user_id = c_custkey
         where event_type = 'error' and event_id % 40 = 0""",
     "decisions": """
         select case when claim_id % 43 = 0 and later = 0 then no || '-X' else no end as claim,
@@ -116,7 +117,7 @@ VIEWS = {
           select claim, "at", event, count(*) as times,
             coalesce(list_position(['Draft', 'Submitted', 'Under Review', 'Approved', 'Partial',
               'Rejected', 'Shipped', 'Closed'], event), 9) as place
-          from claim_events group by claim, "at", event),
+          from claim_events where claim is not null group by claim, "at", event),
         lives as (
           select claim, list({'at': "at", 'event': event, 'times': times} order by "at", place, event) as life
           from alike group by claim),
@@ -172,19 +173,20 @@ VIEWS = {
                when p.warranty like 'Wear Item%' then 'Wear Item' end as class,
           case when m.id_ok then 'ok' else 'bad' end as identity,
           case when cp.oe is null then null
+               when p.oe is null then 'bad'
                when case when p.warranty like 'EV Core%' then m.ev_ok else m.whole_ok end
                then 'ok' else 'bad' end as term,
-          case when cp.oe is null then null when p.wear then 'bad' else 'ok' end as wear,
+          case when cp.oe is null then null when p.wear or p.oe is null then 'bad' else 'ok' end as wear,
           case when m.accident_ok then 'ok' else 'warn' end as accident,
           case when m.service_ok then 'ok' else 'warn' end as service
         from marks m left join claim_parts cp on cp.no = m.no left join parts p on p.oe = cp.oe""",
     "waiting": """
         select * from claims where status in ('Approved', 'Partial')
-          and no not in (select claim from shipments)""",
+          and no not in (select claim from shipments where claim is not null)""",
     "requests": """
         select r.no as claim, r.oe, p.name as part, r.qty, 'Pending' as status
-        from check_rows r join waiting w on w.no = r.no join parts p on p.oe = r.oe
-        where r.status = 'Approved' or (r.term = 'ok' and r.wear = 'ok')""",
+        from check_rows r join waiting w on w.no = r.no left join parts p on p.oe = r.oe
+        where r.oe is not null and (r.status = 'Approved' or (r.term = 'ok' and r.wear = 'ok'))""",
     "intake": """
         select n.*, v.vin, v.model, v.dealer,
           case when n.vehicle_id is null then 'no vehicle'
@@ -252,6 +254,12 @@ SQL = {
     "vehicle_picker": "select id, vin || ' · ' || model as label from vehicles",
     "claim_list": "select no, model, vehicle, fault, date, status from claims",
     "part_cards": PART_CARD,
+    "part_cards_unknown": """select case when part_id % 7 <> 0 then name end as name, oe,
+        case when part_id % 3 <> 0 then cat else '' end || ' · '
+        || case when wear then '⚠️ Wear Item' when part_id % 5 <> 0 then warranty else '' end as meta, brand, models
+        from parts""",
+    "vehicle_picker_unknown": """select id, vin || ' · ' || case when id % 3 <> 0 then model else '' end as label
+        from vehicles""",
     "part_labels": """select oe, warranty,
         case when wear then 'Wear Item' when cat in ('PROMO', 'ECONOMY') then 'EV Core'
           else 'General' end as class,
@@ -265,6 +273,21 @@ SQL = {
     "one_vehicle": f"select {VEHICLE_COLUMNS} from vehicles where id = 1024",
     "api_envelope": """select sku, oe, qty from inventory
         where cast(substr(sku, 5) as bigint) % 9 <> 0 and cast(substr(sku, 5) as bigint) % 7 <> 0""",
+    "api_rows": """select sku, oe, qty from inventory
+        where cast(substr(sku, 5) as bigint) % 11 in (0, 10)""",
+    "api_rejects": """
+        with bodies as (
+          select sku as asked, cast(substr(sku, 5) as bigint) % 11 as kind,
+            '{"success":true,"data":[{"sku":"' || sku || '","oe":"' || oe || '","qty":' || cast(qty as varchar) || '}]}' as good
+          from inventory)
+        select asked,
+          case kind when 2 then '  ' when 3 then substr(good, 1, 30)
+            when 4 then replace(good, '"qty":', '"qty":"many","was":') when 5 then '[' || good || ']'
+            when 6 then replace(good, 'true', 'false') when 7 then '{"success":true,"data":null}'
+            when 8 then replace(good, '"success":true,', '') end as body,
+          case when kind in (1, 2) then 'no body' when kind = 3 then 'not JSON'
+            when kind in (4, 5) then 'wrong type' when kind in (6, 8) then 'not successful' else 'no data' end as reason
+        from bodies where kind between 1 and 8""",
     "status_class": """
         with badges(status, badge) as (values ('Draft', 'b-gray'), ('Submitted', 'b-blue'),
           ('Under Review', 'b-amber'), ('Approved', 'b-green'), ('Partial', 'b-teal'),
@@ -318,7 +341,10 @@ SQL = {
         from claims c join vehicles v on c.vehicle = v.vin where c.status = 'Under Review'""",
     "claimed_parts": """select h.no, cp.oe, p.name, cp.qty, p.warranty
         from claim_heads h left join claim_parts cp on cp.no = h.no
-        left join parts p on p.oe = cp.oe""",
+        left join parts p on p.oe = cp.oe
+        union all
+        select cp.no, cp.oe, p.name, cp.qty, p.warranty
+        from claim_parts cp left join parts p on p.oe = cp.oe where cp.no is null""",
     "claimed_parts_nested": """select h.no, l.oe, p.name, l.qty, p.warranty
         from claim_heads h left join nested_lines l on l.no = h.no
         left join nested_catalogue p on p.oe = l.oe""",
@@ -353,7 +379,8 @@ SQL = {
             format('{:,}', v.mileage) as km,
             case when r.class = 'EV Core'
               then 'EV ' || v.ev_months || 'mo / ' || format('{:,}', v.ev_km)
-              else 'Whole Vehicle ' || v.whole_months || 'mo / ' || format('{:,}', v.whole_km)
+              when r.class is not null
+              then 'Whole Vehicle ' || v.whole_months || 'mo / ' || format('{:,}', v.whole_km)
               end as terms,
             (select min(date) from accidents a where a.vin = m.vehicle) as crashed,
             (select min(date) from maintenance s
@@ -371,8 +398,8 @@ SQL = {
             'No cover known') end from facts
         union all
         select no, oe, 3, 'Wear / Exclusion', wear,
-          case when oe is not null then name || case when wear_part then ' is a wear item'
-            else ' is ' || class || ' — not a wear item' end end from facts
+          case when oe is not null then coalesce(name || case when wear_part then ' is a wear item'
+            else ' is ' || class || ' — not a wear item' end, 'Part not in the catalogue') end from facts
         union all
         select no, oe, 4, 'Human / Accident', accident,
           case when accident = 'ok' then 'No accident record; pending manual confirm'
@@ -427,19 +454,19 @@ SQL = {
     "admin_kpis": """select
         (select count(*) from claim_heads where status = 'Under Review') as pending_review,
         (select count(*) from claim_heads where status in ('Approved', 'Partial')
-          and no not in (select claim from shipments)) as awaiting_writeoff,
+          and no not in (select claim from shipments where claim is not null)) as awaiting_writeoff,
         (select count(*) from inventory where qty <= safety) as low_stock_skus,
         (select count(*) from claim_heads where date_trunc('week', date) =
           (select date_trunc('week', max(date)) from claim_heads)) as claims_this_week""",
     "admin_kpis_partials": """select
         count(*) filter (status = 'Under Review') as pending_review,
-        count(*) filter (status in ('Approved', 'Partial') and no not in (select claim from shipments)) as awaiting_writeoff,
+        count(*) filter (status in ('Approved', 'Partial') and no not in (select claim from shipments where claim is not null)) as awaiting_writeoff,
         (select count(*) from inventory where qty <= safety) as low_stock_skus,
         count(*) filter (date_trunc('week', date) = (select date_trunc('week', max(date)) from claim_heads))
           as claims_this_week
         from claim_heads""",
     "claim_partials": """select date, dealer, status,
-        status in ('Approved', 'Partial') and no in (select claim from shipments) as shipped, count(*) as n
+        status in ('Approved', 'Partial') and no in (select claim from shipments where claim is not null) as shipped, count(*) as n
         from claims group by all""",
     "dealer_kpis": f"""
         with dealers as (select dealer from claims union select dealer from vehicles)

@@ -14,7 +14,13 @@ from pyspark.sql.types import StructType
 from .. import operators as op
 from ..functions.text import escape_html
 from ..schemas import INVENTORY
-from ..sources.envelope import envelope_schema, unwrap_envelope
+from ..sources.envelope import (
+    checked_bodies,
+    envelope_schema,
+    rejected_bodies,
+    rows_of_bodies,
+    unwrap_envelope,
+)
 from .tables import AS_OF, Tables
 
 Query = Callable[[Tables], DataFrame]
@@ -95,6 +101,18 @@ def part_cards(t: Tables) -> DataFrame:
     return op.part_cards(t.parts())
 
 
+@_query
+def part_cards_unknown(t: Tables) -> DataFrame:
+    """Cards of parts of which something is unknown."""
+    unknown = lambda column, every: F.when(F.col("part_id") % every != 0, F.col(column))
+    return op.part_cards(t.parts().withColumns({c: unknown(c, k) for c, k in (("cat", 3), ("warranty", 5), ("name", 7))}))
+
+
+@_query
+def vehicle_picker_unknown(t: Tables) -> DataFrame:
+    return op.vehicle_picker(t.vehicles().withColumn("model", F.when(F.col("id") % 3 != 0, F.col("model"))))
+
+
 @_query
 def part_labels(t: Tables) -> DataFrame:
     return op.part_labels(t.parts())
@@ -145,6 +163,36 @@ def api_envelope(t: Tables) -> DataFrame:
     return unwrap_envelope(parsed, schema)
 
 
+STOCK_ANSWER = StructType([f for f in INVENTORY.fields if f.name in ("sku", "oe", "qty")])
+
+
+def _answers(t: Tables) -> DataFrame:
+    """Stock as responses of the API, one per article, many of them bad in one way or another."""
+    good = """concat('{"success":true,"data":[{"sku":"', sku, '","oe":"', oe, '","qty":', qty, '}]}')"""
+    body = f"""case cast(substring(sku, 5) as bigint) % 11
+        when 1 then null
+        when 2 then '  '
+        when 3 then left({good}, 30)
+        when 4 then replace({good}, '"qty":', '"qty":"many","was":')
+        when 5 then concat('[', {good}, ']')
+        when 6 then replace({good}, 'true', 'false')
+        when 7 then '{{"success":true,"data":null}}'
+        when 8 then replace({good}, '"success":true,', '')
+        when 9 then '{{"success":true,"data":[]}}'
+        else {good} end"""
+    return t.inventory().selectExpr("sku as asked", f"{body} as body")
+
+
+@_query
+def api_rows(t: Tables) -> DataFrame:
+    return rows_of_bodies(checked_bodies(_answers(t), STOCK_ANSWER), STOCK_ANSWER)
+
+
+@_query
+def api_rejects(t: Tables) -> DataFrame:
+    return rejected_bodies(checked_bodies(_answers(t), STOCK_ANSWER))
+
+
 @_query
 def recent_claims(t: Tables) -> DataFrame:
     newest = op.newest_claims(t.claim_heads())

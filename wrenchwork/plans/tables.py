@@ -7,7 +7,8 @@ mapping is written a second time, in SQL, in ``oracle.py``.
 
 What describes a row (a claim's vehicle, a shipment's carrier) is looked up by
 left joins, so queries that need no description start from a frame without
-the lookups.
+the lookups. Rows whose claim, part or vehicle is unknown stay, with null for what is not known;
+an unknown part's OE number begins with ``UNKNOWN``.
 """
 
 from __future__ import annotations
@@ -155,15 +156,14 @@ class Tables:
         summed = items.groupBy("l_orderkey", "l_partkey").agg(
             F.expr("cast(sum(l_quantity) as bigint) as qty")
         )
-        return summed.join(heads, "l_orderkey").join(parts, "l_partkey").select("no", "oe", "qty")
+        unknown = "coalesce(oe, concat('UNKNOWN-', lpad(l_partkey, 12, '0'))) as oe"
+        joined = summed.join(heads, "l_orderkey", "left").join(parts, "l_partkey", "left")
+        return joined.selectExpr("no", unknown, "qty")
 
     @_once
     def claim_lines(self) -> DataFrame:
         """Claimed parts, and a row with null part for a claim without any."""
-        known = self.parts().selectExpr("part_id as l_partkey")
-        keys = self.raw("lineitem").join(known, "l_partkey", "left_semi").selectExpr(
-            "l_orderkey as claim_id"
-        )
+        keys = self.raw("lineitem").selectExpr("l_orderkey as claim_id")
         empty = self.claim_heads().join(keys.distinct(), "claim_id", "left_anti").selectExpr(
             "no", "cast(null as string) as oe", "cast(null as bigint) as qty"
         )
@@ -219,7 +219,7 @@ class Tables:
         return (
             self.raw("lineitem")
             .filter("l_linestatus = 'F'")
-            .join(heads, "l_orderkey")
+            .join(heads, "l_orderkey", "left")
             .selectExpr(
                 "concat('SHP-', l_orderkey, '-', l_linenumber) as no",
                 "claim", "l_partkey", "l_suppkey", "cast(l_quantity as int) as qty",
@@ -256,9 +256,9 @@ class Tables:
         return self._events(severe).select("vin", "date")
 
     def _events(self, condition: str) -> DataFrame:
-        """Events of known vehicles, moved back into the years of the claims."""
+        """Events moved back into the years of the claims; ``vin`` is null where the vehicle is unknown."""
         owner = self.raw("customer").selectExpr("c_custkey as user_id", "c_name as vin")
-        return self.raw("events").filter(condition).join(owner, "user_id").selectExpr(
+        return self.raw("events").filter(condition).join(owner, "user_id", "left").selectExpr(
             "*", "to_date(ts - interval '27' year) as date"
         )
 

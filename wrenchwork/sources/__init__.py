@@ -1,6 +1,13 @@
 """Readers of the entity tables and of API dumps, and the writers of new state."""
 
-from .envelope import read_api_dump, unwrap_envelope
+from .envelope import (
+    checked_bodies,
+    read_api_dump,
+    read_checked_dump,
+    rejected_bodies,
+    rows_of_bodies,
+    unwrap_envelope,
+)
 from .bucketed import by_vin, write_by_vin
 from .postings import search_stored, write_postings
 from .readers import (
@@ -24,12 +31,14 @@ __all__ = [
     "append_claims",
     "append_rows",
     "by_vin",
+    "checked_bodies",
     "exists",
     "is_done",
     "merge_claims",
     "newest_version",
     "read_accidents",
     "read_api_dump",
+    "read_checked_dump",
     "read_claims",
     "read_decisions",
     "read_inventory",
@@ -40,7 +49,9 @@ __all__ = [
     "read_shipments",
     "read_vehicles",
     "read_version",
+    "rejected_bodies",
     "require_unique",
+    "rows_of_bodies",
     "search_stored",
     "unwrap_envelope",
     "write_by_vin",

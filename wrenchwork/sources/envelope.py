@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..schemas import API_NAMES
 
+CORRUPT = "_corrupt_record"
+
 
 def api_schema(schema: T.StructType) -> T.StructType:
     """The same fields under the names the API gives them."""
@@ -35,6 +37,48 @@ def unwrap_envelope(df: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
+def checked_bodies(bodies: DataFrame, schema: T.StructType, body: str = "body") -> DataFrame:
+    """Bodies of responses as text, with the ``response`` parsed and a ``reason`` to set it aside.
+
+    The reason is null where the rows count, else the first of: no body (null or blank), not JSON,
+    wrong type (valid JSON in which a field, or the whole, is not as the schema says; a missing
+    field is null, a further one is not looked at), not successful, no data (an empty list is data).
+    """
+    kept = T.StructType([*envelope_schema(schema).fields, T.StructField(CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    parsed = bodies.withColumn("response", F.from_json(body, kept, options))
+    response = F.col("response")
+    reason = (
+        F.when(~F.coalesce(F.col(body).rlike(r"\S"), F.lit(False)), "no body")
+        .when(F.try_parse_json(F.col(body)).isNull(), "not JSON")
+        .when(response[CORRUPT].isNotNull(), "wrong type")
+        .when(~F.coalesce(response["success"], F.lit(False)), "not successful")
+        .when(response["data"].isNull(), "no data")
+    )
+    return parsed.withColumn("reason", reason)
+
+
+def rows_of_bodies(checked: DataFrame, schema: T.StructType) -> DataFrame:
+    """The rows of the bodies that count; of ``checked_bodies``."""
+    counted = checked.filter(F.col("reason").isNull())
+    return unwrap_envelope(counted.select("response.success", "response.data"), schema)
+
+
+def rejected_bodies(checked: DataFrame) -> DataFrame:
+    """The bodies set aside, as they came, with the ``reason``."""
+    return checked.filter(F.col("reason").isNotNull()).drop("response")
+
+
+def read_checked_dump(spark: SparkSession, schema: T.StructType, path: str) -> tuple[DataFrame, DataFrame]:
+    """``(rows, rejects)`` of dumped responses, one per line; each line is in one of both.
+
+    A line without text is no response and not reported.
+    """
+    lines = spark.read.text(path).withColumnRenamed("value", "body").filter(F.col("body").rlike(r"\S"))
+    checked = checked_bodies(lines, schema)
+    return rows_of_bodies(checked, schema), rejected_bodies(checked)
+
+
 def read_api_dump(
     spark: SparkSession, schema: T.StructType, path: str, one_per_line: bool = True
 ) -> DataFrame:
