@@ -291,7 +291,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     ``part`` the smallest of the class; it is null for texts without words.
 
     1. Equal texts are one node. Each node is signed and put into a bucket for every band.
-    2. Buckets join their nodes into groups, by ties to each bucket's smallest node.
+    2. Buckets join their nodes into groups, by ties to each bucket's smallest node, the leader.
     3. Inside the groups all pairs are checked exactly, so no link between candidates is lost.
 
     Texts without words, null ones included, are each alone: their ``class_id`` is their own
@@ -315,9 +315,12 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
         .where("size > 1")
         .select("bucket", "leader")
     )
-    ties = buckets.join(leaders, "bucket").where("node <> leader").select(
-        F.col("leader").alias("a"), F.col("node").alias("b")
-    ).distinct()
+    # A node's leaders are at most as many as there are bands. It is tied to the smallest of them,
+    # and that one to the others: in a large group one tie a node, and a few between leaders.
+    led = buckets.join(leaders, "bucket").groupBy("node").agg(F.array_sort(F.collect_set("leader")).alias("leaders"))
+    smallest = F.get("leaders", F.lit(0))
+    others = F.array_union(F.slice("leaders", 2, F.size("leaders")), F.array("node"))
+    ties = led.select(smallest.alias("a"), F.explode(others).alias("b")).where("a <> b").distinct()
     groups = stored(components(ties).join(signed.select("node", "first"), "node"))
     links = stored(_links(nodes, groups, near))
     return _classes(
