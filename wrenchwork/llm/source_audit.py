@@ -46,7 +46,7 @@ class Audit:
 
 
 CHUNK_BYTES = 4 << 20
-MERGE_ROWS = 1 << 20
+MERGE_ROWS = 1 << 19
 COUNTS = pa.schema(
     [("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())]
 )
