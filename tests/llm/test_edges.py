@@ -162,3 +162,21 @@ def test_stages(rows, request, spark):
         if name != "source_mix":
             assert docs.columns == columns
     assert docs.columns[: len(columns)] == columns
+
+
+MALFORMED = [
+    "<![foo[ x ]]><p>hello</p>", "<![CDATA[ x ]]><p>hello</p>", "<![if !IE]><p>hello</p><![endif]>", "<![foo[ x <p>hello</p>",
+    "<!doctype html [<!ENTITY a 'b'>]><p>hello</p>", "<!><p>hello</p>", "<!-- open <p>hello</p>", "<?php echo 1 ?><p>hello</p>",
+    "<p>hello</p><![", "<p>hello</p></", "<p>hello</p><a href='", "<p class=\"a>hello</p>", "</nothing><p>hello</p>", "<p>hello &#xFFFFFFF; &#0; &bad;</p>",
+    "<!ELEMENT br EMPTY><p>hello</p>", "<p>hello<p", "<\x00p>hello", "<![rcdata[<p>hello</p>]]>",
+]
+
+
+def test_malformed_pages(spark):
+    """None ends the job, and what is plainly text is found."""
+    frame = spark.createDataFrame([(k, "u", h, "x") for k, h in enumerate(MALFORMED)], "page_id int, url string, html string, main_text string")
+    rows = {r.page_id: r for r in with_main_text(frame).collect()}
+    assert len(rows) == len(MALFORMED) and all(r["_main_text"] is not None and r["main_text"] == "x" for r in rows.values())
+    for k in (0, 1, 2, 5, 7, 8, 9, 12, 14):
+        assert "hello" in rows[k]["_main_text"], MALFORMED[k]
+    assert with_main_text(frame.limit(0)).count() == 0

@@ -156,6 +156,11 @@ class _Layout(HTMLParser):
             self.kinds.append(tag)
         self.open.append((tag, unseen or tag in UNSEEN, gone, hint, section))
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Sections like ``<![foo[ ... ]]>`` are skipped to the next ``>`` as browsers do; the parser would give up."""
+        end = self.rawdata.find(">", i)
+        return -1 if end < 0 else end + 1
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open and self.open[-1][0] == tag and tag in ("svg", "math"):
@@ -287,8 +292,9 @@ def main_text(html: str | None) -> str:
 def with_main_text(pages: DataFrame) -> DataFrame:
     """``pages`` with ``main_text`` from their ``html``, whole.
 
-    A null or empty page has an empty text; repeated pages are each read. A name that clashes
-    gets underscores in front.
+    A null or empty page has an empty text; repeated pages are each read; an empty table gives
+    none. Malformed markup is read as far as it goes, it ends no job. Of parts that hold as much
+    content the first counts. A name that clashes gets underscores in front.
     """
     (name,) = fresh(pages, "main_text")
     html_at = pages.columns.index("html")
