@@ -314,7 +314,7 @@ def test_token_counts_query(spark, monkeypatch):
     from wrenchwork.llm import token_counts as module
 
     monkeypatch.setattr(module, "BLOCK_TOKENS", 1000)
-    monkeypatch.setattr(module, "DOCUMENTS_PER_FILE", 70)
+    monkeypatch.setattr(module, "FILE_TOKENS", 5000)
     with open(Vocabulary().path, "rb") as file:
         encoder = _encoder(file.read(), PATTERN)
     expected = {r[0]: len(encoder.encode_ordinary(r[1] or "")) for r in given("documents")}

@@ -32,7 +32,8 @@ class Vocabulary:
 
 
 BLOCK_TOKENS = 1 << 18
-DOCUMENTS_PER_FILE = 4096
+# A file holds at most so many tokens, or one longer text.
+FILE_TOKENS = 1 << 24
 
 
 def _encoder(ranks: bytes, pattern: str):
@@ -47,28 +48,36 @@ def write_token_files(docs: DataFrame, vocabulary: Vocabulary = Vocabulary()) ->
     """Write the tokens of every whole ``text`` as flat files to the shared folder; its path.
 
     The files are written by Spark's own writer, so any file system that Spark knows will do. A
-    null text counts as empty: its end is written all the same.
+    null text counts as empty: its end is written all the same. A file is cut by its tokens, not by
+    its texts, as it is read as one cell: it has ``FILE_TOKENS`` at most, or one longer text.
     """
     spark = docs.sparkSession
     with open(vocabulary.path, "rb") as file:  # a few MB, the same at any size of input
         ranks = spark.sparkContext.broadcast(file.read())
 
+    end = int(vocabulary.end_of_document).to_bytes(2, "little")
+    most = 2 * FILE_TOKENS
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per file: the texts' tokens, with an end between every two."""
         encoder = _encoder(ranks.value, vocabulary.pattern)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                column = whole.column(0).slice(start, 512)
-                tokens = [
-                    np.array(encoder.encode_ordinary(t.as_py() or ""), dtype="<u2").tobytes() for t in column
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary())], ["tokens"])
-
-    end = int(vocabulary.end_of_document).to_bytes(2, "little").decode("latin-1")
+        texts, size = [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                tokens = np.array(encoder.encode_ordinary(text.as_py() or ""), dtype="<u2").tobytes()
+                if texts and size + len(tokens) > most:
+                    yield pa.RecordBatch.from_arrays([pa.array([end.join(texts)], pa.binary())], ["tokens"])
+                    texts, size = [], 0
+                texts.append(tokens)
+                size += len(tokens) + len(end)
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([end.join(texts)], pa.binary())], ["tokens"])
+
     path = shared_folder(spark)
     encoded = docs.select("text").mapInArrow(encode, "tokens binary")
-    encoded.select(F.col("tokens").cast("string")).write.option("lineSep", end).option(
+    encoded.select(F.col("tokens").cast("string")).write.option("lineSep", end.decode("latin-1")).option(
         "encoding", "ISO-8859-1"
-    ).option("maxRecordsPerFile", DOCUMENTS_PER_FILE).text(path)
+    ).option("maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -156,16 +165,22 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary = Vocabulary()) -> Data
     The texts are written as flat files, which are then scanned. The files name no documents: a
     task writes its rows in order, so the place of a document in its file and of the
     file among those of its task give its row. ``docs`` has to be read from files, so that
-    both passes read the same rows in the same tasks; if they do not, an error is raised.
+    both passes read the same rows in the same tasks; if they do not, an error is raised. Rows with a
+    null id or a repeated one are counted like all others; an empty table gives no rows.
     """
     spark = docs.sparkSession
     path = write_token_files(docs, vocabulary)
     found = stored(documents_of(block_figures(spark, path, vocabulary.end_of_document)))
-    name = F.regexp_extract("file", r"part-(\d+)-[^/]*-c(\d+)[^/]*$", 1).cast("bigint")
-    piece = F.regexp_extract("file", r"part-(\d+)-[^/]*-c(\d+)[^/]*$", 2).cast("bigint")
-    numbered = found.withColumn("task", name).withColumn(
-        "row", piece * DOCUMENTS_PER_FILE + F.col("number")
-    )
+    pattern = r"part-(\d+)-[^/]*-c(\d+)[^/]*$"
+    files = found.groupBy("file").agg(F.count("*").alias("texts")).select(
+        F.col("file").alias("of_file"), "texts",
+        F.regexp_extract("file", pattern, 1).cast("bigint").alias("task"),
+        F.regexp_extract("file", pattern, 2).cast("bigint").alias("piece"),
+    )
+    # The texts in the files that the same task has written before.
+    earlier = Window.partitionBy("task").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    placed = files.withColumn("before", F.coalesce(F.sum("texts").over(earlier), F.lit(0)))
+    numbered = found.join(placed, F.col("file") == F.col("of_file")).withColumn("row", F.col("before") + F.col("number"))
     task = F.spark_partition_id().cast("bigint")
     rows = stored(
         docs.select(
