@@ -6,9 +6,13 @@ dependent rounding and the layout of pages are beyond SQL.
 
 from __future__ import annotations
 
-from .quality_rules import FURNITURE, MARKS, SENTENCE_MARK, SYMBOL, WORD_BREAK, Rules
+import re
+
+from .quality_rules import ANY_SENTENCE_MARK, FURNITURE, MARKS, SYMBOL, WORD_BREAK, Rules
 
 _RULES = Rules()
+# All sentence marks, code points as this engine writes them.
+_ANY_MARK = re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", ANY_SENTENCE_MARK)
 _PHRASES = " or ".join(f"contains(lower(line), '{p}')" for p in FURNITURE)
 
 # Words are compared as they are, where the query compares hashes of windows.
@@ -42,7 +46,7 @@ with texts as (
     select r, sum(n)::bigint as lost_words from measured
     where 100 * menu >= {_RULES.menu_percent} * n
         or 100 * shouts >= {_RULES.shout_percent} * n
-        or (n >= {_RULES.open_words} and not regexp_matches(line, '{SENTENCE_MARK}'))
+        or (n >= {_RULES.open_words} and not regexp_matches(line, '{_ANY_MARK}'))
         or 100 * symbols >= {_RULES.symbol_percent} * chars
         or (n <= {_RULES.furniture_words} and ({_PHRASES}))
     group by r

@@ -37,11 +37,16 @@ ANY_SENTENCE_MARK = (
     r"\x{11944}\x{11946}\x{11A42}\x{11A43}\x{11A9B}\x{11A9C}\x{11C41}\x{11C42}\x{11EF7}\x{11EF8}"
     r"\x{16A6E}\x{16A6F}\x{16AF5}\x{16B37}\x{16B38}\x{16B44}\x{16E98}\x{1BC9F}\x{1DA88}]"
 )
-# Phrases of page furniture, in lower case.
+# Phrases of page furniture, in lower case: English, German, French, Spanish.
 FURNITURE = (
     "cookie", "javascript", "all rights reserved", "terms of use", "terms of service",
     "privacy policy", "click here", "sign up", "log in", "subscribe", "newsletter",
     "skip to content", "skip to main content",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerkl", "hier klicken", "zum inhalt springen",
+    "tous droits réservés", "mentions légales", "politique de confidentialité", "cliquez ici",
+    "se connecter", "aller au contenu",
+    "todos los derechos reservados", "aviso legal", "política de privacidad", "haga clic", "iniciar sesión",
+    "ir al contenido",
 )
 
 
