@@ -8,7 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from ..session import INITIAL_PARTITIONS, prepare
+
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+# Texts are stored compressed, and a group is held in one task.
+BYTES_PER_PARTITION = 32 << 20
 
 
 def fresh(frame: DataFrame, *wanted: str) -> list[str]:
@@ -34,11 +38,13 @@ def wider(frame: DataFrame, names: list[str], kinds: list[str]) -> StructType:
 def shared_folder(spark: SparkSession) -> str:
     """A new path below the folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a temporary folder is taken.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a temporary folder is
+    taken in local mode, as in tests, and on a cluster an error is raised.
     """
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="wrenchwork-")
         spark.conf.set(CHECKPOINT_DIR, folder)
     return f"{folder.rstrip('/')}/llm-{uuid.uuid4().hex}"
@@ -55,6 +61,13 @@ def stored(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def sized(spark: SparkSession, folder: str) -> SparkSession:
+    """The session set up for the tables in ``folder``: a shuffle begins with a partition for
+    every ``BYTES_PER_PARTITION`` stored, and so the groups of ``shards`` follow the bytes."""
+    return prepare(spark, folder, BYTES_PER_PARTITION)
+
+
 def shards(spark: SparkSession, per_partition: int = 2) -> int:
-    """How many groups to deal keys into: some for every shuffle partition of the session."""
-    return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """How many groups to deal keys into: some for every partition that shuffles begin with."""
+    fewest = spark.conf.get("spark.sql.shuffle.partitions")
+    return per_partition * max(int(fewest), int(spark.conf.get(INITIAL_PARTITIONS, None) or fewest))

@@ -9,16 +9,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import SETTINGS
+from .frames import sized
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def _query(fn):
     def prepared(spark: SparkSession, folder: str) -> DataFrame:
-        for name, value in SETTINGS.items():
-            spark.conf.set(name, value)
-        return fn(spark, folder)
+        return fn(sized(spark, folder), folder)
 
     QUERIES[fn.__name__] = prepared
     return prepared
