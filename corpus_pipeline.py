@@ -11,11 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wrenchwork.llm.bag_minhash import one_of_each
 from wrenchwork.llm.decontaminate import without_benchmark
-from wrenchwork.llm.frames import fresh, stored
+from wrenchwork.llm.frames import fresh, sized, stored
 from wrenchwork.llm.quality_rules import quality_rules
 from wrenchwork.llm.source_mix import with_copies
 from wrenchwork.llm.substring_dedup import without_repeats
-from wrenchwork.session import SETTINGS
 
 
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +64,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    for name, value in SETTINGS.items():
-        spark.conf.set(name, value)
+    sized(spark, sf_dir)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
