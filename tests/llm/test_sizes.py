@@ -10,10 +10,9 @@ from wrenchwork.session import INITIAL_PARTITIONS
 
 @pytest.fixture
 def settings(spark):
-    kept = {name: spark.conf.get(name, None) for name in (INITIAL_PARTITIONS, frames.CHECKPOINT_DIR)}
-    yield spark.conf
-    for name, value in kept.items():
-        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    kept = spark.conf.get(INITIAL_PARTITIONS, None)
+    yield
+    spark.conf.unset(INITIAL_PARTITIONS) if kept is None else spark.conf.set(INITIAL_PARTITIONS, kept)
 
 
 def test_groups_follow_the_bytes(spark, settings, monkeypatch):
@@ -27,7 +26,7 @@ def test_groups_follow_the_bytes(spark, settings, monkeypatch):
     assert counts[1] > 3 * counts[0] and counts[2] > 3 * counts[1]
 
 
-def test_no_local_folder_on_a_cluster(spark, settings):
+def test_no_local_folder_on_a_cluster():
     class Cluster:
         """A session like the given one, on another master."""
 

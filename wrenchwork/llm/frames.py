@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -35,6 +36,11 @@ def wider(frame: DataFrame, names: list[str], kinds: list[str]) -> StructType:
     return schema
 
 
+@cache
+def _folder_of_one_machine() -> str:
+    return tempfile.mkdtemp(prefix="wrenchwork-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new path below the folder that driver and executors share.
 
@@ -45,8 +51,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="wrenchwork-")
-        spark.conf.set(CHECKPOINT_DIR, folder)
+        folder = _folder_of_one_machine()
     return f"{folder.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
