@@ -87,6 +87,54 @@ def test_a_hot_claim_is_many_slices(spark, monkeypatch):
     assert slices.agg(F.max(F.size("units"))).first()[0] <= 31 * len(EVENTS)
 
 
+@pytest.mark.parametrize("few", (1, 20, 100))
+def test_claims_with_few_and_with_many_events(spark, monkeypatch, few):
+    """Whole or in slices, also where alike events make them many and no instants do."""
+    monkeypatch.setattr(history, "FEW", few)
+    rng = random.Random(few)
+    day = lambda: date(2026, 1, 1) + timedelta(days=rng.randrange(200))
+    log = [(f"c{k}", day(), rng.choice(EVENTS)) for k in range(12) for _ in range(k * k)]
+    check(spark, log + [("again", date(2026, 1, 1), e) for e in ("Submitted", "Approved", None) for _ in range(30)])
+
+
+def final_plan(frame):
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_claims_with_few_events_meet_once(spark):
+    """One shuffle brings all events of a claim together, and no join follows."""
+    log = [(f"c{k}", date(2020, 1 + k % 5, 1), e) for k in range(300) for e in ("Approved", "Submitted", "Closed")]
+    events = spark.createDataFrame(log, "claim string, at date, event string")
+    for told in (op.claim_states(events), op.claim_history(events), op.illegal_moves(op.claim_history(events))):
+        text = final_plan(told)
+        assert "Join" not in text and text.count("Exchange hashpartitioning(claim") == 1
+
+
+def test_a_claim_that_fills_a_partition_is_cut(spark):
+    settings = {
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    events = spark.range(0, 60_000, 1, 8).selectExpr(
+        "if(id % 3 = 0, 'hot', concat('c', id)) as claim", "date_add(date'2020-01-01', cast(id % 20011 as int)) as at",
+        "element_at(array('Submitted', 'Approved', 'Closed'), cast(1 + id % 7 % 3 as int)) as event",
+    )
+    _, rows = walk([tuple(r) for r in events.collect()])
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        told = op.claim_history(events)
+        assert "skew=true" in final_plan(told)
+        assert Counter(tuple(r) for r in told.collect()) == rows
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def test_no_events(spark):
     check(spark, [])
     check(spark, [(None, date(2026, 1, 1), "Submitted"), ("a", None, "Submitted")])

@@ -3,8 +3,9 @@
 An event asks a claim to move to a status at a time. It moves it if the move is legal from the
 status the claim has by then; else it changes nothing and is reported. So each event is a map
 from statuses to statuses, and a run of events is one such map too. Events are first counted
-where they are alike, then folded into one map per claim and slice of time, and only these maps
-meet in the claim's row. A claim with very many events is many slices, on many tasks.
+where they are alike. A claim with few of them, as nearly all are, is then gone through in one
+row, from the first status on. The events of a claim with many are folded into one map per slice
+of time, and only these maps meet in the claim's row: it is many slices, on many tasks.
 """
 
 from __future__ import annotations
@@ -31,9 +32,12 @@ LEGAL_MOVES: Mapping[str, Sequence[str]] = {
 }
 assert set(REVIEWABLE) | set(WRITE_OFF) < set(LEGAL_MOVES)
 
-# Events of a slice are gone through in pieces of this size, so that lists stay short.
+# Events of a row are gone through in pieces of this size, so that lists stay short.
 PIECE = 64
 
+# A claim with more events than this is gone through slice by slice.
+FEW = 1000
+
 
 def claim_states(
     events: DataFrame,
@@ -46,12 +50,14 @@ def claim_states(
     Events of one time go in the order of the statuses, unknown ones last, which are always
     illegal. Events without claim or time are left out.
     """
-    mapped = _map("units", _Moves(moves)).alias("map")
-    runs = _slices(events, unit).select("claim", "slice", _events_in("units").alias("n"), mapped)
+    legal, (few, many) = _Moves(moves), _by_size(events)
+    first = F.struct(F.lit(_number(start)).alias("state"), F.lit(0).cast("long").alias("illegal"))
+
+    whole = _lives(few).select("claim", _events_in("units").alias("events"), F.aggregate("units", first, legal.moved).alias("end"))
+    runs = _slices(many, unit).select("claim", "slice", _events_in("units").alias("n"), _map("units", legal).alias("map"))
     per_claim = runs.groupBy("claim").agg(
         F.sum("n").alias("events"), F.array_sort(F.collect_list(F.struct("slice", "map"))).alias("runs")
     )
-    first = F.struct(F.lit(_number(start)).alias("state"), F.lit(0).cast("long").alias("illegal"))
     end = F.aggregate(
         "runs",
         first,
@@ -60,7 +66,7 @@ def claim_states(
             (acc["illegal"] + F.get(run["map"], acc["state"])["illegal"]).alias("illegal"),
         ),
     )
-    ended = per_claim.select("claim", "events", end.alias("end"))
+    ended = whole.union(per_claim.select("claim", "events", end.alias("end")))
     return ended.select("claim", _name(F.col("end.state")).alias("status"), "events", F.col("end.illegal").alias("illegal"))
 
 
@@ -75,7 +81,9 @@ def claim_history(
     Of events alike in claim, time and status, ``illegal`` tells how many could not move the
     claim. Order and what is left out are as in ``claim_states``.
     """
-    slices, legal = _slices(events, unit), _Moves(moves)
+    legal, (few, many) = _Moves(moves), _by_size(events)
+    whole = _lives(few).select("claim", "units", F.lit(_number(start)).alias("state"))
+    slices = _slices(many, unit)
     maps = slices.select("claim", F.struct("slice", _map("units", legal).alias("map")).alias("run"))
     per_claim = maps.groupBy("claim").agg(F.array_sort(F.collect_list("run")).alias("runs"))
     # The status before each slice: as many as a claim has slices, never as many as events.
@@ -85,8 +93,9 @@ def claim_history(
         lambda acc, run: F.array_append(acc, F.get(run["map"], F.element_at(acc, F.lit(-1)))["state"]),
     )
     starts = per_claim.select("claim", F.explode(F.arrays_zip(F.col("runs.slice").alias("slice"), before.alias("state"))).alias("s"))
-    starts = starts.select("claim", "s.slice", "s.state").where("slice is not null")
-    known = slices.join(starts, ["claim", "slice"])
+    starts = starts.selectExpr("claim as of", "s.slice as since", "s.state").where("since is not null")
+    # Null-safe, though no slice is null: else a filter of the join's would part the shuffles of the events.
+    known = whole.union(slices.join(starts, F.expr("claim = of and slice <=> since")).select("claim", "units", "state"))
     at_type = events.schema["at"].dataType.simpleString()
     each = known.select("claim", F.explode(_steps("units", F.col("state"), legal, at_type)).alias("e"))
     return each.select(
@@ -114,21 +123,43 @@ def _statuses() -> Column:
     return F.expr(f"array({', '.join(f"'{status}'" for status in CLAIM_STATUSES)})")
 
 
+def _by_size(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The events with claim and time: those of claims with few, and of claims with many.
+
+    The names of the claims with many, at most one in ``FEW`` events, are gathered by a shuffle of
+    their own: if there are none, as is usual, that is known before the join runs. It is one by
+    merging, which cuts a claim that fills a partition into several tasks.
+    """
+    dated = events.where(F.col("claim").isNotNull() & F.col("at").isNotNull())
+    many = dated.groupBy("claim").agg(F.count("*").alias("n")).where(F.col("n") > FEW)
+    many = many.select("claim", F.lit(True).alias("many")).hint("rebalance").hint("merge")
+    sized = dated.join(many, "claim", "left")
+    return sized.where("many is null").drop("many"), sized.where("many").drop("many")
+
+
+def _lives(events: DataFrame) -> DataFrame:
+    """``claim, units``: all events of a claim, in their order, in one row."""
+    counted = _counted(events.repartition("claim"))
+    return counted.groupBy("claim").agg(_in_order().alias("units"))
+
+
 def _slices(events: DataFrame, unit: str) -> DataFrame:
     """``claim, slice, units``: the events of a claim in a unit of time, in their order.
 
     Like events are counted first, so a slice is no longer than the instants in it.
     """
+    return _counted(events).groupBy("claim", F.date_trunc(unit, "at").alias("slice")).agg(_in_order().alias("units"))
+
+
+def _counted(events: DataFrame) -> DataFrame:
+    return events.groupBy("claim", "at", "event").agg(F.count("*").alias("n"))
+
+
+def _in_order() -> Column:
+    """The list of like events, by time and place of the status."""
     place = F.array_position(_statuses(), F.col("event")).cast("int")
     number = F.when(F.coalesce(place, F.lit(0)) > 0, place - 1).otherwise(len(CLAIM_STATUSES))
-    counted = (
-        events.where(F.col("claim").isNotNull() & F.col("at").isNotNull())
-        .groupBy("claim", "at", "event").agg(F.count("*").alias("n"))
-    )
-    unit_row = F.struct("at", number.alias("to"), "event", "n")
-    return counted.groupBy("claim", F.date_trunc(unit, "at").alias("slice")).agg(
-        F.array_sort(F.collect_list(unit_row)).alias("units")
-    )
+    return F.sort_array(F.collect_list(F.struct("at", number.alias("to"), "event", "n")))
 
 
 def _events_in(units: str) -> Column:
@@ -136,38 +167,40 @@ def _events_in(units: str) -> Column:
 
 
 class _Moves:
-    """Legal moves as one constant array: for every status a flag per status, and one for unknown ones."""
+    """Legal moves as constant arrays: for every status what each status, or an unknown one, does to it."""
 
     def __init__(self, moves: Mapping[str, Sequence[str]]) -> None:
-        flags = [str(to in moves.get(at, ())).lower() for at in CLAIM_STATUSES for to in (*CLAIM_STATUSES, None)]
-        self.flags = F.expr(f"array({', '.join(flags)})")
+        legal = lambda at, to: to is not None and to in moves.get(at, ())
+        events = (*CLAIM_STATUSES, None)
+        # The status after an event, and which of like events are illegal: none, all but the first, or all.
+        afters = [_number(to if legal(at, to) else at) for at in CLAIM_STATUSES for to in events]
+        wrong = [(0 if legal(to, to) else 1) if legal(at, to) else 2 for at in CLAIM_STATUSES for to in events]
+        self.afters = F.expr(f"array({', '.join(map(str, afters))})")
+        self.wrong = F.expr(f"array({', '.join(map(str, wrong))})")
 
-    def legal(self, state: Column, to: Column) -> Column:
-        return F.get(self.flags, state * (len(CLAIM_STATUSES) + 1) + to)
+    def _at(self, state: Column, unit: Column) -> Column:
+        return state * (len(CLAIM_STATUSES) + 1) + unit["to"]
 
     def after(self, state: Column, unit: Column) -> Column:
         """The status after like events."""
-        return F.when(self.legal(state, unit["to"]), unit["to"]).otherwise(state)
+        return F.get(self.afters, self._at(state, unit))
 
     def illegal(self, state: Column, unit: Column) -> Column:
-        """How many of like events are illegal: all, or all but the first, or none."""
-        again = F.coalesce(self.legal(unit["to"], unit["to"]), F.lit(False))
-        return F.when(~self.legal(state, unit["to"]), unit["n"]).when(again, 0).otherwise(unit["n"] - 1).cast("long")
+        """How many of like events are illegal."""
+        wrong = F.get(self.wrong, self._at(state, unit))
+        return F.when(wrong == 2, unit["n"]).when(wrong == 1, unit["n"] - 1).otherwise(0).cast("long")
+
+    def moved(self, entry: Column, unit: Column) -> Column:
+        """``state, illegal`` after like events, from those before."""
+        state, illegal = self.after(entry["state"], unit), self.illegal(entry["state"], unit)
+        return F.struct(state.alias("state"), (entry["illegal"] + illegal).alias("illegal"))
 
 
 def _map(units: str, moves: _Moves) -> Column:
     """What a run of events makes of each status: an array of ``state, illegal``."""
-
-    def step(acc: Column, unit: Column) -> Column:
-        def moved(entry: Column) -> Column:
-            state, illegal = moves.after(entry["state"], unit), moves.illegal(entry["state"], unit)
-            return F.struct(state.alias("state"), (entry["illegal"] + illegal).alias("illegal"))
-
-        return F.transform(acc, moved)
-
     states = range(len(CLAIM_STATUSES))
     unmoved = F.expr(f"array({', '.join(f"named_struct('state', {k}, 'illegal', 0L)" for k in states)})")
-    return F.aggregate(units, unmoved, step)
+    return F.aggregate(units, unmoved, lambda acc, unit: F.transform(acc, lambda entry: moves.moved(entry, unit)))
 
 
 def _steps(units: str, start: Column, moves: _Moves, at_type: str) -> Column:
@@ -178,7 +211,9 @@ def _steps(units: str, start: Column, moves: _Moves, at_type: str) -> Column:
     )
     end = lambda piece, state: F.aggregate(piece, state, moves.after)
     starts = F.aggregate(
-        pieces, F.array(start), lambda acc, piece: F.array_append(acc, end(piece, F.element_at(acc, F.lit(-1))))
+        F.slice(pieces, 1, F.size(pieces) - 1),
+        F.array(start),
+        lambda acc, piece: F.array_append(acc, end(piece, F.element_at(acc, F.lit(-1)))),
     )
 
     nothing = F.array().cast(f"array<struct<at:{at_type},event:string,n:bigint,before:int,after:int,illegal:bigint>>")
@@ -197,6 +232,6 @@ def _steps(units: str, start: Column, moves: _Moves, at_type: str) -> Column:
 
         return F.aggregate(pair["piece"], nothing, step)
 
-    pairs = F.zip_with(pieces, F.slice(starts, 1, F.size(pieces)), lambda p, s: F.struct(p.alias("piece"), s.alias("start")))
+    pairs = F.zip_with(pieces, starts, lambda p, s: F.struct(p.alias("piece"), s.alias("start")))
     return F.flatten(F.transform(pairs, with_states))
 
