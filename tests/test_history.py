@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wrenchwork import operators as op
 from wrenchwork.operators import history
+from wrenchwork.plans.tables import Tables
 from wrenchwork.schemas import CLAIM_STATUSES
 
 ORDER = {s: k for k, s in enumerate(CLAIM_STATUSES)}
@@ -135,6 +136,12 @@ def test_a_claim_that_fills_a_partition_is_cut(spark):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+def test_logs_are_read_once(spark):
+    """What happened to shipments comes out of one join of the line items."""
+    text = Tables(spark, "/root/testdata/sf0.001").claim_events()._jdf.queryExecution().executedPlan().toString()
+    assert text.count("lineitem.parquet") == 1
+
+
 def test_no_events(spark):
     check(spark, [])
     check(spark, [(None, date(2026, 1, 1), "Submitted"), ("a", None, "Submitted")])

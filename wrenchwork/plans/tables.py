@@ -291,17 +291,14 @@ class Tables:
         its shipments, and closed ten days after one that was delivered. As ship dates know
         nothing of claims, many of these moves are illegal. Every 53rd claim was also cancelled.
         """
-        heads = self.claim_heads()
-        submitted = heads.selectExpr("no as claim", "date as at", "'Submitted' as event")
-        cancelled = heads.filter("claim_id % 53 = 0").selectExpr("no", "date_add(date, 1)", "'Cancelled'")
+        own = self.claim_heads().selectExpr("no as claim", """inline(filter(array(
+            struct(date as at, 'Submitted' as event),
+            if(claim_id % 53 = 0, struct(date_add(date, 1) as at, 'Cancelled' as event), null)), e -> e is not null))""")
         decided = self.decisions().filter("note <> '' and decision in ('Approved', 'Partial', 'Rejected')")
-        left = self.shipment_heads().selectExpr("claim", "eta as day", "status")
-        return (
-            submitted.union(cancelled)
-            .union(decided.selectExpr("claim", "to_date(decided_at)", "decision"))
-            .union(left.selectExpr("claim", "day", "'Shipped'"))
-            .union(left.filter("status = 'Delivered'").selectExpr("claim", "date_add(day, 10)", "'Closed'"))
-        )
+        left = self.shipment_heads().selectExpr("claim", """inline(filter(array(
+            struct(eta as at, 'Shipped' as event),
+            if(status = 'Delivered', struct(date_add(eta, 10) as at, 'Closed' as event), null)), e -> e is not null))""")
+        return own.union(decided.selectExpr("claim", "to_date(decided_at)", "decision")).union(left)
 
     @_once
     def outbound(self) -> DataFrame:
