@@ -7,11 +7,16 @@ together as one segment. Each shard builds a compressed FM-index over its segmen
 streams them against it; the intervals of matches that reach the window's size give the
 smallest document that holds each window.
 
-Only segments whose anchor occurs in two documents are sent at all. That is found out
-beforehand by sending bare anchors. Anchors or segments that occur several times in what one
-task reads are sent once by it, so a passage in a third of all documents costs a shard
-one entry per task. The segments of an anchor that is frequent without being part of one
-passage (a common short line) are dealt by whole windows, which spreads them.
+The words of a segment are sent only where they can tell something new. That is found out
+beforehand by sending anchors and hashes of whole segments: a segment that a smaller document
+has word for word repeats in all its windows, and one whose anchor no other document has, but
+for such copies of it, has no window that is new to others. Segments or frequent anchors that
+occur several times in what one task reads are sent once by it, so a passage in a third of all
+documents costs a shard one entry per task. The segments of an anchor that is frequent without
+being part of one passage (a common short line) are dealt by whole windows, which spreads them.
+
+Segments overlap, so together they can have three times the words of the texts. They are sent
+in as many passes, by anchor, as keep the words of a pass below a share of all words.
 """
 
 from __future__ import annotations
@@ -21,10 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .fm_index import FMIndex
-from .frames import fresh, shards, stored, wider
+from .frames import fresh, passed, shards, wider
 from .words import Words, mixed, span_hashes, word_chunks, words_of
 
 _U64 = np.uint64
@@ -43,6 +49,12 @@ GATHERED = 1 << 19
 # An anchor is frequent if over this share of all segments have it: at most so many are.
 FREQUENT = 10_000
 LEAST_FREQUENT = 1_000
+# Entries of an anchor that one task asks for; more are sent without asking.
+ASKED = 32
+# Words of the segments of one pass, at most, as a share of all words.
+PASS_SHARE = 0.75
+# Marks of a segment: bit i is set if the window from word start + i repeats.
+_MARKS = np.dtype([("start", "<i4"), ("marks", "<u8")])
 
 
 @dataclass
@@ -104,30 +116,66 @@ def _dealt(shard: np.ndarray, kind: int, columns: list[np.ndarray], texts: list[
     order = np.argsort(shard, kind="stable")
     for part in np.split(order, _runs(shard[order])[1:]) if len(order) else []:
         packed = [c[part].tobytes() for c in columns]
+        packed += [b""] * (len(_COLUMNS) - len(packed))
         text = b"\n".join([texts[i] for i in part.tolist()]) if texts is not None else b""
         yield (int(shard[part[0]]), kind, *packed, text)
 
 
-_DEALT = ["shard", "kind", "a", "b", "c", "d", "e", "text"]
-_DEALT_TYPE = "shard int, kind int, a binary, b binary, c binary, d binary, e binary, text binary"
+_COLUMNS = "abcdefg"
+_DEALT = ["shard", "kind", *_COLUMNS, "text"]
+_DEALT_TYPE = f"shard int, kind int, {''.join(f'{c} binary, ' for c in _COLUMNS)}text binary"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * (len(_COLUMNS) + 1)]
     return pa.RecordBatch.from_arrays(
         [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], _DEALT
     )
 
 
-def _unpacked(table: pa.Table, kind: int, types: list[str]) -> list[np.ndarray]:
+def _unpacked(table: pa.Table, kind: int, types: list) -> list[np.ndarray]:
     rows = np.flatnonzero(table.column("kind").to_numpy() == kind)
     part = table.take(pa.array(rows))
     return [
         np.frombuffer(b"".join(part.column(c).to_pylist()), dtype=t)
-        for c, t in zip("abcde", types, strict=False)
+        for c, t in zip(_COLUMNS, types, strict=False)
     ]
 
 
+def _shard(of: np.ndarray, n_shards: int) -> np.ndarray:
+    return (mixed(of.view(np.uint64)) % _U64(n_shards)).astype(np.int64)
+
+
+def _by_text(doc: np.ndarray, text: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Values packed per text: its document, its print, the bytes of its values."""
+    order = np.lexsort((text, doc))
+    doc, text, values = doc[order], text[order], values[order]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
+    first = np.flatnonzero(new)
+    return doc[first], text[first], [x.tobytes() for x in np.split(values, first[1:])] if len(first) else []
+
+
+def _all_marks(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Marks of segments whose windows all repeat."""
+    marks = np.empty(len(start), dtype=_MARKS)
+    marks["start"] = start
+    marks["marks"] = np.where(
+        count >= 64, _U64(0xFFFFFFFFFFFFFFFF), (_U64(1) << (count % 64).astype(np.uint64)) - _U64(1)
+    )
+    return marks
+
+
+def _later(content: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a smaller document has the same content."""
+    order = np.argsort(content)
+    at = _runs(content[order])
+    later = np.zeros(len(order), dtype=bool)
+    if len(order):
+        later[order] = doc[order] > _spread(np.minimum.reduceat(doc[order], at), at, len(order))
+    return later
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """Documents that can repeat or be repeated. A print of the text tells rows of one id apart."""
     return docs.where("doc_id is not null and text is not null").select(
@@ -135,34 +183,43 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def _candidates(docs: DataFrame, rule: Windows, n_shards: int) -> tuple[DataFrame, np.ndarray]:
-    """Per document the numbers of segments whose anchor another one has; the frequent anchors."""
+def _candidates(docs: DataFrame, rule: Windows, n_shards: int) -> tuple[DataFrame, DataFrame, np.ndarray, int]:
+    """What is known of segments without their words.
+
+    Per document the first words of segments to be sent; per document the marks of segments
+    that a smaller one has word for word; the frequent anchors; the number of passes to send in.
+    """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: list[tuple] = []
 
         def deal():
-            anchor, doc, text, number = (np.concatenate(x) for x in zip(*gathered, strict=True))
+            columns = [np.concatenate(x) for x in zip(*gathered, strict=True)]
             gathered.clear()
-            order = np.argsort(anchor)
-            anchor, doc, text, number = anchor[order], doc[order], text[order], number[order]
+            later = _later(columns[1], columns[2])
+            yield from _dealt(
+                np.zeros(1, dtype=np.int64), 3, [np.array([len(later)]), np.array([columns[5].sum(dtype=np.int64)])]
+            )
+            _, _, doc, text, start, count = (x[later] for x in columns)
+            yield from _dealt(_shard(doc, n_shards), 2, [doc, text, _all_marks(start, count)])
+            order = np.flatnonzero(~later)
+            order = order[np.argsort(columns[0][order])]
+            anchor, content, doc, text, start, count = (x[order] for x in columns)
             at = _runs(anchor)
-            several = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
             weight = np.diff(np.append(at, len(anchor)))
-            known = _spread(several, at, len(anchor))
-            rows = _dealt(
-                (mixed(doc[known].view(np.uint64)) % _U64(n_shards)).astype(np.int64), 1,
-                [doc[known], doc[known], text[known], number[known], number[known]],
-            )
-            number = np.where(known, -1, number)  # known here: asked once, for the others' sake
+            several = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
+            many = several & (weight > ASKED)
+            known = _spread(many, at, len(anchor))
+            yield from _dealt(_shard(doc[known], n_shards), 1, [doc[known], text[known], start[known], count[known]])
             once = np.zeros(len(anchor), dtype=bool)
             once[at] = True
             ask = once | ~known
+            start = np.where(known, -1, start)  # known here: asked once, for the others' sake
             weights = np.where(known, _spread(weight, at, len(anchor)), 1).astype(np.int32)
-            yield from rows
+            windows = np.where(known, _spread(np.add.reduceat(count, at), at, len(anchor)), count)
             yield from _dealt(
-                (mixed(anchor[ask]) % _U64(n_shards)).astype(np.int64), 0,
-                [anchor[ask], doc[ask], text[ask], number[ask], weights[ask]],
+                _shard(anchor[ask], n_shards), 0,
+                [anchor[ask], content[ask], doc[ask], text[ask], start[ask], windows[ask].astype(np.int32), weights[ask]],
             )
 
         size = 0
@@ -171,7 +228,10 @@ def _candidates(docs: DataFrame, rule: Windows, n_shards: int) -> tuple[DataFram
             for a, _, words in word_chunks(batch.column(2)):
                 s = segments(words, rule)
                 if len(s.row):
-                    gathered.append((s.anchor, ids[a + s.row], prints[a + s.row], s.number.astype(np.int32)))
+                    gathered.append(
+                        (s.anchor, s.content, ids[a + s.row], prints[a + s.row], s.start.astype(np.int32),
+                         s.count.astype(np.int32))
+                    )
                     size += len(s.row)
                 if size >= GATHERED:
                     yield _batch(list(deal()))
@@ -180,59 +240,63 @@ def _candidates(docs: DataFrame, rule: Windows, n_shards: int) -> tuple[DataFram
             yield _batch(list(deal()))
 
     def answer(table: pa.Table) -> pa.Table:
-        anchor, doc, text, number, weight = _unpacked(table, 0, ["u8", "i8", "i4", "i4", "i4"])
-        order = np.argsort(anchor)
-        anchor, doc, text, number, weight = (x[order] for x in (anchor, doc, text, number, weight))
+        columns = _unpacked(table, 0, ["u8", "u8", "i8", "i4", "i4", "i4", "i4"])
+        later = _later(columns[1], columns[2]) & (columns[4] >= 0)
+        _, _, doc, text, start, count, _ = (x[later] for x in columns)
+        marked = [doc, text, _all_marks(start, count)]
+        order = np.flatnonzero(~later)
+        order = order[np.argsort(columns[0][order])]
+        anchor, _, doc, text, start, windows, weight = (x[order] for x in columns)
         at = _runs(anchor)
         frequent = np.zeros(0, np.int64)
-        total = int(weight.sum(dtype=np.int64))
-        sums = np.zeros(0, np.int64)
+        weights = sums = np.zeros(0, np.int64)
         if len(at):
             several = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
-            several |= np.minimum.reduceat(number, at) < 0
-            sums = np.add.reduceat(weight.astype(np.int64), at)
-            frequent = np.flatnonzero(several & (sums > LEAST_FREQUENT))
-            reply = _spread(several, at, len(anchor)) & (number >= 0)
-            doc, text, number = doc[reply], text[reply], number[reply]
-        _, known_doc, known_text, known_number = _unpacked(table, 1, ["i8", "i8", "i4", "i4"])
-        doc = np.concatenate((doc, known_doc))
-        text = np.concatenate((text, known_text))
-        number = np.concatenate((number, known_number))
-        order = np.lexsort((text, doc))
-        doc, text, number = doc[order], text[order], number[order]
-        new = np.ones(len(doc), dtype=bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
-        first = np.flatnonzero(new)
-        blobs = [x.tobytes() for x in np.split(number, first[1:])] if len(first) else []
-        more = len(frequent) + 1
+            several |= np.minimum.reduceat(start, at) < 0
+            weights = np.add.reduceat(weight.astype(np.int64), at)
+            sums = np.add.reduceat(windows.astype(np.int64), at)
+            frequent = np.flatnonzero(several & (weights > LEAST_FREQUENT))
+            reply = _spread(several, at, len(anchor)) & (start >= 0)
+            doc, text, start, windows = doc[reply], text[reply], start[reply], windows[reply]
+        known = _unpacked(table, 1, ["i8", "i4", "i4", "i4"])
+        windows = np.concatenate((windows, known[3]))
+        sent = int(windows.sum(dtype=np.int64)) + (rule.size - 1) * len(windows)
+        sends = _by_text(*[np.concatenate(x) for x in zip((doc, text, start), known[:3], strict=True)])
+        marks = _by_text(*[np.concatenate(x) for x in zip(marked, _unpacked(table, 2, ["i8", "i4", _MARKS]), strict=True)])
+        n_segments, n_windows = (int(x.sum()) for x in _unpacked(table, 3, ["i8", "i8"]))
+        a, b, c = len(sends[0]), len(marks[0]), len(frequent)
         return pa.table(
             {
-                "doc_id": pa.array([*doc[first].tolist(), *[None] * more], pa.int64()),
-                "print": pa.array([*text[first].tolist(), *[None] * more], pa.int32()),
-                "numbers": pa.array([*blobs, *[None] * more], pa.binary()),
-                "anchor": pa.array(
-                    [*[None] * len(blobs), None, *anchor[at[frequent]].view(np.int64).tolist()], pa.int64()
-                ),
-                "weight": pa.array(
-                    [*[None] * len(blobs), total, *sums[frequent].tolist()], pa.int64()
-                ),
+                "doc_id": pa.array([*sends[0].tolist(), *marks[0].tolist(), *[None] * (c + 1)], pa.int64()),
+                "print": pa.array([*sends[1].tolist(), *marks[1].tolist(), *[None] * (c + 1)], pa.int32()),
+                "starts": pa.array([*sends[2], *[None] * (b + c + 1)], pa.binary()),
+                "marks": pa.array([*[None] * a, *marks[2], *[None] * (c + 1)], pa.binary()),
+                "anchor": pa.array([*[None] * (a + b), *anchor[at[frequent]].view(np.int64).tolist(), None], pa.int64()),
+                "segments": pa.array([*[None] * (a + b), *weights[frequent].tolist(), n_segments], pa.int64()),
+                "windows": pa.array([*[None] * (a + b), *sums[frequent].tolist(), n_windows], pa.int64()),
+                "sent": pa.array([*[None] * (a + b + c), sent], pa.int64()),
             }
         )
 
-    answers = stored(
+    answers = passed(
         docs.mapInArrow(ask, _DEALT_TYPE).groupBy("shard").applyInArrow(
-            answer, "doc_id bigint, print int, numbers binary, anchor bigint, weight bigint"
+            answer,
+            "doc_id bigint, print int, starts binary, marks binary, anchor bigint, segments bigint, windows bigint, "
+            "sent bigint",
         )
     )
-    total = answers.where("doc_id is null and anchor is null").agg(F.sum("weight")).first()[0] or 0
+    total, windows, sent = (
+        x or 0 for x in answers.where("sent is not null").agg(F.sum("segments"), F.sum("windows"), F.sum("sent")).first()
+    )
     # Weights add up to the total, so fewer than FREQUENT anchors can pass.
     bound = max(total // FREQUENT, LEAST_FREQUENT)
-    frequent = answers.where(F.col("anchor").isNotNull() & (F.col("weight") > bound))
-    hot = np.array(sorted(r[0] for r in frequent.select("anchor").collect()), dtype=np.int64)
-    found = answers.where("doc_id is not null").groupBy("doc_id", "print").agg(
-        F.collect_list("numbers").alias("numbers")
-    )
-    return found, hot.view(np.uint64)
+    frequent = answers.where(F.col("anchor").isNotNull() & (F.col("segments") > bound))
+    hot = sorted(map(tuple, frequent.select("anchor", "windows").collect()))
+    sent += rule.size * sum(x[1] for x in hot)
+    passes = max(1, -int(-sent // max(1, int(PASS_SHARE * windows))))
+    found = answers.where("starts is not null").groupBy("doc_id", "print").agg(F.collect_list("starts").alias("starts"))
+    marks = answers.where("marks is not null").select("doc_id", "print", "marks")
+    return found, marks, np.array([x[0] for x in hot], dtype=np.int64).view(np.uint64), passes
 
 
 def smallest_holders(
@@ -283,8 +347,10 @@ def smallest_holders(
     return held, first, count[same]
 
 
-def _repeats(candidates: DataFrame, hot: np.ndarray, rule: Windows, n_shards: int) -> DataFrame:
-    """``doc_id, print, start, marks``: bit i is set if the window from word start + i repeats."""
+def _repeats(
+    candidates: DataFrame, hot: np.ndarray, rule: Windows, n_shards: int, turn: int = 0, passes: int = 1
+) -> DataFrame:
+    """``doc_id, print, marks`` of the segments whose anchors have their turn in this pass."""
 
     def deal_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: list[tuple] = []
@@ -295,46 +361,36 @@ def _repeats(candidates: DataFrame, hot: np.ndarray, rule: Windows, n_shards: in
             )
             lines = [line for g in gathered for line in g[6]]
             gathered.clear()
-            order = np.lexsort((doc, content, anchor))
-            new = np.ones(len(order), dtype=bool)
-            new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (
-                content[order][1:] != content[order][:-1]
-            )
-            smallest = _spread(doc[order][new], np.flatnonzero(new), len(order))
-            later = order[doc[order] > smallest]
-            first = order[doc[order] == smallest]
-            marks = np.where(
-                count >= 64, _U64(0xFFFFFFFFFFFFFFFF), (_U64(1) << (count % 64).astype(np.uint64)) - _U64(1)
-            )
+            later = _later(content, doc)
+            first = np.flatnonzero(~later)
             yield from _dealt(
-                (mixed(doc[later].view(np.uint64)) % _U64(n_shards)).astype(np.int64), 1,
-                [doc[later], text[later], start[later], marks[later], marks[later]],
-            )
+                _shard(doc[later], n_shards), 1, [doc[later], text[later], _all_marks(start[later], count[later])]
+            )
             yield from _dealt(
-                (mixed(anchor[first]) % _U64(n_shards)).astype(np.int64), 0,
-                [doc[first], text[first], start[first], start[first], start[first]],
+                _shard(anchor[first], n_shards), 0, [doc[first], text[first], start[first]],
                 [lines[i] for i in first.tolist()],
             )
 
         size = 0
         for batch in batches:
             ids, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            numbers = batch.column(3)
+            starts = batch.column(3)
             for a, b, words in word_chunks(batch.column(2)):
                 s = segments(words, rule)
-                wanted = np.zeros(len(s.row), dtype=bool)
-                offset = np.searchsorted(s.row, np.arange(b - a))
+                sent = np.zeros(len(words.hashes), dtype=bool)
                 for i in range(b - a):
-                    own = np.frombuffer(b"".join(numbers[a + i].as_py()), dtype=np.int32)
-                    wanted[offset[i] + own] = True
-                s = s.take(np.flatnonzero(wanted))
+                    own = np.frombuffer(b"".join(starts[a + i].as_py()), dtype=np.int32)
+                    sent[words.first[i] + own] = True
+                s = s.take(np.flatnonzero(sent[s.word]))
                 s = _by_windows(s, words, np.isin(s.anchor, hot), rule)
-                texts = [words.text(w, w + c + rule.size - 1) for w, c in zip(s.word, s.count, strict=True)]
+                if passes > 1:
+                    # By other bits than the shard.
+                    s = s.take(np.flatnonzero((mixed(s.anchor) >> _U64(40)) % _U64(passes) == turn))
                 gathered.append(
                     (ids[a + s.row], prints[a + s.row], s.start.astype(np.int32), s.count, s.anchor,
-                     s.content, texts)
-                )
-                size += len(texts)
+                     s.content, words.texts(s.word, s.word + s.count + rule.size - 1))
+                )
+                size += len(s.row)
                 if size >= GATHERED // 4:
                     yield _batch(list(deal()))
                     size = 0
@@ -343,7 +399,8 @@ def _repeats(candidates: DataFrame, hot: np.ndarray, rule: Windows, n_shards: in
 
     def search(table: pa.Table) -> pa.Table:
         doc, text, start = _unpacked(table, 0, ["i8", "i4", "i4"])
-        marks = np.zeros(len(doc), dtype=np.uint64)
+        marks = np.zeros(len(doc), dtype=_MARKS)
+        marks["start"] = start
         if len(doc):
             lines = b"\n".join(
                 t for t, k in zip(table.column("text").to_pylist(), table.column("kind").to_pylist(), strict=True)
@@ -353,20 +410,16 @@ def _repeats(candidates: DataFrame, hot: np.ndarray, rule: Windows, n_shards: in
             entry = np.repeat(np.arange(len(doc)), count)
             bit = np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count)
             earlier = held[first[entry] + bit] < doc[entry]
-            np.bitwise_or.at(marks, entry[earlier], _U64(1) << bit[earlier].astype(np.uint64))
-        later_doc, later_text, later_start, later_marks = _unpacked(table, 1, ["i8", "i4", "i4", "u8"])
-        some = marks != 0
-        return pa.table(
-            {
-                "doc_id": np.concatenate((doc[some], later_doc)),
-                "print": np.concatenate((text[some], later_text)),
-                "start": np.concatenate((start[some], later_start)),
-                "marks": np.concatenate((marks[some], later_marks)).view(np.int64),
-            }
+            np.bitwise_or.at(marks["marks"], entry[earlier], _U64(1) << bit[earlier].astype(np.uint64))
+        some = marks["marks"] != 0
+        later = _unpacked(table, 1, ["i8", "i4", _MARKS])
+        docs, prints, blobs = _by_text(
+            *[np.concatenate(x) for x in zip((doc[some], text[some], marks[some]), later, strict=True)]
         )
+        return pa.table({"doc_id": docs, "print": prints, "marks": pa.array(blobs, pa.binary())})
 
     return candidates.mapInArrow(deal_segments, _DEALT_TYPE).groupBy("shard").applyInArrow(
-        search, "doc_id bigint, print int, start int, marks bigint"
+        search, "doc_id bigint, print int, marks binary"
     )
 
 
@@ -401,14 +454,15 @@ def repeated_words(docs: DataFrame, rule: Windows = Windows()) -> DataFrame:
     """
     keyed = _keyed(docs)
     n_shards = shards(docs.sparkSession)
-    found, hot = _candidates(keyed, rule, n_shards)
+    found, marks, hot, passes = _candidates(keyed, rule, n_shards)
     asked = keyed.join(found.hint("shuffle_hash"), ["doc_id", "print"]).select(
-        "doc_id", "print", "text", "numbers"
+        "doc_id", "print", "text", "starts"
     )
-    marks = stored(_repeats(asked, hot, rule, n_shards))
+    for turn in range(passes):
+        marks = marks.unionAll(passed(_repeats(asked, hot, rule, n_shards, turn, passes)))
     doc, text_print, mark = fresh(docs, "marked_doc", "marked_print", "marks")
     grouped = marks.groupBy(F.col("doc_id").alias(doc), F.col("print").alias(text_print)).agg(
-        F.collect_list(F.struct("start", "marks")).alias(mark)
+        F.collect_list("marks").alias(mark)
     )
     names = fresh(docs, "n_words", "n_removed", "kept_text")
     marked = docs.join(
@@ -438,13 +492,13 @@ def repeated_words(docs: DataFrame, rule: Windows = Windows()) -> DataFrame:
 def _covered(words: Words, marks: pa.Array, rule: Windows) -> np.ndarray:
     """Which words the marked windows cover."""
     depth = np.zeros(len(words.hashes) + 1, dtype=np.int64)
-    lists = marks.cast(pa.list_(pa.struct([("start", pa.int32()), ("marks", pa.int64())])))
-    counts = np.diff(np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1])
-    counts = np.where(np.asarray(lists.is_valid()), counts, 0) if len(lists) else counts
-    flat = lists.flatten()
-    start = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    bits = flat.field(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-    first = words.first[:-1][np.repeat(np.arange(len(lists)), counts)] + start
+    lists = marks.cast(pa.list_(pa.binary()))
+    rows = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+    blobs = lists.flatten()
+    rows = np.repeat(rows, pc.binary_length(blobs).to_numpy(zero_copy_only=False) // _MARKS.itemsize)
+    flat = np.frombuffer(b"".join(blobs.to_pylist()), dtype=_MARKS)
+    bits = flat["marks"]
+    first = words.first[:-1][rows] + flat["start"]
     for i in range(SEGMENT):
         at = first[(bits >> _U64(i)) & _U64(1) == 1] + i
         np.add.at(depth, at, 1)

@@ -78,11 +78,16 @@ class Words:
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.rows), np.diff(self.first))
 
-    def text(self, a: int, b: int) -> bytes:
-        """Words a to b - 1 joined by one space."""
-        return b" ".join(
-            self.data[s:e].tobytes() for s, e in zip(self.starts[a:b], self.ends[a:b], strict=True)
-        )
+    def texts(self, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+        """For each place words ``first`` to ``last - 1``, joined by one space."""
+        if not len(first):
+            return []
+        size = self.ends - self.starts + 1
+        edges = np.concatenate(([0], np.cumsum(size)))
+        joined = self.data[np.minimum(np.arange(edges[-1]) + np.repeat(self.starts - edges[:-1], size), len(self.data) - 1)]
+        joined[edges[1:] - 1] = 32
+        joined = joined.tobytes()
+        return [joined[a:b] for a, b in zip(edges[first].tolist(), (edges[last] - 1).tolist(), strict=True)]
 
     def grams(self, size: int) -> np.ndarray:
         """A hash for the ``size`` words from each word on; only useful inside one row."""
